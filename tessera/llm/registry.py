@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from tessera.llm.decontaminate import op5_decontaminate
+from tessera.llm.packing import op7_pack
 
 
 def queries() -> dict:
-    return {"op5_decontaminate": op5_decontaminate}
+    return {"op5_decontaminate": op5_decontaminate, "op7_pack": op7_pack}
 
 
 def oracle_sql() -> dict[str, str]:
