@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from tessera.llm.langid import op2_langid
 from tessera.llm.decontaminate import op5_decontaminate
 from tessera.llm.packing import op7_pack
 
 
 def queries() -> dict:
-    return {"op5_decontaminate": op5_decontaminate, "op7_pack": op7_pack}
+    return {
+        "op2_langid": op2_langid,
+        "op5_decontaminate": op5_decontaminate,
+        "op7_pack": op7_pack,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
