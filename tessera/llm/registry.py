@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.langid import op2_langid
 from tessera.llm.decontaminate import op5_decontaminate
+from tessera.llm.ann import op6_nearest
 from tessera.llm.packing import op7_pack
 from tessera.llm.quality import op8_quality
 
@@ -12,6 +13,7 @@ def queries() -> dict:
     return {
         "op2_langid": op2_langid,
         "op5_decontaminate": op5_decontaminate,
+        "op6_nearest": op6_nearest,
         "op7_pack": op7_pack,
         "op8_quality": op8_quality,
     }
