@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.sitetree import op1_extract
 from tessera.llm.langid import op2_langid
 from tessera.llm.decontaminate import op5_decontaminate
 from tessera.llm.ann import op6_nearest
@@ -11,6 +12,7 @@ from tessera.llm.quality import op8_quality
 
 def queries() -> dict:
     return {
+        "op1_extract": op1_extract,
         "op2_langid": op2_langid,
         "op5_decontaminate": op5_decontaminate,
         "op6_nearest": op6_nearest,
