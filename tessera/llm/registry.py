@@ -9,6 +9,7 @@ from tessera.llm.decontaminate import op5_decontaminate
 from tessera.llm.ann import op6_nearest
 from tessera.llm.packing import op7_pack
 from tessera.llm.quality import op8_quality
+from tessera.llm.orderminhash import op9_near_duplicates
 
 
 def queries() -> dict:
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op6_nearest": op6_nearest,
         "op7_pack": op7_pack,
         "op8_quality": op8_quality,
+        "op9_near_duplicates": op9_near_duplicates,
     }
 
 
