@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -71,6 +72,11 @@ class Scratch:
         out._tessera_path = path
         return out
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of what is no longer referred to, now and not when the driver's memory fills."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._tessera_path)

@@ -6,10 +6,8 @@ order; texts that share a sketch are candidates. Being order-sensitive, a sketch
 common content. Candidates are verified by aligning their k-mers inside a band (bit-parallel longest common subsequence): with m matched of p and q
 k-mers, m / (p + q - m) must reach 0.8. The band holds every alignment that can reach it.
 
-Copies of one text are one node from the start. In each bucket, members meet a few leaders instead of each other: first one
-leader, and whoever matches none of them meets four times as many in the next round, until every
-member has matched or has met all others that are left. Members, leaders and links are tables throughout; what a
-task reads for one leader is split into parts of bounded size. Classes are components of the links.
+Copies of one text are one node from the start. In each bucket, members meet a few leaders instead of each other (see
+``buckets``). Classes are components of the links.
 
 Null text has no words and belongs to no class but its own; so does every text without a word. Texts of under five words have one
 k-mer, all of their words. Repeated rows and equal texts are of one class; so are texts whose words are equal.
@@ -25,13 +23,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.buckets import crowded, links
 from tessera.llm.common import Scratch, pick, session_of, ship, words_of
 from tessera.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, SAMPLED = 16, 4
-GROWTH = 4
-PART_ROWS = 64
 
 
 def kmers(words: list[bytes], k: int = WORDS) -> np.ndarray:
@@ -143,50 +140,8 @@ def node_column(text: Column) -> Column:
     return run(text)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one part stand together, the leader's first; gives the pairs that align."""
-    part, leader, known = None, None, None
-    for batch in batches:
-        out = []
-        for p, l, member, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if member is None:
-                part, leader, known = p, l, kmers(words_of(text))
-            elif (p, l) == (part, leader) and aligned(kmers(words_of(text)), known):
-                out.append((member, l))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], names=["member", "leader"])
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (member, leader) that align. Each leader's text is sent once for each part of its pairs."""
-    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("member"), F.greatest(F.lit(1), F.ceil(F.col("width") / PART_ROWS))).cast("int"))
-    members = dealt.join(texts.withColumnRenamed("node", "member"), "member").select("part", "leader", "member", "text")
-    heads = dealt.select("part", "leader").distinct().join(texts.withColumnRenamed("node", "leader"), "leader")
-    rows = heads.select("part", "leader", F.lit(None).cast("string").alias("member"), "text").unionByName(members)
-    rows = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("member").asc_nulls_first())
-    return rows.mapInArrow(_verify, "member string, leader string")
-
-
-def bucket_links(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links between texts of one bucket, by rounds of leaders. members: distinct (bucket, node)."""
-    left, links, leaders = members, None, 1
-    while True:
-        spread = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))
-        heads = left.groupBy("bucket", spread.alias("s")).agg(F.min("node").alias("leader")).drop("s")
-        met = left.join(heads, "bucket").filter(F.col("node") != F.col("leader"))
-        pairs = met.select(F.col("node").alias("member"), "leader").distinct()
-        if links is not None:
-            pairs = pairs.join(links, ["member", "leader"], "left_anti")
-        widths = pairs.groupBy("leader").agg(F.count("*").alias("width"))
-        fresh = scratch.keep(verified(pairs.join(widths, "leader"), texts))
-        links = fresh if links is None else links.unionByName(fresh)
-        matched = met.join(links, (F.col("node") == links["member"]) & (met["leader"] == links["leader"]), "left_semi").select("bucket", "node")
-        gone = matched.unionByName(heads.select("bucket", F.col("leader").alias("node"))).distinct()
-        left = left.join(gone, ["bucket", "node"], "left_anti")
-        alone = left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-        left = scratch.keep(left.join(alone, "bucket", "left_semi"))
-        if left.isEmpty():
-            return links
-        leaders *= GROWTH
+def prepare(text: str) -> np.ndarray:
+    return kmers(words_of(text))
 
 
 def classes(documents: DataFrame, text: str = "text", node: str = "node", label: str = "label") -> tuple[DataFrame, DataFrame]:
@@ -197,14 +152,12 @@ def classes(documents: DataFrame, text: str = "text", node: str = "node", label:
     own = pick(documents, text).select(sketch_column(F.col(text)).alias("s")).filter(F.col("s.node").isNotNull())
     placed = scratch.keep(own.select("s.node", "s.buckets"))
     rows = placed.select("node", F.explode("buckets").alias("bucket"))
-    short = F.xxhash64("node")
-    crowded = rows.groupBy("bucket").agg(F.min(short).alias("low"), F.max(short).alias("high")).filter("low < high").select("bucket")
-    members = scratch.keep(rows.join(crowded, "bucket", "left_semi").distinct())
+    members = scratch.keep(crowded(rows))
     wanted = members.select("node").distinct()
     with_node = pick(documents, text).select(node_column(F.col(text)).alias("node"), F.col(text).alias("text"))
     texts = scratch.keep(with_node.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
-    links = bucket_links(members, texts, scratch)
-    labels = components(links, "member", "leader", scratch).withColumnRenamed("node", node).withColumnRenamed("label", label)
+    found = links(members, texts, prepare, aligned, scratch)
+    labels = components(found, "member", "leader", scratch).withColumnRenamed("node", node).withColumnRenamed("label", label)
     return documents.withColumn(node, node_column(F.col(text))), labels
 
 
