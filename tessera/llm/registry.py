@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.sitetree import op1_extract
 from tessera.llm.langid import op2_langid
 from tessera.llm.surrogates import op3_surrogates
+from tessera.llm.paragraphs import op4_paragraphs
 from tessera.llm.decontaminate import op5_decontaminate
 from tessera.llm.ann import op6_nearest
 from tessera.llm.packing import op7_pack
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op1_extract": op1_extract,
         "op2_langid": op2_langid,
         "op3_surrogates": op3_surrogates,
+        "op4_paragraphs": op4_paragraphs,
         "op5_decontaminate": op5_decontaminate,
         "op6_nearest": op6_nearest,
         "op7_pack": op7_pack,
