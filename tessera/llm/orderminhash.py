@@ -161,6 +161,16 @@ def classes(documents: DataFrame, text: str = "text", node: str = "node", label:
     return documents.withColumn(node, node_column(F.col(text))), labels
 
 
+def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row of least key of each class, in the columns of documents; rows without words all stay."""
+    noded, labels = classes(documents, text, "__node", "__label")
+    own = documents.columns
+    placed = noded.filter(F.col("__node").isNotNull()).join(labels, "__node", "left").withColumn("__class", F.coalesce("__label", "__node"))
+    row = F.struct(*[F.col(c) for c in own])
+    kept = placed.groupBy("__class").agg(F.min_by(row, F.struct(F.col(key), F.xxhash64(text))).alias("__row")).select("__row.*")
+    return kept.unionByName(noded.filter(F.col("__node").isNull()).select(*own))
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, class_id (the least key of its class) and class_size, one row for each document; those without words are classes of their own."""
     noded, labels = classes(pick(documents, key, text), text)

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from tessera.llm.sitetree import op1_extract
-from tessera.llm.langid import op2_langid
-from tessera.llm.surrogates import op3_surrogates
-from tessera.llm.paragraphs import op4_paragraphs
-from tessera.llm.decontaminate import op5_decontaminate
+import corpus_pipeline
 from tessera.llm.ann import op6_nearest
+from tessera.llm.decontaminate import op5_decontaminate
+from tessera.llm.langid import op2_langid
+from tessera.llm.orderminhash import op9_near_duplicates
 from tessera.llm.packing import op7_pack
+from tessera.llm.paragraphs import op4_paragraphs
 from tessera.llm.quality import op8_quality
-from tessera.llm.orderminhash import op9_near_duplicates
+from tessera.llm.sitetree import op1_extract
+from tessera.llm.surrogates import op3_surrogates
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_extract": op1_extract,
         "op2_langid": op2_langid,
         "op3_surrogates": op3_surrogates,
@@ -28,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
