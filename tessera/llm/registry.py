@@ -11,6 +11,7 @@ from tessera.llm.packing import op7_pack
 from tessera.llm.paragraphs import op4_paragraphs
 from tessera.llm.quality import op8_quality
 from tessera.llm.sitetree import op1_extract
+from tessera.llm.suffixlevels import op10_repeats
 from tessera.llm.surrogates import op3_surrogates
 
 
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op7_pack": op7_pack,
         "op8_quality": op8_quality,
         "op9_near_duplicates": op9_near_duplicates,
+        "op10_repeats": op10_repeats,
     }
 
 
