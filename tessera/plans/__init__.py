@@ -1,0 +1,3 @@
+"""Registered queries over the driver's tables, by subject."""
+
+from tessera.plans import analytics, graph, incremental, matching, parsing, search, summaries, usage  # noqa: F401
