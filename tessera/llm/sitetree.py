@@ -1,13 +1,13 @@
 """HTML main-text extraction by site style trees.
 
-The pages of a host are merged into one tree: an element is known by its path of block tags with their classes. For
-each element of the tree, two entropies over the host's distinct pages are kept, each divided by the log of the
-number of its occurrences: that of its presentation (the sequences of children it appears with) and that of its content (the texts of the
-blocks below it). An element is as important as the more varied of both; a branch below ``LEAST`` that was seen
-``MIN_SEEN`` times at least is noise and is removed from each page. All hosts together form one more tree,
-for what a single host is too small to tell. Names of tags, classes and roles that say what a branch is (a menu, an
-advert, reader comments, the article) outweigh the entropies, and where a page marks its article, text
-outside it is dropped.
+The pages of a host are merged into one tree: an element is known by its path of block tags with their classes. Two
+entropies are kept over the host's distinct pages, each divided by the log of the number of its occurrences: for an element, that of
+its presentation (the sequences of children it appears with); for a node that holds text, that of its content (the
+texts). Such a node is as important as the more varied of its content and its parent's presentation. Below ``LEAST``, if it
+was seen ``MIN_SEEN`` times at least, it is noise and its texts are removed from each page; a branch goes if all its
+nodes go. All hosts together form one more tree, for what a single host is too small to tell. Names of tags, classes and
+roles that say what a branch is (a menu, an advert, reader comments, the article) outweigh the entropies, and where a page
+marks its article, text outside it is dropped.
 
 The trees are sums of counts that are aggregated before and after one shuffle, so a host with a third of all pages is
 no hot group. Copies of one page count once. Only the noisy paths are sent to the tasks: as one broadcast
@@ -204,24 +204,21 @@ class Page:
                 return
 
 
-def prefixes(path: str) -> list[str]:
-    """A path and the paths above it."""
-    at = [i for i, c in enumerate(path) if c == ">"][1:]
-    return [path[:i] for i in at] + [path] if path else []
+def parent(path: str) -> str:
+    return path.rpartition(">")[0]
 
 
-def statistics(url: str | None, source: str) -> list[tuple[int, int, int, int, int]]:
-    """Host, path, kind (0 presentation, 1 content), value and page, as numbers."""
+def statistics(url: str | None, source: str) -> list[tuple[int, int, int, int, int, int]]:
+    """Host, path, its parent, kind (0 presentation, 1 content), value and page, as numbers."""
     host, page = number(host_of(url)), number(source)
     hosts = host + (host == EVERY_HOST)
     tree = Page(source)
-    out = [(hosts, number(e.path), 0, number(" ".join(e.kids)), page) for e in tree.elements]
-    known: dict[str, list[int]] = {}
+    out = [(hosts, number(e.path), 0, 0, number(" ".join(e.kids)), page) for e in tree.elements]
+    known: dict[str, tuple[int, int]] = {}
     for text, element, _, _ in tree.blocks:
         if element.path not in known:
-            known[element.path] = [number(p) for p in prefixes(element.path)]
-        value = number(text)
-        out.extend((hosts, p, 1, value, page) for p in known[element.path])
+            known[element.path] = number(element.path), number(parent(element.path))
+        out.append((hosts, *known[element.path], 1, number(text), page))
     return out
 
 
@@ -237,8 +234,8 @@ def extract_text(source: str | None, noisy) -> str:
         if dropped or (marked and not inside):
             continue
         if (path := element.path) not in known:
-            # What stands at or above the article isn't judged by its entropy, for the mark outweighs it.
-            known[path] = any(noisy(number(p)) for p in prefixes(path) if not marked or below_article(p))
+            # Bare paragraphs and headings of a marked article aren't judged by their entropy, for the mark outweighs it.
+            known[path] = noisy(number(path)) if not marked or below_article(path) else False
         if not known[path]:
             kept.append(text)
     return "\n".join(kept)
@@ -254,7 +251,7 @@ def trees(pages: DataFrame, url: str, source: str) -> DataFrame:
     """host, path of every noisy branch; host 0 stands for all hosts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["host", "path", "kind", "value", "page"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        names, types = ["host", "path", "parent", "kind", "value", "page"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         for batch in batches:
             urls, sources = batch.column(0), batch.column(1)
             for i in range(0, batch.num_rows, 200):
@@ -262,17 +259,16 @@ def trees(pages: DataFrame, url: str, source: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    rows = pick(pages, url, source).mapInArrow(count, "host bigint, path bigint, kind int, value bigint, page bigint")
+    rows = pick(pages, url, source).mapInArrow(count, "host bigint, path bigint, parent bigint, kind int, value bigint, page bigint")
     n = F.when(F.min("page") == F.max("page"), 1).otherwise(F.count("*")).alias("n")
-    by_host = rows.groupBy("host", "path", "kind", "value").agg(n)
-    everywhere = rows.groupBy("path", "kind", "value").agg(n).select(F.lit(EVERY_HOST).cast("long").alias("host"), "path", "kind", "value", "n")
+    by_host = rows.groupBy("host", "path", "parent", "kind", "value").agg(n)
+    everywhere = rows.groupBy("path", "parent", "kind", "value").agg(n).select(F.lit(EVERY_HOST).cast("long").alias("host"), "path", "parent", "kind", "value", "n")
     counts = by_host.unionByName(everywhere)
-    entropy = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("seen"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    entropy = counts.groupBy("host", "path", "parent", "kind").agg(F.sum("n").alias("seen"), F.sum(F.col("n") * F.log("n")).alias("s"))
     entropy = entropy.withColumn("h", F.when(F.col("seen") > 1, 1 - F.col("s") / (F.col("seen") * F.log("seen"))).otherwise(1.0))
-    importance = entropy.groupBy("host", "path").agg(
-        F.max("h").alias("importance"), F.min("seen").alias("seen"), F.max("kind").alias("kinds")
-    )
-    return importance.filter((F.col("importance") < LEAST) & (F.col("seen") >= MIN_SEEN) & (F.col("kinds") == 1)).select("host", "path")
+    presentation = entropy.filter("kind = 0").select("host", F.col("path").alias("parent"), F.col("h").alias("shown"))
+    content = entropy.filter((F.col("kind") == 1) & (F.col("seen") >= MIN_SEEN) & (F.col("h") < LEAST)).join(presentation, ["host", "parent"], "left")
+    return content.filter(F.coalesce("shown", F.lit(0.0)) < LEAST).select("host", "path").distinct()
 
 
 def extract(pages: DataFrame, url: str = "url", source: str = "html", into: str = "main_text", most_paths: int = BROADCAST_PATHS) -> DataFrame:
