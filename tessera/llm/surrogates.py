@@ -30,7 +30,7 @@ MALE_TITLES = r"Mr\.?|Herr|Monsieur|Señor|Sr\.|Signor|г-н|господин|Г
 PERSON = rf"(?<![\p{{L}}])(?:{FEMALE_TITLES}|{MALE_TITLES}) \p{{Lu}}[\p{{Ll}}]{{1,30}}+(?:[ -]\p{{Lu}}\p{{Ll}}{{1,30}}+)?"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 FORMATS = {
-    "secret": r"""(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|access_key|auth)["']?\s{0,2}[=:]\s{0,2}["']?)[^\s"',;<>=:]{6,200}+""",
+    "secret": r"""(?i:[psta](?:assword|asswd|wd|ecret|oken|pi_?key|ccess_key|uth))["']?\s{0,2}[=:]\s{0,2}["']?[^\s"',;<>=:]{6,200}+""",
     "email": r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++",
     "key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,64})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -43,7 +43,9 @@ FORMATS = {
     "person": PERSON,
 }
 PATTERN = "|".join(FORMATS.values())
-MAYBE = r"[0-9@=:]|(?:Mr|Mrs|Ms|Miss|Frau|Herr|Madame|Mme|Monsieur|Señora?|Sra?\.|Signora?|г-жа|г-н|[Гг]оспо)"
+SECRET_VALUE = r"""[^\s"',;<>=:]+$"""
+#: What a text must hold to hold an entity; each choice starts with a set of characters, so most positions fail at once.
+DIGITS_OR_SIGNS, TITLES = r"[0-9@=:]", r"[MFHSгГ](?:rs?|s|iss|rau|err|adame|me|onsieur|eñora?|ra|ignora?|-жа|-н|осп[а-я]+)\.? \p{Lu}"
 FIRST_NAMES = {
     "f": "Anna Clara Elena Emma Eva Ines Irene Julia Laura Lea Lena Marta Nora Olga Paula Sara".split(),
     "m": "Adam Bruno Carlo Daniel Emil Felix Hugo Ivan Jonas Leon Lukas Marco Oscar Pablo Simon Viktor".split(),
@@ -56,7 +58,7 @@ DIGITS, LETTERS, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789ab
 
 
 def entities(text: Column) -> Column:
-    return F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    return F.when(text.rlike(DIGITS_OR_SIGNS) | text.rlike(TITLES), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
 
 
 def alnum(value: Column) -> Column:
@@ -76,7 +78,7 @@ def kind_of(value: Column) -> Column:
     out = out.when(person, F.concat(F.lit("person_f"), script)).when(other, F.concat(F.lit("person_m"), script))
     for name in ("key", "iban", "mac", "ip6", "ip4", "card", "ssn", "phone"):
         out = out.when(whole(FORMATS[name]), name)
-    return out.when(value.rlike("^[0-9a-f]+$"), "hex").otherwise("secret")
+    return out.when(value.rlike(r"""[=:]\s{0,2}["']?[0-9a-f]+$"""), "hex").otherwise("secret")
 
 
 def canonical(kind: Column, value: Column) -> Column:
@@ -89,6 +91,7 @@ def canonical(kind: Column, value: Column) -> Column:
         .when(kind == "phone", F.when(F.length(bare) > 10, F.right(bare, F.lit(10))).otherwise(bare))
         .when(kind == "key", F.when(value.rlike("^A[KS]IA"), F.substring(bare, 5, 200)).otherwise(F.substring(bare, 4, 200)))
         .when(kind == "iban", F.substring(bare, 3, 100))
+        .when(kind.isin("hex", "secret"), F.lower(alnum(F.regexp_extract(value, SECRET_VALUE, 0))))
         .otherwise(bare)
     )
 
