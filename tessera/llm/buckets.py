@@ -1,75 +1,110 @@
 """Verified links between the members of hash buckets, by rounds of leaders instead of all pairs.
 
-First each member meets one leader of its bucket; who matches leaves, and the rest meets four times as many leaders in the
-next round, until every member has matched one or has met all others that are left. Members, leaders and links are tables
-throughout. A leader's partners are dealt out in parts of bounded size, each with a copy of the leader.
+First each member meets one leader of its bucket; who matches leaves, and the rest meets sixteen times as many leaders in the
+next round, drawn from all of the bucket, until every member has matched one or has met all others. Members, leaders and links
+are tables throughout. Pairs are verified where two joins bring their texts together, sorted by leader; a leader with very many
+partners is a skewed key of the second join, whose large partitions Spark splits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm.common import Scratch
 
-GROWTH, PART_ROWS = 4, 64
+GROWTH, MOST_WEIGHT = 16, 1000
 
 
 def crowded(rows: DataFrame) -> DataFrame:
-    """Distinct (bucket, node) rows of the buckets that hold two nodes or more."""
+    """Distinct rows (bucket, node) of the buckets that hold two nodes or more."""
     short = F.xxhash64("node")
     several = rows.groupBy("bucket").agg(F.min(short).alias("low"), F.max(short).alias("high")).filter("low < high").select("bucket")
     return rows.join(several, "bucket", "left_semi").distinct()
 
 
-def _verifier(prepare: Callable, accept: Callable, kind: pa.DataType):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, known = None, None
+def _counted(parts: Callable, kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                own = [parts(t) for t in batch.column(1)[i : i + 1000].to_pylist()]
+                nodes = np.repeat(np.arange(len(own)), [len(v) for v, _ in own])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[i : i + 1000].take(pa.array(nodes)).cast(kind), pa.array(np.concatenate([v for v, _ in own]).view(np.int64)), pa.array(np.concatenate([n for _, n in own]).astype(np.int64))],
+                    names=["node", "part", "n"],
+                )
+
+    return run
+
+
+def linkable(texts: DataFrame, parts: Callable, similarity: float) -> DataFrame:
+    """node, weight of the texts that can match any other. parts: of a text, its distinct parts and their counts.
+
+    Of m matched parts of p and q, m / (p + q - m) >= s needs m >= s p. So a text of whose parts too few stand in any other
+    text has no match; most of those that merely share a passage, or stray far from the middle of a large group, end here. The
+    weight is how often a text's parts stand in others.
+    """
+    kind = texts.schema["node"].dataType
+    rows = texts.select("node", "text").mapInArrow(_counted(parts, to_arrow_type(kind)), f"node {kind.simpleString()}, part bigint, n bigint")
+    common = rows.groupBy("part").agg(F.count("*").alias("df")).filter("df > 1")
+    found = rows.join(common, "part", "left").groupBy("node").agg(
+        F.sum("n").alias("size"), F.sum(F.when(F.col("df").isNotNull(), F.col("n"))).alias("shared"), F.sum(F.when(F.col("df").isNotNull(), F.least("df", F.lit(MOST_WEIGHT)))).alias("weight")
+    )
+    return found.filter(F.col("shared") >= F.col("size") * similarity - 1e-9).select("node", "weight")
+
+
+def _matches(prepare: Callable, accept: Callable, member: Column, leader: Column) -> Column:
+    """Do two texts match? The last leader is kept prepared, for its pairs stand together."""
+
+    @F.arrow_udf("boolean")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        text, known = None, None
+        for members, leaders in batches:
             out = []
-            for part, leader, member, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if member is None:
-                    at, known = (part, leader), prepare(text)
-                elif (part, leader) == at and accept(prepare(text), known):
-                    out.append((member, leader))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i in (0, 1)], names=["member", "leader"])
+            for a, b in zip(members.to_pylist(), leaders.to_pylist()):
+                if b != text:
+                    text, known = b, prepare(b)
+                out.append(accept(prepare(a), known))
+            yield pa.array(out, pa.bool_())
 
-    return verify
+    return run(member, leader)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, prepare: Callable, accept: Callable) -> DataFrame:
-    """Those of the distinct pairs (member, leader, width: the leader's pairs) whose texts match."""
-    kind = pairs.schema["member"].dataType
-    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("member"), F.greatest(F.lit(1), F.ceil(F.col("width") / PART_ROWS))).cast("int"))
-    members = dealt.join(texts.withColumnRenamed("node", "member"), "member").select("part", "leader", "member", "text")
-    heads = dealt.select("part", "leader").distinct().join(texts.withColumnRenamed("node", "leader"), "leader")
-    rows = heads.select("part", "leader", F.lit(None).cast(kind).alias("member"), "text").unionByName(members)
-    rows = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("member").asc_nulls_first())
-    return rows.mapInArrow(_verifier(prepare, accept, to_arrow_type(kind)), f"member {kind.simpleString()}, leader {kind.simpleString()}")
+    """Those of the distinct pairs (member, leader) whose texts match."""
+    rows = pairs.join(texts.select(F.col("node").alias("member"), F.col("text").alias("a")), "member")
+    rows = rows.join(texts.select(F.col("node").alias("leader"), F.col("text").alias("b")), "leader")
+    return rows.filter(_matches(prepare, accept, F.col("a"), F.col("b"))).select("member", "leader")
 
 
 def links(members: DataFrame, texts: DataFrame, prepare: Callable, accept: Callable, scratch: Scratch) -> DataFrame:
-    """Links (member, leader). members: distinct (bucket, node); texts: (node, text), one row for each node."""
-    left, found, leaders = members, None, 1
+    """Links (member, leader). members: distinct (bucket, node, weight); texts: (node, text), one row for each node.
+
+    The node of most weight leads first: where the weight tells how much a text has in common with others, it is the middle of
+    its group. Later leaders are drawn from the whole bucket, by a hash that differs between buckets.
+    """
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    left, found, leaders = members.select("bucket", "node"), None, 1
     while True:
-        spread = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))
-        heads = left.groupBy("bucket", spread.alias("s")).agg(F.min("node").alias("leader")).drop("s")
+        if leaders == 1:
+            heads = members.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("h"))
+        else:
+            draw = F.xxhash64("node", "bucket")
+            heads = members.groupBy("bucket", F.pmod(draw, F.lit(leaders)).alias("s")).agg(F.min(F.struct(draw.alias("draw"), "node")).alias("h"))
+        heads = heads.select("bucket", F.col("h.node").alias("leader"))
         met = left.join(heads, "bucket").filter(F.col("node") != F.col("leader"))
         pairs = met.select(F.col("node").alias("member"), "leader").distinct()
-        if found is not None:
-            pairs = pairs.join(found, ["member", "leader"], "left_anti")
-        widths = pairs.groupBy("leader").agg(F.count("*").alias("width"))
-        fresh = scratch.keep(verified(pairs.join(widths, "leader"), texts, prepare, accept))
+        fresh = scratch.keep(verified(pairs, texts, prepare, accept))
         found = fresh if found is None else found.unionByName(fresh)
-        matched = met.join(found.withColumnRenamed("member", "node"), ["node", "leader"], "left_semi").select("bucket", "node")
-        gone = matched.unionByName(heads.select("bucket", F.col("leader").alias("node"))).distinct()
-        left = left.join(gone, ["bucket", "node"], "left_anti")
-        several = left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-        left = scratch.keep(left.join(several, "bucket", "left_semi"))
+        both = met.join(fresh.withColumnRenamed("member", "node"), ["node", "leader"], "left_semi")
+        matched = both.select("bucket", "node").unionByName(both.select("bucket", F.col("leader").alias("node")))
+        unmet = heads.groupBy("bucket").agg(F.count("*").alias("led")).join(sizes, "bucket").filter("led < size").select("bucket")
+        left = scratch.keep(left.join(matched, ["bucket", "node"], "left_anti").join(unmet, "bucket", "left_semi"))
         scratch.release()
         if left.isEmpty():
             return found

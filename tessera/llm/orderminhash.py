@@ -6,7 +6,8 @@ order; texts that share a sketch are candidates. Being order-sensitive, a sketch
 common content. Candidates are verified by aligning their k-mers inside a band (bit-parallel longest common subsequence): with m matched of p and q
 k-mers, m / (p + q - m) must reach 0.8. The band holds every alignment that can reach it.
 
-Copies of one text are one node from the start. In each bucket, members meet a few leaders instead of each other (see
+Copies of one text are one node from the start. Texts that by their k-mers can't match any other candidate are left out before pairs are
+made (an exact bound, see ``linkable``). In each bucket, members meet a few leaders instead of each other (see
 ``buckets``). Classes are components of the links.
 
 Null text has no words and belongs to no class but its own; so does every text without a word. Texts of under five words have one
@@ -23,12 +24,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.buckets import crowded, links
+from tessera.llm.buckets import crowded, linkable, links
 from tessera.llm.common import Scratch, pick, session_of, ship, words_of
 from tessera.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
-SKETCHES, SAMPLED = 16, 4
+SKETCHES, SAMPLED = 20, 6
 
 
 def kmers(words: list[bytes], k: int = WORDS) -> np.ndarray:
@@ -144,6 +145,10 @@ def prepare(text: str) -> np.ndarray:
     return kmers(words_of(text))
 
 
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(prepare(text), return_counts=True)
+
+
 def classes(documents: DataFrame, text: str = "text", node: str = "node", label: str = "label") -> tuple[DataFrame, DataFrame]:
     """Documents with the column ``node``, equal for texts of equal words, and a table (node, label) of the nodes in classes of several texts."""
     spark = session_of(documents)
@@ -156,6 +161,10 @@ def classes(documents: DataFrame, text: str = "text", node: str = "node", label:
     wanted = members.select("node").distinct()
     with_node = pick(documents, text).select(node_column(F.col(text)).alias("node"), F.col(text).alias("text"))
     texts = scratch.keep(with_node.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+    scratch.release()
+    able = scratch.keep(linkable(texts, counted, SIMILARITY))
+    members = scratch.keep(members.join(able, "node"))
+    scratch.release()
     found = links(members, texts, prepare, aligned, scratch)
     labels = components(found, "member", "leader", scratch).withColumnRenamed("node", node).withColumnRenamed("label", label)
     return documents.withColumn(node, node_column(F.col(text))), labels
