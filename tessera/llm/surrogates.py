@@ -30,9 +30,9 @@ MALE_TITLES = r"Mr\.?|Herr|Monsieur|Señor|Sr\.|Signor|г-н|господин|Г
 PERSON = rf"(?<![\p{{L}}])(?:{FEMALE_TITLES}|{MALE_TITLES}) \p{{Lu}}[\p{{Ll}}]{{1,30}}+(?:[ -]\p{{Lu}}\p{{Ll}}{{1,30}}+)?"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 FORMATS = {
-    "secret": r"""(?i:[psta](?:assword|asswd|wd|ecret|oken|pi_?key|ccess_key|uth))["']?\s{0,2}[=:]\s{0,2}["']?[^\s"',;<>=:]{6,200}+""",
+    "secret": r"""(?i:[psta](?:assword|asswd|wd|ecret|oken|pi_?key|ccess_key|uth))["']?\s{0,2}[=:]\s{0,2}["']?[^\s"',;<>=:]{6,}+""",
     "email": r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++",
-    "key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,64})(?![A-Za-z0-9])",
+    "key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}+)(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "mac": r"(?<![0-9A-Fa-f:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])",
     "ip6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
@@ -89,7 +89,7 @@ def canonical(kind: Column, value: Column) -> Column:
         .when(kind.startswith("person"), F.lower(F.regexp_extract(value, r"^\S+ (.*)$", 1)))
         .when(kind == "ip4", value)
         .when(kind == "phone", F.when(F.length(bare) > 10, F.right(bare, F.lit(10))).otherwise(bare))
-        .when(kind == "key", F.when(value.rlike("^A[KS]IA"), F.substring(bare, 5, 200)).otherwise(F.substring(bare, 4, 200)))
+        .when(kind == "key", F.when(value.rlike("^A[KS]IA"), F.substr(bare, F.lit(5))).when(value.startswith("sk-"), F.substr(bare, F.lit(3))).otherwise(F.substr(bare, F.lit(4))))
         .when(kind == "iban", F.substring(bare, 3, 100))
         .when(kind.isin("hex", "secret"), F.lower(alnum(F.regexp_extract(value, SECRET_VALUE, 0))))
         .otherwise(bare)
@@ -107,12 +107,12 @@ def one_of(letters: str, number: Column) -> Column:
 def like(value: Column, hashed: Column, letters: Column | None = None) -> Column:
     """Digits for digits and letters for letters; hexadecimal digits for all where ``letters`` holds."""
 
-    def char(i: Column) -> Column:
-        c, n = F.substr(value, i, F.lit(1)), byte(hashed, i)
+    def char(c: Column, i: Column) -> Column:
+        n = byte(hashed, i + 1)
         plain = F.when(c.rlike("[0-9]"), one_of(DIGITS, n)).when(c.rlike("[a-z]"), one_of(LETTERS, n)).otherwise(c)
         return plain if letters is None else F.when(letters & c.rlike("[0-9a-f]"), one_of(HEX, n)).otherwise(plain)
 
-    return F.when(F.length(value) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), char), "")).otherwise(value)
+    return F.when(F.length(value) > 0, F.array_join(F.transform(F.split(value, ""), char), "")).otherwise(value)
 
 
 def octets(value: Column, hashed: Column, free: Column) -> Column:
@@ -216,14 +216,16 @@ def at_end(hashed: Column) -> Column:
 def weave(value: Column, drawn: Column, skip: Column) -> Column:
     """The surrogate's characters in place of the entity's letters and digits after ``skip``, in their case; longer ones end it."""
     chars = F.split(value, "")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("i"))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("i"), F.split(drawn, "").alias("drawn"))
 
     def step(state: Column, c: Column) -> Column:
         i = state["i"] - F.greatest(skip, F.lit(0)) + 1
-        new = F.when(i < 1, c).otherwise(F.when(c.rlike("[A-Z]"), F.upper(F.substr(drawn, i, F.lit(1)))).otherwise(F.substr(drawn, i, F.lit(1))))
+        other = F.coalesce(F.try_element_at(state["drawn"], i), F.lit(""))
+        new = F.when(i < 1, c).otherwise(F.when(c.rlike("[A-Z]"), F.upper(other)).otherwise(other))
         takes = c.rlike("[0-9A-Za-z]")
         return F.struct(
-            F.concat(state["out"], F.when(takes, new).otherwise(c)).alias("out"), F.when(takes, state["i"] + 1).otherwise(state["i"]).alias("i")
+            F.concat(state["out"], F.when(takes, new).otherwise(c)).alias("out"), F.when(takes, state["i"] + 1).otherwise(state["i"]).alias("i"),
+            state["drawn"].alias("drawn"),
         )
 
     woven = F.aggregate(chars, start, step, lambda s: s["out"])

@@ -1,3 +1,4 @@
+import random
 import re
 
 from tessera.llm import surrogates as S
@@ -46,3 +47,19 @@ def test_native_plan(spark, documents, no_documents):
     assert not re.search("Python|Arrow|Pandas", plan)
     assert out.columns == documents.columns and out.count() == 8
     assert S.replace(no_documents, "k").count() == 0
+
+
+def test_long_secrets(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    values = ["".join(rng.choices(letters, k=n)) for n in (201, 600, 5000)]
+    values.append(".".join("".join(rng.choices(letters + "-_", k=n)) for n in (60, 700, 86)))
+    texts = [f'a token="{v}" b' for v in values] + [f"a sk-{v} b" for v in values[:3]]
+    texts += [f"a sk-{values[2]}{end} b" for end in "xy"]
+    got = run(spark, texts)
+    for i, text in enumerate(texts):
+        old, new = re.split('[ "]', text)[-2 if i > 3 else -3], re.split('[ "]', got[i].text)[-2 if i > 3 else -3]
+        old, new = (x.removeprefix("sk-") for x in (old, new))
+        assert len(new) == len(old) and got[i].text == text.replace(old, new)
+        assert not any(old[at : at + 8] in got[i].text for at in range(len(old) - 7))
+    assert got[7].text != got[8].text
