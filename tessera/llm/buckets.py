@@ -1,7 +1,9 @@
 """Verified links between the members of hash buckets, by rounds of leaders instead of all pairs.
 
 First each member meets one leader of its bucket; who matches leaves, and the rest meets sixteen times as many leaders in the
-next round, drawn from all of the bucket, until every member has matched one or has met all others. Members, leaders and links
+next round, drawn from all of the bucket, until every member has matched one or has met all others. Members that left a bucket
+by different matches haven't met: those that are of different components in the end meet then, first by one node of each
+component in the bucket, then all that are still apart. So components are those of all pairs. Members, leaders and links
 are tables throughout. Pairs are verified where two joins bring their texts together, sorted by leader; a leader with very many
 partners is a skewed key of the second join, whose large partitions Spark splits.
 """
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm.common import Scratch
+from tessera.llm.components import components
 
 GROWTH, MOST_WEIGHT = 16, 1000
 
@@ -43,11 +46,11 @@ def _counted(parts: Callable, kind: pa.DataType):
 
 
 def linkable(texts: DataFrame, parts: Callable, similarity: float) -> DataFrame:
-    """node, weight of the texts that can match any other. parts: of a text, its distinct parts and their counts.
+    """node, weight, size of the texts that can match any other. parts: of a text, its distinct parts and their counts.
 
     Of m matched parts of p and q, m / (p + q - m) >= s needs m >= s p. So a text of whose parts too few stand in any other
     text has no match; most of those that merely share a passage, or stray far from the middle of a large group, end here. The
-    weight is how often a text's parts stand in others.
+    weight is how often a text's parts stand in others, the size how many parts it has.
     """
     kind = texts.schema["node"].dataType
     rows = texts.select("node", "text").mapInArrow(_counted(parts, to_arrow_type(kind)), f"node {kind.simpleString()}, part bigint, n bigint")
@@ -55,7 +58,7 @@ def linkable(texts: DataFrame, parts: Callable, similarity: float) -> DataFrame:
     found = rows.join(common, "part", "left").groupBy("node").agg(
         F.sum("n").alias("size"), F.sum(F.when(F.col("df").isNotNull(), F.col("n"))).alias("shared"), F.sum(F.when(F.col("df").isNotNull(), F.least("df", F.lit(MOST_WEIGHT)))).alias("weight")
     )
-    return found.filter(F.col("shared") >= F.col("size") * similarity - 1e-9).select("node", "weight")
+    return found.filter(F.col("shared") >= F.col("size") * similarity - 1e-9).select("node", "weight", "size")
 
 
 def _matches(prepare: Callable, accept: Callable, member: Column, leader: Column) -> Column:
@@ -82,14 +85,40 @@ def verified(pairs: DataFrame, texts: DataFrame, prepare: Callable, accept: Call
     return rows.filter(_matches(prepare, accept, F.col("a"), F.col("b"))).select("member", "leader")
 
 
-def links(members: DataFrame, texts: DataFrame, prepare: Callable, accept: Callable, scratch: Scratch) -> DataFrame:
-    """Links (member, leader). members: distinct (bucket, node, weight); texts: (node, text), one row for each node.
+def bridged(found: DataFrame, matched: DataFrame, texts: DataFrame, prepare: Callable, accept: Callable, similarity: float, scratch: Scratch) -> DataFrame:
+    """The links, and those between nodes that matched in one bucket and are of different components so far.
+
+    matched: (bucket, node, size). Nodes that matched none of a bucket have met all of it. Texts of p and q parts, p < q, can't
+    match where p < s q (an exact bound).
+    """
+    for heads_only in (True, False):
+        labels = components(found, "member", "leader", scratch)
+        named = matched.join(labels, "node").select("bucket", "node", "size", "label")
+        several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
+        named = scratch.keep(named.join(several, "bucket", "left_semi"))
+        if named.isEmpty():
+            return found
+        heads = named
+        if heads_only:
+            heads = named.groupBy("bucket", "label").agg(F.min(F.struct("node", "size")).alias("h")).select("bucket", "label", "h.node", "h.size")
+        heads = heads.select("bucket", F.col("label").alias("other"), F.col("node").alias("leader"), F.col("size").alias("led"))
+        apart = (F.col("label") != F.col("other")) if heads_only else (F.col("label") < F.col("other"))
+        fits = F.least("size", "led") >= F.greatest("size", "led") * similarity - 1e-9
+        pairs = named.join(heads, "bucket").filter(apart & fits).select(F.col("node").alias("member"), "leader").distinct()
+        fresh = scratch.keep(verified(pairs, texts, prepare, accept))
+        found = found.unionByName(fresh)
+        scratch.release()
+    return found
+
+
+def links(members: DataFrame, texts: DataFrame, prepare: Callable, accept: Callable, similarity: float, scratch: Scratch) -> DataFrame:
+    """Links (member, leader). members: distinct (bucket, node, weight, size); texts: (node, text), one row for each node.
 
     The node of most weight leads first: where the weight tells how much a text has in common with others, it is the middle of
     its group. Later leaders are drawn from the whole bucket, by a hash that differs between buckets.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
-    left, found, leaders = members.select("bucket", "node"), None, 1
+    left, found, gone, leaders = members.select("bucket", "node"), None, None, 1
     while True:
         if leaders == 1:
             heads = members.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("h"))
@@ -102,10 +131,12 @@ def links(members: DataFrame, texts: DataFrame, prepare: Callable, accept: Calla
         fresh = scratch.keep(verified(pairs, texts, prepare, accept))
         found = fresh if found is None else found.unionByName(fresh)
         both = met.join(fresh.withColumnRenamed("member", "node"), ["node", "leader"], "left_semi")
-        matched = both.select("bucket", "node").unionByName(both.select("bucket", F.col("leader").alias("node")))
+        matched = scratch.keep(both.select("bucket", "node").unionByName(both.select("bucket", F.col("leader").alias("node"))).distinct())
+        gone = matched if gone is None else gone.unionByName(matched)
         unmet = heads.groupBy("bucket").agg(F.count("*").alias("led")).join(sizes, "bucket").filter("led < size").select("bucket")
         left = scratch.keep(left.join(matched, ["bucket", "node"], "left_anti").join(unmet, "bucket", "left_semi"))
         scratch.release()
         if left.isEmpty():
-            return found
+            gone = members.select("bucket", "node", "size").join(gone.distinct(), ["bucket", "node"], "left_semi")
+            return bridged(found, gone, texts, prepare, accept, similarity, scratch)
         leaders *= GROWTH

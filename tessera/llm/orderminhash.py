@@ -165,7 +165,7 @@ def classes(documents: DataFrame, text: str = "text", node: str = "node", label:
     able = scratch.keep(linkable(texts, counted, SIMILARITY))
     members = scratch.keep(members.join(able, "node"))
     scratch.release()
-    found = links(members, texts, prepare, aligned, scratch)
+    found = links(members, texts, prepare, aligned, SIMILARITY, scratch)
     labels = components(found, "member", "leader", scratch).withColumnRenamed("node", node).withColumnRenamed("label", label)
     return documents.withColumn(node, node_column(F.col(text))), labels
 
