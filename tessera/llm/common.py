@@ -35,17 +35,21 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Columns by exact name, else by name in any case; other columns may share those names in another case."""
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """The frame with its columns named by position, so that none clashes with another, and where the named ones are; toDF(*df.columns) gives the names back."""
     at = []
     for name in names:
-        exact = [i for i, c in enumerate(df.columns) if c == name]
-        loose = [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
-        if not exact and not loose:
+        found = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+        if not found:
             raise ValueError(f"no column {name} among {df.columns}")
-        at.append((exact or loose)[0])
-    own = df.toDF(*[f"__c{i}" for i in range(len(df.columns))])
-    return own.select(*[F.col(f"__c{i}").alias(n) for i, n in zip(at, names)])
+        at.append(f"__c{found[0]}")
+    return df.toDF(*[f"__c{i}" for i in range(len(df.columns))]), at
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Columns by exact name, else by name in any case; other columns may share those names in another case."""
+    own, at = numbered(df, *names)
+    return own.select(*[F.col(c).alias(n) for c, n in zip(at, names)])
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -94,6 +98,10 @@ WORD_BYTES = bytes(
 )
 
 
+#: A text has words if it has any of these.
+WORD_CHARACTERS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Runs of digits, ASCII letters (lower-cased) and non-ASCII characters."""
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []

@@ -18,17 +18,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pick, session_of, ship
+from tessera.llm.common import numbered, pick, session_of, ship
 
 HIDDEN, WINDOW = 8, 128
-#: Bounds of the training sample: rows of each language, bytes in all, languages.
-SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_LANGS = 300, 24 << 20, 200
+#: Bounds of the training sample: about so many rows of each language, and bytes in all, which the languages share evenly.
+SAMPLE_ROWS, SAMPLE_BYTES = 300, 24 << 20
 STEPS, TRAIN_WINDOW, TRAIN_BATCH, RATE = 160, 48, 256, 0.02
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+WORD_SIGN = re.compile(r"[^\W\d_]")
 RESULT = "lang string, score double"
 
 
+def has_letter(text: str) -> bool:
+    """Any character of the Unicode category L; fractions and raised digits are none."""
+    return any(m[0].isalpha() for m in WORD_SIGN.finditer(text))
+
+
 def squash(x: np.ndarray, spare: np.ndarray) -> None:
     """x / (1 + |x|) in place: the shape of tanh at a fifth of its price; its slope is (1 - |y|) squared."""
     np.abs(x, out=spare)
@@ -184,21 +189,20 @@ def position_sums(p: dict, texts: list[bytes], window: int = WINDOW, batch: int
 
 
 def training_rows(documents: DataFrame, lang: str, text: str, key: str, rows: int, most_bytes: int) -> tuple[list, list]:
-    """A hashed sample with about as many rows of each language, at most ``most_bytes`` in all."""
+    """A hashed sample with about as many rows of each language, in hash order; a text too long for what its language has left is passed over."""
     labelled = documents.filter(F.col(lang).isNotNull() & (F.length(text) > 0))
-    counts = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(SAMPLE_LANGS).collect()
-    if not counts:
-        return [], []
-    share = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, rows / r[1])))])
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("langid")), F.lit(1_000_003)) / 1_000_003
-    texts, langs, size = [], [], 0
-    for row in labelled.filter(draw < F.coalesce(share[F.col(lang)], F.lit(0.0))).select(text, lang).toLocalIterator():
-        raw = row[0].encode()
-        size += len(raw)
-        if size > most_bytes:
-            break
-        texts.append(raw)
-        langs.append(row[1])
+    rates = labelled.groupBy(lang).agg(F.count("*").alias("__n")).select(F.col(lang).alias("__lang"), (F.lit(rows) / F.col("__n")).alias("__rate"))
+    order = F.xxhash64(F.col(key).cast("string"), F.lit("langid"))
+    draw = F.pmod(order, F.lit(1_000_003)) / 1_000_003
+    found = labelled.join(F.broadcast(rates), F.col(lang) == F.col("__lang")).filter(draw < F.col("__rate"))  # one row for each language
+    names = [r[0] for r in rates.select("__lang").collect()]
+    left, texts, langs = {n: most_bytes // len(names) for n in names}, [], []
+    for row in found.orderBy(order, text).select(text, lang).toLocalIterator():
+        raw = row[0].encode("utf-8", "surrogatepass")
+        if len(raw) <= left[row[1]]:
+            left[row[1]] -= len(raw)
+            texts.append(raw)
+            langs.append(row[1])
     return texts, langs
 
 
@@ -218,7 +222,7 @@ def predict(documents: DataFrame, model: dict | None, text: str = "text", into:
         for column in batches:
             texts = column.to_pylist()
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            readable = [i for i, t in enumerate(texts) if known and t and LETTER.search(t)]
+            readable = [i for i, t in enumerate(texts) if known and t and has_letter(t)]
             for a in range(0, len(readable), 500):
                 part = readable[a : a + 500]
                 shares = position_sums(known["p"], [texts[i].encode("utf-8", "surrogatepass") for i in part])
@@ -227,7 +231,8 @@ def predict(documents: DataFrame, model: dict | None, text: str = "text", into:
                     langs[i], scores[i] = known["names"][k], min(1.0, float(s))
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
-    return documents.withColumn(into, run(F.col(text)))
+    own, (at,) = numbered(documents, text)
+    return own.withColumn(into, run(F.col(at))).toDF(*documents.columns, into)
 
 
 def held_out(key: str, mod: int, kept: int):

@@ -3,7 +3,7 @@
 score = sigmoid(w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i (v_if x_i)^2)), so a text costs time in
 proportion to its distinct words times the rank. Everything up to the sums is vectorised over a batch of texts.
 
-Learned from a bounded, hashed sample of labelled rows. Null and empty texts have no words and are scored on their
+Learned from a bounded sample of labelled rows in hash order; a text too long for what is left of the bound is passed over. Null and empty texts have no words and are scored on their
 statistics. Without any labelled row, every score is 0.5. Rows are judged one by one, so repeated rows get equal
 results; several labels of one document each count.
 """
@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pick, session_of, ship
+from tessera.llm.common import numbered, pick, session_of, ship
 
 #: Bounds of the training sample: labelled rows and bytes of text.
 SAMPLE_ROWS, SAMPLE_BYTES = 5000, 32 << 20
 WORD_BITS, SHAPES, BINS, RANK = 16, 1 << 10, 12, 6
 STATS = ("words", "chars", "word_length", "distinct", "upper", "symbol", "digit", "other", "lines", "line_words", "repeats", "odd_ends")
-EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.08, 1e-5
+EPOCHS, STEPS, BATCH, RATE, DECAY = 6, 300, 64, 0.08, 1e-5  # at least so many epochs and so many steps
 
 N_FEATURES = (1 << WORD_BITS) + SHAPES + len(STATS) * BINS
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -120,22 +120,27 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> dict | None:
-    """AdaGrad on the log loss, by the features of each batch."""
+    """AdaGrad on the log loss, by the features of each batch, both labels weigh alike, so a rare one is learned too; where there is one label only, it starts from its log odds."""
     if not texts:
         return None
+    ones = float(labels.sum())
+    odds = (ones + 0.5) / (len(labels) - ones + 0.5)
+    weight = np.where(labels > 0.5, len(labels) / max(2 * ones, 1), len(labels) / max(2 * (len(labels) - ones), 1)).astype(np.float32)
+    if ones in (0, len(labels)):
+        weight[:] = 1
     rng = np.random.default_rng(seed)
     stats = np.concatenate([features(texts[i : i + 500])[3] for i in range(0, len(texts), 500)])
     edges = np.quantile(stats, np.arange(1, BINS) / BINS, axis=0).T
-    model = {"edges": edges, "w0": 0.0, "w": np.zeros(N_FEATURES, np.float32), "v": rng.normal(0, 0.05, (N_FEATURES, RANK)).astype(np.float32)}
+    model = {"edges": edges, "w0": float(np.log(odds)) if ones in (0, len(labels)) else 0.0, "w": np.zeros(N_FEATURES, np.float32), "v": rng.normal(0, 0.05, (N_FEATURES, RANK)).astype(np.float32)}
     seen = {"w0": 1e-2, "w": np.full(N_FEATURES, 1e-2, np.float32), "v": np.full((N_FEATURES, RANK), 1e-2, np.float32)}
     order = rng.permutation(len(texts))
     parts = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
     given = [inputs([texts[k] for k in part], edges) for part in parts]
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS // len(parts)))):
         for at in rng.permutation(len(parts)):
             part, (rows, ids, values) = parts[at], given[at]
             raw, by_factor = sums(model, rows, ids, values, len(part))
-            g = ((sigmoid(raw) - labels[part]) / len(part)).astype(np.float32)
+            g = ((sigmoid(raw) - labels[part]) * weight[part] / len(part)).astype(np.float32)
             own, back = np.unique(ids, return_inverse=True)
             gx = g[rows] * values
             g_w = np.bincount(back, weights=gx, minlength=len(own)).astype(np.float32) + DECAY * model["w"][own]
@@ -158,18 +163,18 @@ def score_texts(model: dict | None, texts: list[bytes], at_once: int = 400) -> n
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, label: str, key: str, text: str, rows: int, most_bytes: int):
-    """Labelled texts: the ``rows`` labels of least hash, and of their texts the first ``most_bytes``."""
+    """Labelled texts: of the ``rows`` labels of least hash, in that order, those whose texts fit into what is left of ``most_bytes``."""
+    order = F.xxhash64(F.col(key).cast("string"), F.lit("quality"))
     own = pick(labels, key, label).filter(F.col(key).isNotNull() & F.col(label).isin(0, 1))
-    own = own.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit("quality")), key, label).limit(rows)
+    own = own.orderBy(order, key, label).limit(rows)
     found = pick(documents, key, text).join(F.broadcast(own), key)  # the sample's bound is the broadcast's
-    texts, marks, size = [], [], 0
-    for row in found.select(text, label).toLocalIterator():
+    texts, marks, left = [], [], most_bytes
+    for row in found.filter(F.coalesce(F.octet_length(text), F.lit(0)) <= most_bytes).orderBy(order, key, label, text).select(text, label).toLocalIterator():
         raw = (row[0] or "").encode("utf-8", "surrogatepass")
-        size += len(raw)
-        if size > most_bytes:
-            break
-        texts.append(raw)
-        marks.append(row[1])
+        if len(raw) <= left:
+            left -= len(raw)
+            texts.append(raw)
+            marks.append(row[1])
     return texts, np.array(marks, np.float32)
 
 
@@ -192,7 +197,8 @@ def score(documents: DataFrame, model: dict | None, text: str = "text", into: st
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
             yield pa.array(score_texts(shared.value, raw), pa.float64())
 
-    return documents.withColumn(into, run(F.col(text)))
+    own, (at,) = numbered(documents, text)
+    return own.withColumn(into, run(F.col(at))).toDF(*documents.columns, into)
 
 
 def held_out(key: str):

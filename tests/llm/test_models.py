@@ -47,6 +47,19 @@ def test_language_edges(spark, documents, no_documents):
     assert L.fit([], []) is None and {r.found.lang for r in L.predict(documents, None).collect()} == {"und"}
 
 
+def test_signs_that_are_no_letters(spark):
+    model = L.fit([b"the cat", b"le chat"], ["en", "fr"], steps=5)
+    docs = spark.createDataFrame([(1, "\u00bd \u00b2 \u2162"), (2, "\u00bd a")], "doc_id long, text string")
+    assert {r.doc_id: r.found.lang == "und" for r in L.predict(docs, model).collect()} == {1: True, 2: False}
+
+
+def test_every_language_gets_its_share_of_the_sample(spark):
+    rows = [(i, "a" * 400, "aa") for i in range(40)] + [(100 + i, f"b{i}", f"z{i}") for i in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, langs = L.training_rows(docs, "lang", "text", "doc_id", 300, 251 * 900)
+    assert len(set(langs)) == 251 and langs.count("aa") == 2
+
+
 def test_positions_cover_the_whole_text():
     model = L.fit([b"aaaa bbbb", b"cccc dddd"], ["x", "y"], steps=30)
     texts = [b"a" * 300 + b"c" * 40, b"c"]
@@ -72,9 +85,31 @@ def test_quality_on_held_out_rows(spark, sf):
     held = [r for r in rows if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     assert np.mean([r.predicted == r.quality for r in held]) > 0.85
+    for label in (0, 1):
+        assert np.mean([r.predicted == label for r in rows if r.quality == label]) > 0.9
     assert all(r.predicted == int(r.score >= 0.5) for r in rows)
 
 
+def test_rare_label_is_learned():
+    rng = np.random.default_rng(2)
+    words = [f"w{i}".encode() for i in range(300)]
+
+    def made(good, n):
+        return [b" ".join(w + (b"" if good else b"%%") for w in rng.choice(words, 60)) for _ in range(n)]
+
+    model = Q.fit(made(True, 60) + made(False, 4), np.array([1] * 60 + [0] * 4, np.float32))
+    assert (Q.score_texts(model, made(False, 30)) < 0.5).mean() > 0.9 and (Q.score_texts(model, made(True, 30)) >= 0.5).mean() > 0.9
+    only = Q.fit(made(True, 20), np.ones(20, np.float32))
+    assert (Q.score_texts(only, made(True, 5)) > 0.5).all()
+
+
+def test_sample_passes_over_what_does_not_fit(spark):
+    docs = spark.createDataFrame([(1, "x" * 900), (2, "a b"), (3, "c d"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, quality int")
+    texts, marks = Q.training_rows(docs, labels, "quality", "doc_id", "text", 10, 100)
+    assert sorted(texts) == [b"", b"a b", b"c d"] and sorted(marks.tolist()) == [0, 0, 1]
+
+
 def test_quality_edges(spark, documents, no_documents):
     texts = [b"good words in a row", b"bad%%% bad### $$$"] * 10
     model = Q.fit(texts, np.array([1, 0] * 10, np.float32))
