@@ -1,4 +1,4 @@
-"""Listings, rollups, usage and retrieval-quality figures."""
+"""Listings, rollups, usage and retrieval-quality figures."""
 
 from __future__ import annotations
 
@@ -87,7 +87,9 @@ def judge_median(runs: DataFrame, by: list[str], dims: tuple[str, ...] = DIMENSI
 
 
 def packed(rows: DataFrame, order: list[str], size: Column, most: int, by: list[str] | None = None) -> DataFrame:
-    """Rows in order up to the first that would exceed ``most`` in all."""
+    """Rows in order up to the first that would exceed ``most`` in all. Sizes are whole numbers from 1; without ``by``, no more than the first ``most`` rows can fit."""
+    if not by:
+        rows = rows.orderBy(*order).limit(most)
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("running", F.sum(size).over(w)).filter(F.col("running") <= most)
 

@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 K1, B = 1.5, 0.75
 WORD = r"[\p{L}\p{N}_]{2,}"
 # English stop words of the public tokenizer defaults.
-STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these",
+    "they", "this", "to", "was", "will", "with",
+)
 
 
 def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
     """B1: lower-cased words of two characters or more, without stop words; repeated ones stay."""
     found = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
     words = STOP_WORDS if stop_words is None else stop_words
-    return F.filter(found, lambda x: ~x.isin(words)) if words else found
+    return F.filter(found, lambda x: ~x.isin(*words)) if words else found
 
 
 class Model:
@@ -70,6 +73,11 @@ class Model:
         own = queries.select(F.col(key).alias("query"), F.explode(F.array_distinct(tokens(F.col(text), self.stop_words))).alias("token"))
         return self.postings.join(own, "token").groupBy("query", "doc").agg(F.round(F.sum("weight"), 6).alias("score"))
 
+    def kept(self, spark, path: str) -> Model:
+        """The same model read from its tables, so that the corpus is tokenised once, however often it is asked."""
+        self.save(path)
+        return Model.load(spark, path, k1=self.k1, b=self.b, stop_words=self.stop_words)
+
     def save(self, path: str) -> None:
         """K5: postings and vocabulary as tables."""
         self.postings.write.mode("overwrite").parquet(f"{path}/postings")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import api_names
+from tessera.sources.markdown import front_matter
 
 
 def dictionary(headings: DataFrame, types: dict[str, str], last: bool = True) -> DataFrame:
@@ -28,11 +29,13 @@ def seeded(seeds: DataFrame, found: DataFrame) -> DataFrame:
     return union.withColumn("n", F.row_number().over(order)).filter("n = 1").select("name", "entity_type", "prio")
 
 
-def by_directory(files: DataFrame, path: str = "path") -> DataFrame:
-    """``{package}/{function}/index.md`` is an entity; the first package wins."""
+def by_directory(files: DataFrame, path: str = "path", text: str | None = None) -> DataFrame:
+    """``{package}/{function}/index.md`` is an entity; the first package wins. text: where its front matter tells what is related."""
     parts = F.split(path, "/")
-    rows = files.filter((F.size(parts) == 3) & F.col(path).endswith("/index.md")).select(F.element_at(parts, 2).alias("name"), F.element_at(parts, 1).alias("package"), path)
-    return rows.groupBy("name").agg(F.min(F.struct("package", path)).alias("f")).select("name", "f.package", F.col(f"f.{path}").alias("page_path"))
+    rows = files.filter((F.size(parts) == 3) & F.col(path).endswith("/index.md")).select(F.element_at(parts, 2).alias("name"), F.element_at(parts, 1).alias("package"), path, *([front_matter(F.col(text))["related"].alias("related")] if text else []))
+    names = ["package", path, *(["related"] if text else [])]
+    first = rows.groupBy("name").agg(F.min(F.struct(*names)).alias("f"))
+    return first.select("name", "f.package", F.col(f"f.{path}").alias("page_path"), *(["f.related"] if text else []), typed(F.col("name"), "composables").alias("entity_type"))
 
 
 def by_pattern(name: Column, rules: list[tuple[str, str]], default: str = "other") -> Column:
@@ -43,6 +46,48 @@ def by_pattern(name: Column, rules: list[tuple[str, str]], default: str = "other
     return out.otherwise(default)
 
 
+COMPONENT = (r"^\p{Lu}(?!\p{Lu})", "component")
+# Ordered rules that type a name, by source; the first that fits tells.
+RULES = {
+    "generic": [("^use", "composable"), ("^create", "global_api"), ("^define", "compiler_macro"), ("^v-", "directive"), COMPONENT, (r"\.", "instance_method")],
+    "router": [("^use", "composable"), ("^create", "global_api"), ("^(before|after|onBefore)", "navigation_guard"), COMPONENT, (r"\.", "instance_method")],
+    "store": [(r"^\$", "instance_method"), ("^(create|define|map|set|get)", "global_api"), ("^use", "composable"), COMPONENT],
+    "testing": [(r"^vi\.", "utility"), (r"^(test|describe|bench|expect)\.", "global_api"), ("^(before|after|around|onTest)", "lifecycle_hook"), ("^(define|merge)", "global_api"), COMPONENT],
+    "meta": [("^use", "composable"), ("^(create|define)", "global_api"), ("^(onBefore|onAfter|onNuxt|onPre)", "lifecycle_hook"), COMPONENT],
+    "composables": [("^use", "composable"), ("^create", "global_api"), ("^on", "lifecycle_hook"), (r"^\p{Lu}", "component"), ("", "utility")],
+    "devtools": [("^(add|remove|create|define)", "global_api"), ("^on", "lifecycle_hook"), COMPONENT],
+}
+
+
+def typed(name: Column, source: str) -> Column:
+    """The type of a name by the rules of its source; sources without rules of their own take the general ones."""
+    return by_pattern(name, RULES.get(source, RULES["generic"]))
+
+
+def heading_name(heading: Column) -> Column:
+    """The name that a heading is, without slug, backticks, angle brackets and call parentheses; null for prose."""
+    text = F.trim(F.regexp_replace(heading, r"\s*\{#[^}]+\}", ""))
+    text = F.regexp_replace(F.regexp_replace(text, r"^`([^`]+)`.*$", "$1"), r"^<(.+?)/?>$", "$1")
+    text = F.trim(F.regexp_replace(text, r"\(\)$", ""))
+    prose = text.contains(" ") & ~text.contains(".") & ~text.rlike(r"^(v-|\$)")
+    return F.when(~prose & (text != ""), text)
+
+
+API_FOLDERS = ("api", "reference", "API")
+
+
+def from_headings(headings: DataFrame, source: str) -> DataFrame:
+    """Names in headings of levels 2 and 3 of files in API folders, index files apart; the first in file order wins.
+
+    headings: file_path, level, heading, ord.
+    """
+    folder = F.array_position(F.array(*map(F.lit, API_FOLDERS)), F.split_part(F.col("file_path"), F.lit("/"), F.lit(1)))
+    rows = headings.filter((folder > 0) & F.col("level").isin(2, 3) & ~F.col("file_path").endswith("/index.md")).withColumn("name", heading_name(F.col("heading")))
+    order = Window.partitionBy("name").orderBy(folder, "file_path", "ord")
+    first = rows.filter("name is not null").withColumn("n", F.row_number().over(order)).filter("n = 1")
+    return first.select("name", typed(F.col("name"), source).alias("entity_type"), F.col("file_path").alias("page_path"), F.trim("heading").alias("section"), F.lit(source).alias("source"))
+
+
 def mentioned(chunks: DataFrame, names: DataFrame, imports: list[str] | None = None) -> DataFrame:
     """(chunk_id, name) of dictionary names in inline code and, where there is code, in import lists and directives."""
     text = F.col("content")

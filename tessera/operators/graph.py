@@ -78,6 +78,11 @@ def targets(hits: DataFrame, edges: DataFrame, most: int = MOST_TARGETS, untyped
     return best.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).select("query", "target", "prio", "n")
 
 
+def total_references(edges: DataFrame) -> DataFrame:
+    """How many references there are in all, and from how many chunks."""
+    return edges.agg(F.count("*").alias("references"), F.countDistinct("source_chunk_id").alias("chunks"))
+
+
 def expand(hits: DataFrame, edges: DataFrame, chunks: DataFrame, most: int = MOST_TARGETS, untyped: bool = False) -> DataFrame:
     """Hits with the chunks they refer to, score 0, none twice. chunks: chunk_id, file_path, chunk_type."""
     wanted = targets(hits, edges, most, untyped)

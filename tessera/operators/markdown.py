@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import breadcrumb, content_hash, fence_languages, slug
 
 MOST_CHARS, LEAST_PARENT = 3000, 100
+IMAGE, STYLE = r"!\[(.*?)\]\((.*?)\)", r'<div class="(options|composition)-api"'
 
 
 def headings(text: Column) -> Column:
@@ -92,18 +93,67 @@ def chunks(files: DataFrame, path: str = "path", text: str = "text") -> DataFram
 
 
 def images(text: Column) -> Column:
-    """Array of (alt, src, context of two lines before and after)."""
-    lines = F.split(text, "\n")
+    """Array of (alt, src, line from 0) outside fences."""
+    start = F.struct(F.lit(False).alias("fence"), F.lit(0).alias("line"), F.array().cast("array<struct<alt:string,src:string,line:int>>").alias("out"))
 
-    def of_line(line: Column, i: Column) -> Column:
-        context = F.array_join(F.slice(lines, F.greatest(i - 1, F.lit(1)), i + 3 - F.greatest(i - 1, F.lit(1)) + 1), "\n")
-        pairs = F.arrays_zip(F.regexp_extract_all(line, F.lit(r"!\[(.*?)\]\((.*?)\)"), F.lit(1)).alias("alt"), F.regexp_extract_all(line, F.lit(r"!\[(.*?)\]\((.*?)\)"), F.lit(2)).alias("src"))
-        return F.transform(pairs, lambda p: F.struct(p["alt"].alias("alt"), p["src"].alias("src"), context.alias("context")))
+    def step(state: Column, line: Column) -> Column:
+        mark = line.rlike(r"^\s{0,3}(```|~~~)")
+        pairs = F.arrays_zip(F.regexp_extract_all(line, F.lit(IMAGE), F.lit(1)).alias("alt"), F.regexp_extract_all(line, F.lit(IMAGE), F.lit(2)).alias("src"))
+        found = F.transform(pairs, lambda p: F.struct(p["alt"].alias("alt"), p["src"].alias("src"), state["line"].alias("line")))
+        return F.struct(
+            F.when(mark, ~state["fence"]).otherwise(state["fence"]).alias("fence"), (state["line"] + 1).alias("line"),
+            F.when(~state["fence"] & ~mark, F.concat(state["out"], found)).otherwise(state["out"]).alias("out"),
+        )
+
+    return F.aggregate(F.split(text, "\n"), start, step, lambda s: s["out"])
+
+
+def image_chunks(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """A chunk for each image of a section of level 2: its mark, with up to two lines before and after as prose, hashed by its source."""
+    rows = files.select(F.col(path).alias("file_path"), F.split(text, "\n").alias("lines"), headings(F.col(text)).alias("heads"), images(F.col(text)).alias("images"))
+    rows = rows.withColumn("title", page_title(F.col("file_path"), F.col("heads"))).withColumn("twos", F.filter("heads", lambda h: h["level"] == 2))
+    rows = rows.select("*", F.posexplode("twos").alias("at", "head")).withColumn("end", F.coalesce(F.try_element_at("twos", F.col("at") + 2)["line"], F.size("lines")))
+    inside = F.filter("images", lambda i: (i["line"] >= F.col("head.line")) & (i["line"] < F.col("end")))
+    rows = rows.withColumn("section", F.concat(stem(F.col("file_path")), F.lit("#"), F.col("head.slug"))).select("*", F.posexplode(inside).alias("n", "image"))
+    context = lines_between(F.col("lines"), F.greatest(F.col("head.line"), F.col("image.line") - 2), F.least("end", F.col("image.line") + 3))
+    return rows.select(
+        "file_path", F.concat("section", F.lit("-img-"), F.col("n").cast("string")).alias("chunk_id"), F.lit("image").alias("chunk_type"), F.col("section").alias("parent_chunk_id"),
+        F.concat(F.lit("!["), "image.alt", F.lit("]("), "image.src", F.lit(")")).alias("content"), stripped(context).alias("preceding_prose"),
+        content_hash(F.col("image.src")).alias("content_hash"), breadcrumb(F.col("title"), F.col("head.title")).alias("breadcrumb"),
+    )
 
-    return F.flatten(F.transform(lines, of_line))
+
+def style_lines(text: Column) -> Column:
+    """P10: for each line the innermost styled block it is in: ``options``, ``composition`` or, outside all, ``both``.
+
+    A closing mark on a line of its own ends the innermost block.
+    """
+    strings = F.array().cast("array<string>")
+    start = F.struct(strings.alias("open"), strings.alias("out"))
+
+    def step(state: Column, line: Column) -> Column:
+        opens = F.regexp_extract(line, STYLE, 1)
+        closes = line.rlike(r"^\s*</div>\s*$") & (F.size(state["open"]) > 0)
+        less = F.slice(state["open"], 1, F.greatest(F.size(state["open"]) - 1, F.lit(0)))
+        stack = F.when(opens != "", F.concat(state["open"], F.array(opens))).when(closes, less).otherwise(state["open"])
+        return F.struct(stack.alias("open"), F.concat(state["out"], F.array(F.coalesce(F.try_element_at(stack, F.lit(-1)), F.lit("both")))).alias("out"))
+
+    return F.aggregate(F.split(text, "\n"), start, step, lambda s: s["out"])
+
+
+def style_of(styles: Column) -> Column:
+    """P10: the one style of some lines, ``both`` where there is none or more than one."""
+    told = F.array_distinct(F.filter(styles, lambda s: s != "both"))
+    return F.when(F.size(told) == 1, told[0]).otherwise("both")
 
 
 def api_style(text: Column) -> Column:
-    """P10: ``options``, ``composition`` or ``both``, by the styled blocks a text holds."""
-    options, composition = text.contains('<div class="options-api">'), text.contains('<div class="composition-api">')
-    return F.when(options & ~composition, "options").when(composition & ~options, "composition").otherwise("both")
+    return style_of(style_lines(text))
+
+
+def section_styles(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """P10: the style of each section of level 2."""
+    rows = files.select(F.col(path).alias("file_path"), style_lines(F.col(text)).alias("styles"), F.filter(headings(F.col(text)), lambda h: h["level"] == 2).alias("twos"))
+    rows = rows.select("*", F.posexplode("twos").alias("at", "head")).withColumn("end", F.coalesce(F.try_element_at("twos", F.col("at") + 2)["line"], F.size("styles")))
+    own = F.slice("styles", F.col("head.line") + 1, F.col("end") - F.col("head.line"))
+    return rows.select("file_path", F.concat(stem(F.col("file_path")), F.lit("#"), F.col("head.slug")).alias("chunk_id"), style_of(own).alias("api_style"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 SHORT, FUZZY_CHARS, FUZZY_RATIO, FUZZY_TOP = 3, 6, 85, 3
 # Names that are common English words and count in code context only.
-AMBIGUOUS = "$options component components data h inject is key methods name props provide render slot template watch".split()
+AMBIGUOUS = ("$options", "component", "components", "data", "h", "inject", "is", "key", "methods", "name", "props", "provide", "render", "slot", "template", "watch")
+GRAM = 4
 PRIORITY = {"exact": 0, "bigram": 1, "synonym": 2, "fuzzy": 3}
 
 
@@ -37,12 +38,26 @@ def _bounded(name: Column, text: Column) -> Column:
     return F.regexp_like(text, quoted)
 
 
+def grams(text: Column) -> Column:
+    """The distinct runs of 1 to ``GRAM`` characters of a text."""
+    at = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n))))
+    return F.array_distinct(F.flatten(F.array(*[F.coalesce(at(n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)])))
+
+
+def contained(queries: DataFrame, phrases: DataFrame, phrase: str) -> DataFrame:
+    """Pairs of queries and phrases that stand in them, in any case. Joined by the first characters of the phrase, so that
+    neither side has to be small; the rest is compared in the pairs."""
+    own = queries.withColumn("__q", normalise(F.col("text"))).select("*", F.explode(grams(F.col("__q"))).alias("__gram"))
+    low = F.lower(F.col(phrase))
+    known = phrases.filter(F.length(phrase) > 0).withColumn("__low", low).withColumn("__gram", F.substring(F.col("__low"), 1, GRAM))
+    return own.join(known, "__gram").filter(F.instr(F.col("__q"), F.col("__low")) > 0)
+
+
 def exact(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """M4: names that stand in the query. The dictionary is broadcast, for it is short and the test is no equality."""
-    q, low = normalise(F.col("text")), F.lower(F.col("name"))
-    joined = queries.join(F.broadcast(names.select("name").distinct()), F.instr(q, low) > 0)
-    fits = F.when(F.length("name") <= SHORT, _bounded(low, q)).otherwise(F.lit(True))
-    fits &= ~low.isin(AMBIGUOUS) | F.array_contains(code_names(F.col("text")), low)
+    """M4: names that stand in the query."""
+    joined = contained(queries, names.select("name").distinct(), "name")
+    fits = F.when(F.length("name") <= SHORT, _bounded(F.col("__low"), F.col("__q"))).otherwise(F.lit(True))
+    fits &= ~F.col("__low").isin(*AMBIGUOUS) | F.array_contains(code_names(F.col("text")), F.col("__low"))
     return joined.filter(fits).select("query", "name")
 
 
@@ -55,8 +70,7 @@ def bigram(queries: DataFrame, names: DataFrame) -> DataFrame:
 
 def synonym(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """M6: phrases that stand in the query, with all names they stand for."""
-    joined = queries.join(F.broadcast(synonyms), F.instr(normalise(F.col("text")), F.lower(F.col("alias"))) > 0)
-    return joined.select("query", F.explode("names").alias("name")).distinct()
+    return contained(queries, synonyms, "alias").select("query", F.explode("names").alias("name")).distinct()
 
 
 def common_length(a: Column, b: Column) -> Column:
@@ -79,13 +93,24 @@ def ratio(a: Column, b: Column) -> Column:
     return 200.0 * common_length(a, b) / (F.length(a) + F.length(b))
 
 
+def pairs_of(text: str) -> Column:
+    """Every two characters in a row, with their place."""
+    return F.posexplode(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substr(F.col(text), i, F.lit(2)))).alias("__at", "__two")
+
+
 def fuzzy(queries: DataFrame, names: DataFrame, taken: DataFrame) -> DataFrame:
-    """M7: long tokens that nearly are a name. Length and edit distance, which no match can exceed, rule most pairs out first."""
+    """M7: long tokens that nearly are a name.
+
+    Strings of a and b characters that are alike enough differ by at most 15 % of a + b characters, so they share two characters in a row at
+    nearly the same place: those pairs are joined. Length and edit distance rule most of them out before they are compared.
+    """
     words = queries.select("query", F.explode(F.array_distinct(query_tokens(F.col("text")))).alias("token")).filter(F.length("token") >= FUZZY_CHARS)
-    known = names.select("name", F.lower("name").alias("low")).filter((F.length("low") >= FUZZY_CHARS) & ~F.col("low").isin(AMBIGUOUS))
+    known = names.select("name", F.lower("name").alias("low")).filter((F.length("low") >= FUZZY_CHARS) & ~F.col("low").isin(*AMBIGUOUS)).distinct()
     most = F.floor((F.length("token") + F.length("low")) * (100 - FUZZY_RATIO) / 100).cast("int")
-    near = words.select("token").distinct().join(F.broadcast(known), F.abs(F.length("token") - F.length("low")) <= most)
-    near = near.filter((F.col("token") != F.col("low")) & (F.levenshtein("token", "low") <= most))
+    left = words.select("token").distinct().select("token", pairs_of("token"))
+    right = known.select("name", "low", pairs_of("low")).withColumnRenamed("__at", "__there")
+    near = left.join(right, "__two").filter((F.abs(F.length("token") - F.length("low")) <= most) & (F.abs(F.col("__at") - F.col("__there")) <= most) & (F.col("token") != F.col("low")))
+    near = near.select("token", "name", "low").distinct().filter(F.levenshtein("token", "low") <= most)
     near = near.withColumn("ratio", ratio(F.col("token"), F.col("low"))).filter(F.col("ratio") >= FUZZY_RATIO)
     order = Window.partitionBy("query", "token").orderBy(F.desc("ratio"), "name")
     best = words.join(near, "token").join(taken, ["query", "name"], "left_anti").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= FUZZY_TOP)

@@ -17,14 +17,27 @@ def with_fallback(pages: DataFrame, keys: DataFrame, path: str = "path", key: st
     return found.withColumn(key, F.coalesce(key, F.concat(F.lit(UNKNOWN), F.col(path)))).drop("__bare")
 
 
-def by_category(items: DataFrame, category: str, name: str, section: int = 1) -> DataFrame:
-    """Categories in alphabetical order from 1, their items from 0."""
-    # A window over all rows would put them in one task: the categories are ranked apart, for they are few.
-    groups = items.select(category).distinct()
-    ranks = groups.alias("a").join(groups.alias("b"), F.col(f"b.{category}") <= F.col(f"a.{category}")).groupBy(F.col(f"a.{category}").alias(category)).agg(F.count("*").alias("g"))
+def by_category(items: DataFrame, category: str, name: str, section: int | None = None) -> DataFrame:
+    """A section for each category in alphabetical order from 1, its items from 0; with ``section``, categories are groups of that section."""
+    # A window over all rows would put them in one task: the categories alone are ranked, in one row that is as long as there are categories.
+    ranks = items.select(category).distinct().agg(F.array_sort(F.collect_list(category)).alias("all")).select(F.posexplode("all").alias("g", category))
     within = Window.partitionBy(category).orderBy(name)
-    out = items.withColumn("i", F.row_number().over(within) - 1).join(F.broadcast(ranks), category)
-    return out.withColumn("sort_key", F.concat_ws("_", F.lit(f"{section:02d}"), padded(F.col("g")), padded(F.col("i")))).drop("g", "i")
+    out = items.withColumn("i", F.row_number().over(within) - 1).join(ranks, category)
+    group = F.col("g") + 1
+    key = (padded(group), F.lit("00")) if section is None else (F.lit(f"{section:02d}"), padded(group))
+    return out.withColumn("sort_key", F.concat_ws("_", *key, padded(F.col("i")))).drop("g", "i")
+
+
+# Guide pages in reading order, and pages at the root.
+GUIDE_PAGES, ROOT_PAGES = ("index", "best-practice", "config", "components", "work-with-ai"), ("index", "add-ons")
+
+
+def of_guide(path: Column) -> Column:
+    """Keys of guide pages and root pages, null for others; paths without ``.md``."""
+    place = lambda names, of: F.array_position(F.array(*map(F.lit, names)), of) - 1
+    guide = place([f"guide/{n}" for n in GUIDE_PAGES], path)
+    root = place(list(ROOT_PAGES), path)
+    return F.when(guide >= 0, F.concat(F.lit("00_00_"), padded(guide))).when(root >= 0, F.concat(F.lit("00_01_"), padded(root)))
 
 
 def padded(number: Column, width: int = 2) -> Column:
@@ -47,18 +60,34 @@ def by_appearance(index: Column) -> Column:
     return F.concat_ws("_", F.lit("00"), padded(F.floor(index / 10).cast("int")), padded((index % 10).cast("int")))
 
 
-def sidebar(source: str) -> dict[str, str]:
-    """O1, O3: a sidebar's configuration text to {path: SS_GG_II}; a section for each quoted path with a list, a group for each ``items``."""
-    out: dict[str, str] = {}
-    section = group = item = -1
-    for m in re.finditer(r"""(['"])(/[^'"]*)\1\s*:\s*\[|\bitems\s*:\s*\[|\blink\s*:\s*(['"])([^'"]+)\3""", source):
-        if m[2] is not None:
-            section, group, item = section + 1, -1, 0
-        elif m[4] is None:
+def _bracketed(source: str, start: int, opening: str, closing: str) -> str:
+    """What stands between a bracket, just before ``start``, and the one that closes it."""
+    depth, at = 1, start
+    while depth and at < len(source):
+        depth += (source[at] == opening) - (source[at] == closing)
+        at += 1
+    return source[start : at - 1]
+
+
+def _links(part: str, section: int, out: dict[str, str], first_group: int = 0) -> None:
+    """Keys of a part's links; each ``items`` starts a group."""
+    group, item = first_group - 1, 0
+    for m in re.finditer(r"""\bitems\s*:|\blink\s*:\s*(['"])([^'"]+)\1""", part):
+        if m[2] is None:
             group, item = group + 1, 0
-        else:
-            path = re.sub(r"\.(html|md)$", "", m[4].strip("/"))
-            if path and path not in out:
-                out[path] = f"{max(section, 0):02d}_{max(group, 0):02d}_{item:02d}"
-                item += 1
+        elif path := re.sub(r"\.(html|md)$", "", m[2].split("#")[0].strip("/")):
+            out[path] = f"{section:02d}_{max(group, 0):02d}_{item:02d}"
+            item += 1
+
+
+def sidebar(source: str, functions: tuple[str, ...] = ()) -> dict[str, str]:
+    """O1, O3: a sidebar's configuration text to {path: SS_GG_II}: a section for each quoted path with a list, ``/`` among them, and a
+    group for each ``items``. Links in the bodies of some functions belong to the first section, in groups after those it has."""
+    out: dict[str, str] = {}
+    for section, m in enumerate(re.finditer(r"""(['"])(/[^'"]*)\1\s*:\s*\[""", source)):
+        _links(_bracketed(source, m.end(), "[", "]"), section, out)
+    for name in functions:
+        if m := re.search(rf"function\s+{name}\s*\([^)]*\)\s*\{{", source):
+            groups = [int(key.split("_")[1]) for key in out.values() if key.startswith("00_")]
+            _links(_bracketed(source, m.end(), "{", "}"), 0, out, max(groups, default=-1) + 1)
     return out

@@ -14,22 +14,25 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
 
 
-def bounded(small: DataFrame, bytes_of: Column) -> DataFrame:
-    """A side to broadcast, if its measured size allows; else Spark is left to choose."""
-    size = small.agg(F.coalesce(F.sum(bytes_of), F.lit(0))).first()[0]
-    return F.broadcast(small) if size <= BROADCAST_BYTES else small
+def dense(queries: DataFrame, chunks: DataFrame, limit: int, where: Column | None = None, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Exact cosine top ``limit``. queries: query, qvec; chunks: doc, vec and what ``where`` reads, applied before ranking.
 
-
-def dense(queries: DataFrame, chunks: DataFrame, limit: int, where: Column | None = None) -> DataFrame:
-    """Exact cosine top ``limit``. queries: query, qvec; chunks: doc, vec and what ``where`` reads, applied before ranking."""
-    rows = chunks if where is None else chunks.filter(where)
-    own = bounded(queries, F.size("qvec") * 8)
-    scored = rows.join(own, F.size("vec") == F.size("qvec")).select("query", "doc", F.round(cosine(F.col("qvec"), F.col("vec")), 6).alias("score"))
-    return top(scored, limit)
+    Every query meets every chunk, queries in blocks of measured size that are broadcast; the best of each block's queries are found apart. Norms are computed once a row.
+    """
+    rows = (chunks if where is None else chunks.filter(where)).select("doc", "vec", norm(F.col("vec")).alias("n"))
+    own = queries.select("query", "qvec", norm(F.col("qvec")).alias("qn"))
+    size = own.agg(F.coalesce(F.sum(F.size("qvec") * 8), F.lit(0))).first()[0]
+    blocks, out = max(1, -(-size // most_bytes)), None
+    for i in range(blocks):
+        block = own if blocks == 1 else own.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
+        scored = rows.join(F.broadcast(block), F.size("vec") == F.size("qvec"))
+        found = top(scored.select("query", "doc", F.round(dot(F.col("qvec"), F.col("vec")) / (F.col("n") * F.col("qn")), 6).alias("score")), limit)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def fuse(legs: list[DataFrame], limit: int, k: float = 2, base: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ from tessera.plans.tables import table
 from tessera.registry import query
 
 NAMES = "names AS (SELECT DISTINCT p_name AS name FROM part)"
-QUERIES = """queries AS (SELECT p_partkey "query", 'how to use ' || p_name || ' with ' || p_brand AS text FROM part WHERE p_partkey % 7 = 0)"""
+QUERIES = """queries AS (SELECT p_partkey "query", 'how to use ' || p_name || ' with ' || p_brand AS text FROM part)"""
 
 
 def names(spark, d):
@@ -15,8 +15,7 @@ def names(spark, d):
 
 
 def queries(spark, d):
-    rows = table(spark, d, "part").filter("p_partkey % 7 = 0")
-    return rows.select(F.col("p_partkey").alias("query"), F.concat(F.lit("how to use "), "p_name", F.lit(" with "), "p_brand").alias("text"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("query"), F.concat(F.lit("how to use "), "p_name", F.lit(" with "), "p_brand").alias("text"))
 
 
 @query("match_exact", f"""WITH {NAMES}, {QUERIES} SELECT "query", name FROM queries, names WHERE contains(lower(text), lower(name))""")

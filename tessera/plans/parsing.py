@@ -38,9 +38,9 @@ def markdown_chunks(spark, d):
     return markdown.chunks(files(spark, d)).select("chunk_id", "chunk_type", "folder_path", "breadcrumb", "content", "content_hash")
 
 
-@query("slugs", r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(trim(substr(text, 1, 60))), '[^\p{L}\p{N}_\s-]', '', 'g'), '[\s_]+', '-', 'g'), '-') slug FROM documents")
+@query("slugs", r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(trim(text)), '[^\p{L}\p{N}_\s-]', '', 'g'), '[\s_]+', '-', 'g'), '-') slug FROM documents")
 def slugs(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.slug(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("fence_languages", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'js,ts' ELSE 'sh' END languages FROM part")

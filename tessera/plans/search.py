@@ -135,12 +135,19 @@ def rerank(spark, d):
     return retrieval.rerank(hits, share).select("query", "doc", "score", "rank")
 
 
-READ_SQL = """hits AS (SELECT c_nationkey "query", c_custkey chunk_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) rank, CASE WHEN c_custkey % 17 = 0 THEN 'folder_summary' ELSE 'section' END chunk_type,
-  CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE lpad((c_custkey % 3)::VARCHAR, 2, '0') || '_00_' || lpad((c_custkey // 3 % 100)::VARCHAR, 2, '0') END global_sort_key, c_mktsegment file_path, 'f' || (c_custkey % 2) section_title FROM customer),
-ordered AS (SELECT *, row_number() OVER (PARTITION BY "query" ORDER BY CASE WHEN chunk_type = 'folder_summary' THEN 0 ELSE 1 END, coalesce(global_sort_key, 'zzz'), rank) pos FROM hits WHERE rank <= 40),
-lagged AS (SELECT *, lag(file_path) OVER w pf, lag(section_title) OVER w ps, lag(global_sort_key) OVER w pk FROM ordered WINDOW w AS (PARTITION BY "query" ORDER BY pos)),
-flags AS (SELECT *, CASE WHEN pf IS NULL OR pf <> file_path THEN 1 ELSE 0 END np, CASE WHEN coalesce(pf = file_path AND ps IS NOT DISTINCT FROM section_title AND regexp_replace(global_sort_key, '\\d+$', '') = regexp_replace(pk, '\\d+$', '') AND abs(regexp_extract(global_sort_key, '(\\d+)$', 1)::BIGINT - regexp_extract(pk, '(\\d+)$', 1)::BIGINT) = 1, false) THEN 0 ELSE 1 END ng FROM lagged),
-marked AS (SELECT *, sum(np) OVER w page_run, sum(ng) OVER w merged FROM flags WINDOW w AS (PARTITION BY "query" ORDER BY pos))"""
+READ_SQL = """hits AS (SELECT c_nationkey "query", c_custkey chunk_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) rank,
+  CASE WHEN c_custkey % 17 = 0 THEN 'folder_summary' WHEN c_custkey % 19 = 0 THEN 'page_summary' WHEN c_custkey % 5 = 0 THEN 'code_block' WHEN c_custkey % 7 = 0 THEN 'image' ELSE 'section' END chunk_type,
+  CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE lpad((c_custkey % 3)::VARCHAR, 2, '0') || '_00_' || lpad((c_custkey // 3 % 100)::VARCHAR, 2, '0') END global_sort_key, c_mktsegment || '.md' file_path, 'f' || (c_custkey % 2) section_title,
+  CASE WHEN c_custkey % 4 = 0 THEN 's' || c_custkey ELSE '' END subsection_title, CASE WHEN c_custkey % 13 = 0 THEN '' ELSE c_mktsegment || ' > x' END breadcrumb, CASE WHEN c_custkey % 3 = 0 THEN 'router' ELSE 'core' END "source",
+  CASE WHEN c_custkey % 3 = 1 THEN 'prose' ELSE '' END prose, CASE WHEN c_custkey % 2 = 0 THEN 'u' || c_custkey ELSE '' END url, ['a' || (c_custkey % 3), 'b' || (c_custkey % 4)] apis,
+  ['guide/n' || (c_custkey % 5) || '.md', 'x#' || (c_custkey % 6), 'y', 'z', 'w', 'v'] refs FROM customer),
+ordered AS (SELECT *, chunk_type LIKE '%_summary' alone, chunk_type = 'folder_summary' high, row_number() OVER (PARTITION BY "query" ORDER BY CASE WHEN chunk_type = 'folder_summary' THEN 0 ELSE 1 END, coalesce(global_sort_key, 'zzz'), rank) pos0 FROM hits WHERE rank <= 40),
+runs0 AS (SELECT *, CASE WHEN lag(file_path) OVER w IS NULL OR lag(file_path) OVER w <> file_path OR high OR lag(high) OVER w THEN 1 ELSE 0 END np FROM ordered WINDOW w AS (PARTITION BY "query" ORDER BY pos0)),
+runs AS (SELECT *, sum(np) OVER (PARTITION BY "query" ORDER BY pos0) page_run FROM runs0),
+again AS (SELECT *, row_number() OVER (PARTITION BY "query" ORDER BY page_run, CASE WHEN alone THEN 0 ELSE 1 END, pos0) pos FROM runs),
+lagged AS (SELECT *, lag(page_run) OVER w pr, lag(alone) OVER w pa, lag(section_title) OVER w ps, lag(global_sort_key) OVER w pk FROM again WINDOW w AS (PARTITION BY "query" ORDER BY pos)),
+flags AS (SELECT *, CASE WHEN coalesce(pr = page_run AND NOT alone AND NOT pa AND ps IS NOT DISTINCT FROM section_title AND regexp_replace(global_sort_key, '\\d+$', '') = regexp_replace(pk, '\\d+$', '') AND abs(regexp_extract(global_sort_key, '(\\d+)$', 1)::BIGINT - regexp_extract(pk, '(\\d+)$', 1)::BIGINT) = 1, false) THEN 0 ELSE 1 END ng FROM lagged),
+marked AS (SELECT *, sum(ng) OVER w merged FROM flags WINDOW w AS (PARTITION BY "query" ORDER BY pos))"""
 
 
 def marked(spark, d):
@@ -152,10 +159,17 @@ def marked(spark, d):
     def two(x):
         return F.lpad(x.cast("string"), 2, "0")
 
+    def named(prefix, x, end=""):
+        return F.concat(F.lit(prefix), x.cast("string"), F.lit(end))
+
+    kind = F.when(key % 17 == 0, "folder_summary").when(key % 19 == 0, "page_summary").when(key % 5 == 0, "code_block").when(key % 7 == 0, "image").otherwise("section")
     hits = table(spark, d, "customer").select(
-        F.col("c_nationkey").alias("query"), key.alias("chunk_id"), rank.alias("rank"), F.when(key % 17 == 0, "folder_summary").otherwise("section").alias("chunk_type"),
-        F.when(key % 11 != 0, F.concat_ws("_", two(key % 3), F.lit("00"), two(F.floor(key / 3) % 100))).alias("global_sort_key"), F.col("c_mktsegment").alias("file_path"),
-        F.concat(F.lit("f"), (key % 2).cast("string")).alias("section_title"),
+        F.col("c_nationkey").alias("query"), key.alias("chunk_id"), rank.alias("rank"), kind.alias("chunk_type"),
+        F.when(key % 11 != 0, F.concat_ws("_", two(key % 3), F.lit("00"), two(F.floor(key / 3) % 100))).alias("global_sort_key"), F.concat("c_mktsegment", F.lit(".md")).alias("file_path"),
+        named("f", key % 2).alias("section_title"), F.when(key % 4 == 0, named("s", key)).alias("subsection_title"), F.when(key % 13 != 0, F.concat("c_mktsegment", F.lit(" > x"))).alias("breadcrumb"),
+        F.when(key % 3 == 0, "router").otherwise("core").alias("source"), F.when(key % 3 == 1, "prose").alias("preceding_prose"), F.when(key % 2 == 0, named("u", key)).alias("image_url"),
+        F.array(named("a", key % 3), named("b", key % 4)).alias("api_entities"), F.array(named("guide/n", key % 5, ".md"), named("x#", key % 6), *map(F.lit, "yzwv")).alias("cross_references"),
+        F.col("c_mktsegment").alias("page_title"), key.cast("string").alias("content"), F.lit("js").alias("language_tag"),
     )
     return reconstruct.islands(reconstruct.reading_order(hits, 40))
 
@@ -165,13 +179,25 @@ def reading_order(spark, d):
     return marked(spark, d).select("query", "chunk_id", "pos", "page_run", "merged")
 
 
+ANSWER_SQL = r"""hit AS (SELECT *, row_number() OVER (PARTITION BY "query", merged ORDER BY pos) - 1 i, CASE WHEN subsection_title <> '' THEN subsection_title ELSE section_title END title FROM marked),
+part AS (SELECT *, CASE WHEN i = 0 THEN '### ' || title || chr(10) || chr(10) ELSE '' END head FROM hit),
+parts AS (SELECT *, CASE chunk_type WHEN 'folder_summary' THEN '> [!NOTE]' || chr(10) || '> **Section Overview:** ' || chunk_id || chr(10) WHEN 'page_summary' THEN '> [!NOTE]' || chr(10) || '> **Overview:** ' || chunk_id || chr(10)
+  WHEN 'code_block' THEN head || CASE WHEN prose <> '' THEN prose || chr(10) || chr(10) ELSE '' END || '```js' || chr(10) || chunk_id || chr(10) || '```' || chr(10)
+  WHEN 'image' THEN head || CASE WHEN url <> '' THEN '![' || chunk_id || '](' || url || ')' ELSE '*[Image: ' || chunk_id || ']*' END || CASE WHEN prose <> '' THEN chr(10) || chr(10) || prose ELSE '' END || chr(10)
+  ELSE head || chunk_id || chr(10) END text FROM part),
+api AS (SELECT "query", merged, string_agg(api, ', ' ORDER BY m) apis FROM (SELECT "query", merged, api, min(pos * 10 + k) m FROM (SELECT "query", merged, pos, unnest(apis) api, unnest([1, 2]) k FROM marked) GROUP BY ALL) GROUP BY ALL),
+ref AS (SELECT "query", merged, ref, min(pos * 10 + k) m FROM (SELECT "query", merged, pos, unnest(refs) ref, unnest([1, 2, 3, 4, 5, 6]) k FROM marked) GROUP BY ALL),
+links AS (SELECT "query", merged, string_agg(CASE WHEN ref LIKE '%.md' THEN '[' || upper(ref[7]) || ref[8] || '](https://docs.example.org/' || replace(ref, '.md', '') || ')' ELSE ref END, ', ' ORDER BY m) refs FROM (SELECT *, row_number() OVER (PARTITION BY "query", merged ORDER BY m) n FROM ref) WHERE n <= 5 GROUP BY ALL),
+groups AS (SELECT "query", merged, min(page_run) page_run, min(pos) pos, arg_min(breadcrumb, pos) crumb, arg_min("source", pos) src, arg_min(file_path, pos) file, arg_min(high, pos) high, string_agg(text, chr(10) ORDER BY pos) body FROM parts GROUP BY ALL),
+whole AS (SELECT g.*, '---' || chr(10) || CASE WHEN crumb <> '' THEN 'breadcrumb: ' || crumb || chr(10) ELSE '' END || CASE WHEN src = 'router' THEN 'framework: Router' || chr(10) ELSE '' END || 'source: https://docs.example.org/' || replace(file, '.md', '') || chr(10)
+  || 'apis: [' || apis || ']' || chr(10) || 'see_also: [' || refs || ']' || chr(10) || '---' || chr(10) || chr(10) || body text FROM groups g JOIN api USING ("query", merged) JOIN links USING ("query", merged)),
+run AS (SELECT "query", page_run, CASE WHEN arg_min(high, pos) THEN '' ELSE '## ' || replace(arg_min(file, pos), '.md', '') || chr(10) || '<sup>[source](https://docs.example.org/' || replace(arg_min(file, pos), '.md', '') || ')</sup>' || chr(10) || chr(10) END || string_agg(text, chr(10) ORDER BY pos) text FROM whole GROUP BY ALL)"""
+
+
 @query(
     "answer_assembly",
-    f"""WITH {READ_SQL}, parts AS (SELECT *, CASE WHEN chunk_type LIKE '%_summary' THEN '> **Summary:** ' || chunk_id ELSE '## ' || section_title || '\n\n' || chunk_id END part FROM marked),
-    groups AS (SELECT "query", merged, min(pos) pos, arg_min(file_path, pos) || '\n' || string_agg(part, '\n\n' ORDER BY pos) t FROM parts GROUP BY ALL)
-    SELECT n_nationkey "query", coalesce(string_agg(t, '\n---\n\n' ORDER BY pos), 'No results found.') answer FROM (SELECT n_nationkey FROM nation UNION ALL SELECT 99) LEFT JOIN groups ON "query" = n_nationkey GROUP BY 1""",
+    f"""WITH {READ_SQL}, {ANSWER_SQL} SELECT n_nationkey "query", coalesce(string_agg(text, chr(10) || '---' || chr(10) || chr(10) ORDER BY page_run), 'No results found.') answer FROM (SELECT n_nationkey FROM nation UNION ALL SELECT 99) LEFT JOIN run ON "query" = n_nationkey GROUP BY 1""",
 )
 def answer_assembly(spark, d):
-    own = marked(spark, d).withColumn("content", F.col("chunk_id").cast("string")).withColumn("language_tag", F.lit("")).withColumn("breadcrumb", F.col("file_path"))
     queries = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("query")).unionByName(spark.range(99, 100).withColumnRenamed("id", "query"))
-    return reconstruct.assemble(own, queries)
+    return reconstruct.assemble(marked(spark, d), queries)

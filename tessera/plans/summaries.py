@@ -65,7 +65,7 @@ def sort_key_fallback(spark, d):
 
 @query(
     "sort_key_by_category",
-    """SELECT p_type, p_partkey, '01_' || CASE WHEN g < 10 THEN '0' ELSE '' END || g || '_' || CASE WHEN i < 10 THEN '0' ELSE '' END || i sort_key FROM (SELECT p_type, p_partkey, dense_rank() OVER (ORDER BY p_type) g, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 i FROM part)""",
+    """SELECT p_type, p_partkey, CASE WHEN g < 10 THEN '0' ELSE '' END || g || '_00_' || CASE WHEN i < 10 THEN '0' ELSE '' END || i sort_key FROM (SELECT p_type, p_partkey, dense_rank() OVER (ORDER BY p_type) g, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 i FROM part)""",
 )
 def sort_key_by_category(spark, d):
     return ordering.by_category(table(spark, d, "part").select("p_type", "p_partkey"), "p_type", "p_partkey")

@@ -14,10 +14,11 @@ from tessera.registry import query
 )
 def usage_stream(spark, d):
     """Daily windows that the watermark has closed, from the stream's own result table."""
-    from tessera.streaming.usage import read_events, windowed
+    from tessera.streaming.usage import append, read_events, shared_folder, windowed
 
-    name = "usage_" + uuid.uuid4().hex
+    folder = f"{shared_folder(spark)}/usage-{uuid.uuid4().hex}"
     events = read_events(spark, f"{d}/events.parquet*", table(spark, d, "events").schema)
-    run = windowed(events).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    run = append(windowed(events), f"{folder}/out", f"{folder}/checkpoint")
     run.awaitTermination()
-    return spark.table(name).select("start", "event_type", "n", F.round("total", 2).alias("total"))
+    out = spark.read.schema("start timestamp, event_type string, n bigint, total double").parquet(f"{folder}/out")
+    return out.select("start", "event_type", "n", F.round("total", 2).alias("total"))

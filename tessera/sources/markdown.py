@@ -149,8 +149,13 @@ class Adapter:
     pairs: tuple[tuple[str, str], ...] = ()
     packages: tuple[str, ...] = ()
     base_url: str = "https://docs.example.org"
+    title: str = ""
     category_sort: bool = field(default=False)
 
+    @property
+    def display(self) -> str:
+        return self.title or self.name.replace("-", " ").title()
+
     def discover(self, files: DataFrame, path: str = "path") -> DataFrame:
         return files.filter(self.keep(F.col(path)))
 
@@ -161,6 +166,8 @@ class Adapter:
         return squeeze(text)
 
 
+CORE = "core"
+
 # Folders and files that hold no documentation, by kind of source.
 ADAPTERS = {
     a.name: a
@@ -182,6 +189,21 @@ def adapter(name: str) -> Adapter:
     return ADAPTERS[name]
 
 
+def by_source(values: dict[str, str], source: Column, default: str) -> Column:
+    """What a mapping says of a source's name."""
+    pairs = [F.lit(x) for item in values.items() for x in item]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), source), F.lit(default))
+
+
+def base_url(source: Column) -> Column:
+    """The address of a source's site; the core's for unknown ones."""
+    return by_source({a.name: a.base_url for a in ADAPTERS.values()}, source, ADAPTERS[CORE].base_url)
+
+
+def display_name(source: Column) -> Column:
+    return by_source({a.name: a.display for a in ADAPTERS.values()}, source, "")
+
+
 def enabled(names: str | None) -> list[str]:
     """Names from a comma-separated list, all if it is empty; ValueError for an unknown one."""
     wanted = [n.strip() for n in (names or "").split(",") if n.strip()]
