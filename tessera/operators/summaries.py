@@ -15,18 +15,36 @@ def first_sentences(text: Column, count: int = 2) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]?"), F.lit(0)), 1, count), "")
 
 
-def hashed_embedding(tokens: Column, dim: int = 64) -> Column:
-    """Token counts by hash, of length 1; stands in for a model's vector."""
-    slots = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+def hashed_embeddings(rows: DataFrame, key: str, tokens: Column, dim: int = 64) -> DataFrame:
+    """Key, embedding, tokens: counts of tokens by hash, of length 1 (zeros without tokens), and how many there were; stands in for a model's vector.
+
+    A text's tokens are counted apart before they are hashed, so a long text costs its distinct tokens.
+    """
+    words = rows.select(key, F.explode_outer(tokens).alias("token")).groupBy(key, "token").agg(F.count("token").alias("n"))
+    slot = F.pmod(F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+    slots = words.select(key, slot.alias("slot"), "n").groupBy(key, "slot").agg(F.sum("n").alias("n"))
+    found = slots.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "n")))).alias("m"), F.sum("n").alias("tokens"), F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
+    value = lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double") / F.col("norm")).otherwise(F.lit(0.0))
+    return found.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value).alias("embedding"), "tokens")
+
+
+ENRICHED = ("section", "subsection", "code_block")
+MOST_FAILURES = 0.5
 
 
 def prefixed(chunks: DataFrame, make: Callable[[Column], Column] = first_sentences, column: str = "contextual_prefix") -> DataFrame:
-    """A prefix for chunks that have none."""
+    """A prefix for chunks that have none and whose type, if told, is one of ``ENRICHED``."""
     old = F.col(column) if column in chunks.columns else F.lit(None).cast("string")
-    return chunks.withColumn(column, F.when(F.coalesce(old, F.lit("")) != "", old).otherwise(make(F.col("content"))))
+    takes = F.col("chunk_type").isin(*ENRICHED) if "chunk_type" in chunks.columns else F.lit(True)
+    return chunks.withColumn(column, F.when((F.coalesce(old, F.lit("")) != "") | ~takes, old).otherwise(make(F.col("content"))))
+
+
+def enriched_or_raise(attempted: DataFrame, error: str = "error", most: float = MOST_FAILURES) -> DataFrame:
+    """The rows, unless more than half of them failed; error: null where a row didn't."""
+    counts = attempted.agg(F.count("*").alias("n"), F.count(error).alias("bad")).first()
+    if counts["n"] and counts["bad"] / counts["n"] > most:
+        raise RuntimeError(f"{counts['bad']} of {counts['n']} chunks could not be enriched")
+    return attempted
 
 
 def questions(generated: Column, most: int = MOST_QUESTIONS) -> Column:

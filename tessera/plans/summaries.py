@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.operators import ordering, summaries
+from tessera.plans.search import WORDS
 from tessera.plans.tables import table
 from tessera.registry import query
 
@@ -29,17 +30,24 @@ def top_summaries(spark, d):
     return summaries.roll_up(pages(spark, d), F.col("top"), "top", "title", "text", "key", "entities", "top_summary")
 
 
-@query("page_summaries")
+@query("page_summaries", r"SELECT doc_id, array_to_string(regexp_extract_all(text, '[^.!?\n]+[.!?]?')[1:2], '') summary FROM documents WHERE text IS NOT NULL")
 def page_summaries(spark, d):
     rows = table(spark, d, "documents").filter(F.col("text").isNotNull())
     return rows.select("doc_id", summaries.first_sentences(F.col("text")).alias("summary"))
 
 
-@query("hashed_embeddings")
+@query(
+    "hashed_embeddings",
+    f"""WITH w AS (SELECT doc_id, {WORDS.format(t='text')} ws FROM documents), t AS (SELECT doc_id, unnest(ws) token FROM w), s AS (SELECT doc_id, (('0x' || substr(md5(token), 1, 8))::BIGINT % 64)::INT slot, count(*) n FROM t GROUP BY ALL),
+    l AS (SELECT doc_id, sqrt(sum(n * n)::DOUBLE) norm, sum(n)::BIGINT tokens FROM s GROUP BY 1),
+    g AS (SELECT l.doc_id, i, norm, coalesce(n, 0)::DOUBLE / norm x FROM l CROSS JOIN range(0, 64) r(i) LEFT JOIN s ON s.doc_id = l.doc_id AND s.slot = i)
+    SELECT documents.doc_id, coalesce(list(x ORDER BY i) FILTER (i IS NOT NULL), list_transform(range(0, 64), lambda k: 0.0::DOUBLE)) embedding, any_value(tokens) tokens FROM documents LEFT JOIN g ON g.doc_id = documents.doc_id LEFT JOIN l ON l.doc_id = documents.doc_id GROUP BY 1""",
+)
 def hashed_embeddings(spark, d):
+    """N6."""
     from tessera.operators.bm25 import tokens
 
-    return table(spark, d, "benchmark").select("item_id", summaries.hashed_embedding(tokens(F.col("text"))).alias("embedding"))
+    return summaries.hashed_embeddings(table(spark, d, "documents"), "doc_id", tokens(F.col("text")))
 
 
 @query(
