@@ -80,6 +80,13 @@ def _links(part: str, section: int, out: dict[str, str], first_group: int = 0) -
             item += 1
 
 
+def links_of(source: str) -> list[str]:
+    """Paths of a configuration's links in order of appearance, each once."""
+    out: dict[str, str] = {}
+    _links(source, 0, out)
+    return list(out)
+
+
 def sidebar(source: str, functions: tuple[str, ...] = ()) -> dict[str, str]:
     """O1, O3: a sidebar's configuration text to {path: SS_GG_II}: a section for each quoted path with a list, ``/`` among them, and a
     group for each ``items``. Links in the bodies of some functions belong to the first section, in groups after those it has."""

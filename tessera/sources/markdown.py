@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import squeeze, strip_tags
+from tessera.operators import ordering
 
 
 def scan(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
@@ -141,16 +142,17 @@ def without_directives(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Adapter:
-    """What a source does its own way. Cleaning is applied in order."""
+    """What a source does its own way. Cleaning is applied in order; imports are the packages whose import lists name its entities."""
 
     name: str
     keep: Callable[[Column], Column] = everything
     clean: tuple[Callable[[Column], Column], ...] = ()
     pairs: tuple[tuple[str, str], ...] = ()
-    packages: tuple[str, ...] = ()
     base_url: str = "https://docs.example.org"
     title: str = ""
-    category_sort: bool = field(default=False)
+    imports: tuple[str, ...] = ()
+    sorting: str = "sidebar"
+    sidebar_functions: tuple[str, ...] = ()
 
     @property
     def display(self) -> str:
@@ -159,6 +161,23 @@ class Adapter:
     def discover(self, files: DataFrame, path: str = "path") -> DataFrame:
         return files.filter(self.keep(F.col(path)))
 
+    def sort_keys(self, files: DataFrame, config: str = "", path: str = "path", text: str = "text") -> DataFrame:
+        """path, sort_key of every file, by the source's way of sorting; config: the text of its sidebar, for those that have one."""
+        bare = F.regexp_replace(path, r"\.md$", "")
+        if self.sorting == "prefix":
+            return files.select(path, ordering.by_prefix(F.col(path)).alias("sort_key"))
+        if self.sorting == "category":
+            rows = files.select(path, bare.alias("name"), F.coalesce(front_matter(F.col(text))["category"], F.lit("Uncategorized")).alias("category"))
+            index = rows.filter((F.size(parts(F.col(path))) == 3) & F.col(path).endswith("/index.md"))
+            keys = ordering.by_category(index, "category", "name").select(path, "sort_key")
+            keys = keys.unionByName(rows.select(path, ordering.of_guide(F.col("name")).alias("sort_key")).filter("sort_key is not null"))
+        else:
+            found = ordering.sidebar(config, self.sidebar_functions)
+            if self.sorting == "appearance":
+                found = {p: f"00_{i // 10:02d}_{i % 10:02d}" for i, p in enumerate(ordering.links_of(config))}
+            keys = files.sparkSession.createDataFrame(list(found.items()), f"{path} string, sort_key string")
+        return ordering.with_fallback(files.select(path), keys, path)
+
     def cleaned(self, text: Column) -> Column:
         """The adapter's steps between two trims."""
         for step in self.clean:
@@ -175,11 +194,11 @@ ADAPTERS = {
         Adapter("core", clean=(without_style_divs, without_playgrounds), pairs=(("guide", "api"), ("tutorial", "guide"))),
         Adapter("router", keep=without(dirs=("zh",)), clean=(lambda t: strip_tags(t, ["RouterLink", "Promo", "VueSchoolLink"]), without_script), pairs=(("guide", "api"),)),
         Adapter("store", keep=without(dirs=("zh",)), clean=(lambda t: strip_tags(t, ["MasteringBanner", "VueSchoolLink"]), without_script), pairs=(("core-concepts", "api"),)),
-        Adapter("composables", keep=composable_files, clean=(without_cuts, without_script), category_sort=True, pairs=(("guide", "core"), ("guide", "shared"))),
+        Adapter("composables", keep=composable_files, clean=(without_cuts, without_script), sorting="category", pairs=(("guide", "core"), ("guide", "shared"))),
         Adapter("bundler", keep=without((".vitepress", "node_modules", "blog", "public", "_data"), ("team.md", "releases.md", "acknowledgements.md", "live.md", "blog.md", "index.md")), clean=(lambda t: strip_tags(t, ["ScrimbaLink", "audio"]), without_script), pairs=(("guide", "config"),)),
         Adapter("testing", keep=without((".vitepress", "node_modules", "blog", "public"), ("team.md", "todo.md", "blog.md", "index.md"), ("guide/cli-generated.md",), ("guide/examples/",)), clean=(lambda t: strip_tags(t, ["Version", "Deprecated", "Experimental", "CRoot", "CourseLink", "Badge"]), without_script), pairs=(("guide", "api"), ("config", "guide"))),
-        Adapter("meta", keep=without(("5.community", "node_modules")), clean=(without_directives,), pairs=(("2.guide", "3.api"),)),
-        Adapter("devtools", keep=without((".vitepress", "node_modules", "public"), ("index.md",)), clean=(lambda t: strip_tags(t, ["Home", "UseModeList"]),), pairs=(("getting-started", "guide"),)),
+        Adapter("meta", sorting="prefix", keep=without(("5.community", "node_modules")), clean=(without_directives,), pairs=(("2.guide", "3.api"),)),
+        Adapter("devtools", sorting="appearance", keep=without((".vitepress", "node_modules", "public"), ("index.md",)), clean=(lambda t: strip_tags(t, ["Home", "UseModeList"]),), pairs=(("getting-started", "guide"),)),
     )
 }
 

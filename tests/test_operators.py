@@ -286,3 +286,12 @@ def test_usage_is_appended_once(spark, tmp_path):
 def test_first_package_wins(spark):
     rows = spark.createDataFrame([("shared/useX/index.md", ""), ("core/useX/index.md", "---\nrelated: useY\n---\n"), ("core/useX/demo.md", "")], "path string, text string")
     assert [(r.name, r.package, r.related) for r in entities.by_directory(rows, text="text").collect()] == [("useX", "core", ["useY"])]
+
+
+def test_sort_keys_of_sources(spark):
+    files = spark.createDataFrame([("guide/config.md", ""), ("core/useB/index.md", "---\ncategory: State\n---\n"), ("core/useA/index.md", ""), ("x/y.md", "")], "path string, text string")
+    keys = lambda name, config="": {r.path: r.sort_key for r in sources.adapter(name).sort_keys(files, config).collect()}
+    assert keys("composables") == {"guide/config.md": "00_00_02", "core/useB/index.md": "01_00_00", "core/useA/index.md": "02_00_00", "x/y.md": "99_x/y.md"}
+    assert keys("router", "'/': [{ items: [{ link: '/x/y' }] }]")["x/y.md"] == "00_00_00"
+    assert keys("devtools", "const A = [{ link: '/guide/config' }]\nconst B = [{ link: '/x/y' }]") == {"guide/config.md": "00_00_00", "x/y.md": "00_00_01", "core/useB/index.md": "99_core/useB/index.md", "core/useA/index.md": "99_core/useA/index.md"}
+    assert keys("meta")["x/y.md"] == "99_99_00"
