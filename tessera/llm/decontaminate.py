@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pick, session_of, ship, words_of
+from tessera.llm.common import numbered, pick, session_of, ship, words_of
 
 WINDOW = 13
 SHARD_BYTES = 16 << 20
@@ -171,13 +171,14 @@ def search(
     """Documents with a struct column ``into``: n_words, spans (hit word runs) and items (ids that occur, as strings)."""
     spark = session_of(documents)
     ship(spark)
-    out, first = documents, True
+    out, (at,) = numbered(documents, text)
+    first = True
     for part in shards(benchmark, item, item_text, shard_bytes):
         shared = spark.sparkContext.broadcast(part)
         f = _pass(shared, window, first)
-        out = out.withColumn(into, f(F.col(text)) if first else f(F.col(text), F.col(into)))
+        out = out.withColumn("__found", f(F.col(at)) if first else f(F.col(at), F.col("__found")))
         first = False
-    return out
+    return out.toDF(*documents.columns, into)
 
 
 def n_hit(found: str = "found"):

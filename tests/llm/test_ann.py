@@ -32,3 +32,11 @@ def test_edges(spark):
     got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in A.nearest(df, F.col("vec_id") % 100 == 0).collect())
     assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 3, round(2**0.5, 6))]
     assert A.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_ties_at_the_last_rank(spark):
+    rng = np.random.default_rng(4)
+    query, near, far = rng.normal(size=8), rng.normal(size=8), rng.normal(size=8) * 9
+    rows = [(0, query.tolist())] + [(i, (query + 0.1 * near).tolist()) for i in range(40, 10, -1)] + [(i, (query + far).tolist()) for i in range(41, 300) if i % 100]
+    got = A.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in got] == [(i + 1, 11 + i) for i in range(10)]

@@ -1,3 +1,5 @@
+import random
+
 from collections import defaultdict
 
 import numpy as np
@@ -13,6 +15,15 @@ def test_ids_equal_the_library(vocabulary):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_ids_of_random_texts_equal_the_library(vocabulary):
+    rng = random.Random(8)
+    signs = "abc ABC  \t\n\r019.,'!?-_éßñçÜ漢字かな\u00a0\u200b\U0001f600\U0001f1e9АбвΩ" + "\u0301"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 80))) for _ in range(400)]
+    encoder, library = P.Encoder(open(vocabulary).read()), Tokenizer.from_file(vocabulary)
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_cuts_are_best():
     rng = np.random.default_rng(1)
     for _ in range(30):

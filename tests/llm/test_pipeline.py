@@ -59,3 +59,38 @@ def test_packing_round_trip(stages):
     for p in pieces.collect():
         sizes[p.doc_id] = sizes.get(p.doc_id, 0) + p.length
     assert sizes == {r.doc_id: len(library.encode(r.text, add_special_tokens=False).ids) + 1 for r in before.collect()}
+
+
+def tables(spark, folder, documents, labels, benchmark):
+    documents.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Nulls, empties, repeated rows, a long text, and columns that operators use as names; each stage keeps the columns."""
+    rows = [
+        (1, "The quick brown fox jumps over the lazy dog near the river bank today", 1), (1, "The quick brown fox jumps over the lazy dog near the river bank today", 1), (2, None, 2), (3, "", 3),
+        (None, "write to ann@example.org now", 4), (4, "word " * 5000, 5), (5, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen", 6), (6, "Mr. John Smith " * 3, None),
+    ]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, node int").selectExpr("doc_id", "text", "node", "node AS label", "node AS rid", "node AS score", "node AS found", "node AS key", "cast(node as string) AS lang")
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    folder = tables(spark, tmp_path, documents, [(1, 1, 0), (4, 1, 0)], [(1, item), (2, None), (3, "")])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for n, (name, stage) in enumerate(C.STAGES[:-1]):
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{folder}/{n}")
+        docs = spark.read.parquet(f"{folder}/{n}")
+    left = {(r.doc_id, r.text) for r in docs.collect()}
+    assert docs.count() == 6 and (2, None) in left and (3, "") in left and not any(i == 5 for i, _ in left)
+    assert not any("ann@example.org" in (t or "") or "John Smith" in (t or "") for _, t in left)
+    pieces = C.STAGES[-1][1](spark, docs, folder).collect()
+    assert {p.doc_id for p in pieces} == {1, 2, 3, 4, 6, None}
+    assert C.run(spark, folder).count() == len(pieces)
+
+
+def test_stages_take_empty_tables(spark, tmp_path):
+    folder = tables(spark, tmp_path, spark.createDataFrame([], "doc_id long, text string, lang string"), [], [])
+    assert C.run(spark, folder).count() == 0
