@@ -1,64 +1,93 @@
-"""Verified links between the members of hash buckets, by rounds of leaders instead of all pairs.
-
-First each member meets one leader of its bucket; who matches leaves, and the rest meets sixteen times as many leaders in the
-next round, drawn from all of the bucket, until every member has matched one or has met all others. Members that left a bucket
-by different matches haven't met: those that are of different components in the end meet then, first by one node of each
-component in the bucket, then all that are still apart. So components are those of all pairs. Members, leaders and links
-are tables throughout. Pairs are verified where two joins bring their texts together, sorted by leader; a leader with very many
-partners is a skewed key of the second join, whose large partitions Spark splits.
+"""Classes of verified links between the members of hash buckets, by rounds of leaders instead of all pairs.
+
+In the first round the members of a bucket meet its leader, the node of most weight. What matched is one component from then
+on, and only members outside a bucket's largest component go on, and never meet one of their own component. In the second round
+they meet 32 leaders, each in its largest bucket only, for most find their component there. Then all left meet 1024 leaders of each
+bucket they are in, then 32 times as many, and so forth. A bucket is closed when all its members are of one component, or when all of
+them have led. So the components are those of all pairs of a bucket, though few pairs are made: a pair is left out only if
+its nodes are of one component already, or if an exact bound tells that their texts can't match.
+
+The bound is the parity of hashed parts: texts whose parts differ in d places differ in d bits at most. A similarity of
+m / (p + q - m) >= s needs d = p + q - 2 m <= (p + q) (1 - s) / (1 + s).
+
+Members, pairs, links and labels are tables throughout. Joins by bucket and by leader are salted by the size of the bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm.common import Scratch
 from tessera.llm.components import components
 
-GROWTH, MOST_WEIGHT = 16, 1000
+GROWTH, SALTED = 32, 256  # rows of one key that stay together in a join
 
 
-def crowded(rows: DataFrame) -> DataFrame:
-    """Distinct rows (bucket, node) of the buckets that hold two nodes or more."""
-    short = F.xxhash64("node")
-    several = rows.groupBy("bucket").agg(F.min(short).alias("low"), F.max(short).alias("high")).filter("low < high").select("bucket")
-    return rows.join(several, "bucket", "left_semi").distinct()
+def parity(parts: np.ndarray, unit: np.ndarray | int, units: int, lanes: int) -> np.ndarray:
+    """units x lanes words of 64 bits; each part of a unit flips the bit that its hash names."""
+    bits = 64 * lanes
+    at = (parts * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(40)).astype(np.int64) % bits + unit * bits
+    odd = (np.bincount(at, minlength=units * bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(units, lanes)
 
 
-def _counted(parts: Callable, kind: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                own = [parts(t) for t in batch.column(1)[i : i + 1000].to_pylist()]
-                nodes = np.repeat(np.arange(len(own)), [len(v) for v, _ in own])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i : i + 1000].take(pa.array(nodes)).cast(kind), pa.array(np.concatenate([v for v, _ in own]).view(np.int64)), pa.array(np.concatenate([n for _, n in own]).astype(np.int64))],
-                    names=["node", "part", "n"],
-                )
+def lanes_of(lanes: int) -> list[str]:
+    return [f"s{i}" for i in range(lanes)]
 
-    return run
 
+def gathered(nodes: DataFrame, lanes: int, scratch: Scratch) -> DataFrame:
+    """Members (bucket, node, n, weight, size, s0, ...) of the buckets that hold n >= 2 nodes.
+
+    nodes: (node, buckets, size, bits), one row for each node. The weight is how many nodes its buckets hold, so the middle of a group has most.
+    """
+    rows = nodes.select("node", F.explode("buckets").alias("bucket"))
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = scratch.keep(rows.join(counts, "bucket"))
+    scratch.release()
+    own = shared.groupBy("node").agg(F.sum("n").alias("weight"), F.collect_list(F.struct("bucket", "n")).alias("in"))
+    flat = nodes.select("node", "size", *[F.col("bits")[i].alias(s) for i, s in enumerate(lanes_of(lanes))])
+    out = own.join(flat, "node").withColumn("at", F.explode("in")).select("at.bucket", "node", "at.n", "weight", "size", *lanes_of(lanes))
+    out = scratch.keep(out)
+    scratch.drop(shared)
+    scratch.release()
+    return out
 
-def linkable(texts: DataFrame, parts: Callable, similarity: float) -> DataFrame:
-    """node, weight, size of the texts that can match any other. parts: of a text, its distinct parts and their counts.
 
-    Of m matched parts of p and q, m / (p + q - m) >= s needs m >= s p. So a text of whose parts too few stand in any other
-    text has no match; most of those that merely share a passage, or stray far from the middle of a large group, end here. The
-    weight is how often a text's parts stand in others, the size how many parts it has.
+def _salts(n: str = "n") -> Column:
+    return F.ceil(F.col(n) / SALTED).cast("int")
+
+
+def candidates(members: DataFrame, leaders: int, similarity: float, lanes: int, narrow: bool = False) -> DataFrame:
+    """Distinct pairs (member, leader, a, b, n) of nodes of one bucket and of different labels a, b that may match by the bound.
+
+    narrow: a member meets leaders in its largest bucket only.
     """
-    kind = texts.schema["node"].dataType
-    rows = texts.select("node", "text").mapInArrow(_counted(parts, to_arrow_type(kind)), f"node {kind.simpleString()}, part bigint, n bigint")
-    common = rows.groupBy("part").agg(F.count("*").alias("df")).filter("df > 1")
-    found = rows.join(common, "part", "left").groupBy("node").agg(
-        F.sum("n").alias("size"), F.sum(F.when(F.col("df").isNotNull(), F.col("n"))).alias("shared"), F.sum(F.when(F.col("df").isNotNull(), F.least("df", F.lit(MOST_WEIGHT)))).alias("weight")
-    )
-    return found.filter(F.col("shared") >= F.col("size") * similarity - 1e-9).select("node", "weight", "size")
+    bits = lanes_of(lanes)
+    carried = ["weight", "node", "label", "size", *bits]
+    slot = F.when(F.col("n") <= leaders, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(leaders)))
+    heads = members.groupBy("bucket", slot.alias("slot"), "n").agg(F.max(F.struct(*carried)).alias("h"))
+    heads = heads.select("bucket", F.explode(F.sequence(F.lit(0), _salts() - 1)).alias("salt"), *[F.col(f"h.{c}").alias(f"h_{c}") for c in carried])
+    if leaders > 1:
+        parts = members.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+        major = parts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("m")).select("bucket", F.col("m.label").alias("major"))
+        members = members.join(major, "bucket").filter("label <> major")
+    if narrow:
+        largest = members.groupBy("node").agg(F.max(F.struct("n", "bucket")).alias("l")).select("node", "l.bucket")
+        members = members.join(largest, ["node", "bucket"])
+    met = members.withColumn("salt", F.pmod(F.xxhash64("node"), _salts()).cast("int")).join(heads, ["bucket", "salt"])
+    apart = reduce(add, [F.bit_count(F.col(s).bitwiseXOR(F.col(f"h_{s}"))) for s in bits])
+    both, least = F.col("size") + F.col("h_size"), (1 - similarity) / (1 + similarity)
+    met = met.filter((F.col("label") != F.col("h_label")) & (apart <= both * least + 1e-9) & (F.abs(F.col("size") - F.col("h_size")) <= both * least + 1e-9))
+    leads = (F.col("h_weight") > F.col("weight")) | (F.col("h_weight") == F.col("weight")) & (F.col("h_node") > F.col("node"))
+    named = [F.when(leads, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("node", "h_node", "member"), ("h_node", "node", "leader"), ("label", "h_label", "a"), ("h_label", "label", "b"))]
+    return met.select(*named, "n").groupBy("member", "leader", "a", "b").agg(F.max("n").alias("n"))
 
 
 def _matches(prepare: Callable, accept: Callable, member: Column, leader: Column) -> Column:
@@ -79,64 +108,38 @@ def _matches(prepare: Callable, accept: Callable, member: Column, leader: Column
 
 
 def verified(pairs: DataFrame, texts: DataFrame, prepare: Callable, accept: Callable) -> DataFrame:
-    """Those of the distinct pairs (member, leader) whose texts match."""
-    rows = pairs.join(texts.select(F.col("node").alias("member"), F.col("text").alias("a")), "member")
-    rows = rows.join(texts.select(F.col("node").alias("leader"), F.col("text").alias("b")), "leader")
-    return rows.filter(_matches(prepare, accept, F.col("a"), F.col("b"))).select("member", "leader")
-
-
-def bridged(found: DataFrame, matched: DataFrame, texts: DataFrame, prepare: Callable, accept: Callable, similarity: float, scratch: Scratch) -> DataFrame:
-    """The links, and those between nodes that matched in one bucket and are of different components so far.
-
-    matched: (bucket, node, size). Nodes that matched none of a bucket have met all of it. Texts of p and q parts, p < q, can't
-    match where p < s q (an exact bound).
-    """
-    for heads_only in (True, False):
-        labels = components(found, "member", "leader", scratch)
-        named = matched.join(labels, "node").select("bucket", "node", "size", "label")
-        several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-        named = scratch.keep(named.join(several, "bucket", "left_semi"))
-        if named.isEmpty():
-            return found
-        heads = named
-        if heads_only:
-            heads = named.groupBy("bucket", "label").agg(F.min(F.struct("node", "size")).alias("h")).select("bucket", "label", "h.node", "h.size")
-        heads = heads.select("bucket", F.col("label").alias("other"), F.col("node").alias("leader"), F.col("size").alias("led"))
-        apart = (F.col("label") != F.col("other")) if heads_only else (F.col("label") < F.col("other"))
-        fits = F.least("size", "led") >= F.greatest("size", "led") * similarity - 1e-9
-        pairs = named.join(heads, "bucket").filter(apart & fits).select(F.col("node").alias("member"), "leader").distinct()
-        fresh = scratch.keep(verified(pairs, texts, prepare, accept))
-        found = found.unionByName(fresh)
-        scratch.release()
-    return found
-
-
-def links(members: DataFrame, texts: DataFrame, prepare: Callable, accept: Callable, similarity: float, scratch: Scratch) -> DataFrame:
-    """Links (member, leader). members: distinct (bucket, node, weight, size); texts: (node, text), one row for each node.
-
-    The node of most weight leads first: where the weight tells how much a text has in common with others, it is the middle of
-    its group. Later leaders are drawn from the whole bucket, by a hash that differs between buckets.
-    """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
-    left, found, gone, leaders = members.select("bucket", "node"), None, None, 1
+    """Those of the pairs (member, leader, a, b, n) whose texts match; a leader's text goes to as many places as its bucket asks for."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("member"), _salts()).cast("int"))
+    heads = salted.select("leader", "salt").distinct().join(texts.select(F.col("node").alias("leader"), F.col("text").alias("y")), "leader")
+    rows = salted.join(texts.select(F.col("node").alias("member"), F.col("text").alias("x")), "member").join(heads, ["leader", "salt"])
+    return rows.filter(_matches(prepare, accept, F.col("x"), F.col("y"))).select("member", "leader", "a", "b")
+
+
+def merged(labels: DataFrame | None, fresh: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels (node, label) after links between labels a and b; a node without a row is its own label."""
+    moved = components(fresh, "a", "b", scratch)
+    if labels is None:
+        return moved
+    to = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return scratch.keep(old.unionByName(moved.join(labels, "node", "left_anti").select("node", "label")))
+
+
+def classes_of(members: DataFrame, texts: DataFrame, prepare: Callable, accept: Callable, similarity: float, lanes: int, scratch: Scratch) -> DataFrame:
+    """Labels (node, label) of the nodes in classes of several. members: as ``gathered`` gives them, deleted in the
+    end; texts: (node, text), one row for each node."""
+    left, table, labels, leaders, narrow = members.withColumn("label", F.col("node")), members, None, 1, False
     while True:
-        if leaders == 1:
-            heads = members.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("h"))
-        else:
-            draw = F.xxhash64("node", "bucket")
-            heads = members.groupBy("bucket", F.pmod(draw, F.lit(leaders)).alias("s")).agg(F.min(F.struct(draw.alias("draw"), "node")).alias("h"))
-        heads = heads.select("bucket", F.col("h.node").alias("leader"))
-        met = left.join(heads, "bucket").filter(F.col("node") != F.col("leader"))
-        pairs = met.select(F.col("node").alias("member"), "leader").distinct()
+        pairs = scratch.keep(candidates(left, leaders, similarity, lanes, narrow))
         fresh = scratch.keep(verified(pairs, texts, prepare, accept))
-        found = fresh if found is None else found.unionByName(fresh)
-        both = met.join(fresh.withColumnRenamed("member", "node"), ["node", "leader"], "left_semi")
-        matched = scratch.keep(both.select("bucket", "node").unionByName(both.select("bucket", F.col("leader").alias("node"))).distinct())
-        gone = matched if gone is None else gone.unionByName(matched)
-        unmet = heads.groupBy("bucket").agg(F.count("*").alias("led")).join(sizes, "bucket").filter("led < size").select("bucket")
-        left = scratch.keep(left.join(matched, ["bucket", "node"], "left_anti").join(unmet, "bucket", "left_semi"))
+        if labels is None or not fresh.isEmpty():
+            labels = merged(labels, fresh, scratch)
+        left = left.filter(F.col("n") > (2 if narrow or leaders == 1 else leaders))
+        left = left.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
+        left = scratch.keep(left.join(several, "bucket", "left_semi"))
+        scratch.drop(pairs, fresh, table)
         scratch.release()
         if left.isEmpty():
-            gone = members.select("bucket", "node", "size").join(gone.distinct(), ["bucket", "node"], "left_semi")
-            return bridged(found, gone, texts, prepare, accept, similarity, scratch)
-        leaders *= GROWTH
+            return labels
+        table, leaders, narrow = left, leaders * GROWTH, leaders == 1

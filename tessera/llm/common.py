@@ -53,9 +53,11 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a folder of this machine only where none is set, as in tests."""
+    """The shared folder that the session names; a folder of this machine only where none is set and all runs on it, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -81,10 +83,13 @@ class Scratch:
         gc.collect()
         self.spark._jvm.System.gc()
 
-    def drop(self, df: DataFrame) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._tessera_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete kept tables that no later one and no result is made of; what isn't kept is left alone."""
+        for df in tables:
+            if not hasattr(df, "_tessera_path"):
+                continue
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._tessera_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fingerprint(column: Column) -> Column:

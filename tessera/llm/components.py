@@ -7,26 +7,41 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
 
-MOST_ROUNDS = 60
+MOST_ROUNDS, SALTS, BROADCAST_ROWS = 60, 16, 300_000
 
 
-def components(links: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
+def components(links: DataFrame, a: str, b: str, scratch: Scratch, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """node, label for every node of a link; the label is the component's least node. Nodes may be of any ordered type.
 
     A round gives each node the least label among its own and its neighbours', then its label's label. Minima are
-    aggregated before they are shuffled, so a node with very many links is no hot group. Each round is written to the
+    aggregated before they are shuffled. Labels of up to ``broadcast_rows`` nodes are broadcast; more are joined, and the links of a
+    node are then dealt to ``SALTS`` places, so that a node with very many links is no hot group. Each round is written to the
     shared folder, so that a lost executor costs no earlier round.
     """
     own = links.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
     edges = scratch.keep(own.unionByName(own.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = scratch.keep(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.col("node"), F.min("y")).alias("label")))
+    labels = scratch.keep(edges.groupBy(F.col("y").alias("node")).agg(F.least(F.col("y"), F.min("x")).alias("label")))
+    few = labels.count() <= broadcast_rows
+    ends = None
+    if not few:
+        plain, edges = edges, scratch.keep(edges.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")))
+        scratch.drop(plain)
+        ends = scratch.keep(edges.select("y", "salt").distinct())
     for _ in range(MOST_ROUNDS):
-        near = edges.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("low"))
-        better = labels.join(near, F.col("node") == F.col("x")).select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
-        heads = better.select(F.col("node").alias("head"), F.col("label").alias("top"))
-        jumped = better.join(heads, F.col("label") == F.col("head"), "left").select("node", "old", F.least("label", F.coalesce("top", "label")).alias("label"))
+        if few:
+            told = edges.join(F.broadcast(labels.select("node", "label")), F.col("y") == F.col("node"))
+        else:
+            told = edges.join(ends.join(labels, F.col("y") == F.col("node")).select("y", "salt", "label"), ["y", "salt"])
+        near = told.groupBy("x").agg(F.min("label").alias("low"))
+        before = labels.select("node", "label")
+        before = F.broadcast(before) if few else before
+        better = near.join(before, F.col("node") == F.col("x")).select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
+        heads = before.select(F.col("node").alias("head"), F.col("label").alias("top"))
+        jumped = better.join(heads, F.col("label") == F.col("head")).select("node", "old", F.least("label", "top").alias("label"))
         jumped = scratch.keep(jumped)
-        labels = jumped.select("node", "label")
+        scratch.drop(labels)
+        labels = jumped
         if jumped.filter(F.col("old") != F.col("label")).isEmpty():
-            return labels
+            scratch.drop(edges, *([ends] if ends is not None else []))
+            return jumped.select("node", "label")
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

@@ -6,9 +6,8 @@ order; texts that share a sketch are candidates. Being order-sensitive, a sketch
 common content. Candidates are verified by aligning their k-mers inside a band (bit-parallel longest common subsequence): with m matched of p and q
 k-mers, m / (p + q - m) must reach 0.8. The band holds every alignment that can reach it.
 
-Copies of one text are one node from the start. Texts that by their k-mers can't match any other candidate are left out before pairs are
-made (an exact bound, see ``linkable``). In each bucket, members meet a few leaders instead of each other (see
-``buckets``). Classes are components of the links.
+Copies of one text are one node from the start: a 64-bit hash of its words. In each bucket, members meet a few leaders instead of each
+other, and by an exact bound only those that they can match (see ``buckets``). Classes are the components of all links between candidates.
 
 Null text has no words and belongs to no class but its own; so does every text without a word. Texts of under five words have one
 k-mer, all of their words. Repeated rows and equal texts are of one class; so are texts whose words are equal.
@@ -24,27 +23,31 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.buckets import crowded, linkable, links
-from tessera.llm.common import Scratch, pick, session_of, ship, words_of
-from tessera.llm.components import components
+from tessera.llm.buckets import classes_of, gathered, parity
+from tessera.llm.common import WORD_CHARACTERS, Scratch, numbered, pick, session_of, ship, words_of
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, SAMPLED = 20, 6
+LANES, SALTS = 32, 16  # words of 64 bits for the bound; places of the rows of one class
 
 
-def kmers(words: list[bytes], k: int = WORDS) -> np.ndarray:
-    """Hash of every run of k words; of all words, if they are fewer."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    own = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-    n = max(1, len(own) - k + 1)
+def runs_of(own: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every run of k of the hashed words."""
+    n = len(own) - k + 1
     out = np.zeros(n, np.uint64)
-    for i in range(min(k, len(own))):
+    for i in range(k):
         out = out * np.uint64(0x9E3779B97F4A7C15) + own[i : i + n]
     out ^= out >> np.uint64(31)
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def kmers(words: list[bytes], k: int = WORDS) -> np.ndarray:
+    """Hash of every run of k words; of all words, if they are fewer."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    return runs_of(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64), min(k, len(words)))
+
+
 def occurrences(values: np.ndarray) -> np.ndarray:
     """How many times each value stood before."""
     order = np.argsort(values, kind="stable")
@@ -106,37 +109,24 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return start + end + len(y) - rows.bit_count() >= need
 
 
-def _signed(values: np.ndarray) -> np.ndarray:
-    return values.view(np.int64)
-
-
 def sketch_column(text: Column) -> Column:
-    """struct(node, buckets): a hash of the words, and a bucket for each sketch; null without words."""
+    """struct(node, buckets, size, bits): a hash of the words, a bucket for each sketch, how many k-mers, and their parity; null without words."""
 
-    @F.arrow_udf("node string, buckets array<bigint>")
+    @F.arrow_udf("node bigint, buckets array<bigint>, size int, bits array<bigint>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            nodes, buckets = [], []
+            nodes, buckets, sizes, bits = [], [], [], []
             for text in column:
                 words = words_of(text.as_py())
-                if words:
-                    nodes.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
-                    buckets.append(_signed(sketches(kmers(words))).tolist())
-                else:
-                    nodes.append(None)
-                    buckets.append([])
-            yield pa.StructArray.from_arrays([pa.array(nodes, pa.string()), pa.array(buckets, pa.list_(pa.int64()))], names=["node", "buckets"])
-
-    return run(text)
-
-
-def node_column(text: Column) -> Column:
-    """Hash of the words alone; null without words."""
-
-    @F.arrow_udf("string")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            yield pa.array([xxhash.xxh3_128_hexdigest(b" ".join(w)) if (w := words_of(t.as_py())) else None for t in column], pa.string())
+                found = kmers(words)
+                nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63) if words else None)
+                buckets.append(sketches(found).view(np.int64) if words else None)
+                sizes.append(len(found))
+                bits.append(parity(found, 0, 1, LANES)[0] if words else None)
+            lists = pa.list_(pa.int64())
+            yield pa.StructArray.from_arrays(
+                [pa.array(nodes, pa.int64()), pa.array(buckets, lists), pa.array(sizes, pa.int32()), pa.array(bits, lists)], names=["node", "buckets", "size", "bits"]
+            )
 
     return run(text)
 
@@ -145,49 +135,59 @@ def prepare(text: str) -> np.ndarray:
     return kmers(words_of(text))
 
 
-def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(prepare(text), return_counts=True)
+def row_id(key: Column, text: Column) -> Column:
+    """What tells rows apart; rows of one key and one text are equal."""
+    return F.xxhash64(key.cast("string"), text)
 
 
-def classes(documents: DataFrame, text: str = "text", node: str = "node", label: str = "label") -> tuple[DataFrame, DataFrame]:
-    """Documents with the column ``node``, equal for texts of equal words, and a table (node, label) of the nodes in classes of several texts."""
+def classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (rid, key, node) of the texts that have words, and labels (node, label) of the nodes in classes of several."""
     spark = session_of(documents)
     ship(spark)
     scratch = Scratch(spark)
-    own = pick(documents, text).select(sketch_column(F.col(text)).alias("s")).filter(F.col("s.node").isNotNull())
-    placed = scratch.keep(own.select("s.node", "s.buckets"))
-    rows = placed.select("node", F.explode("buckets").alias("bucket"))
-    members = scratch.keep(crowded(rows))
-    wanted = members.select("node").distinct()
-    with_node = pick(documents, text).select(node_column(F.col(text)).alias("node"), F.col(text).alias("text"))
-    texts = scratch.keep(with_node.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+    rows = pick(documents, key, text).toDF("key", "text").withColumn("rid", row_id(F.col("key"), F.col("text")))
+    own = rows.select("rid", "key", sketch_column(F.col("text")).alias("s")).filter(F.col("s.node").isNotNull())
+    placed = scratch.keep(own.select("rid", "key", "s.*"))
+    nodes = placed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("buckets", "size", "bits")], F.min("rid").alias("rid"))
+    nodes = scratch.keep(nodes)
     scratch.release()
-    able = scratch.keep(linkable(texts, counted, SIMILARITY))
-    members = scratch.keep(members.join(able, "node"))
+    members = gathered(nodes, LANES, scratch)
+    homes = nodes.join(members.select("node").distinct(), "node", "left_semi").select("rid", "node")
+    texts = scratch.keep(rows.select("rid", "text").join(homes, "rid").dropDuplicates(["node"]).select("node", "text"))
+    scratch.drop(nodes)
     scratch.release()
-    found = links(members, texts, prepare, aligned, SIMILARITY, scratch)
-    labels = components(found, "member", "leader", scratch).withColumnRenamed("node", node).withColumnRenamed("label", label)
-    return documents.withColumn(node, node_column(F.col(text))), labels
+    labels = classes_of(members, texts, prepare, aligned, SIMILARITY, LANES, scratch)
+    scratch.drop(texts)
+    return placed.select("rid", "key", "node"), labels
 
 
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The row of least key of each class, in the columns of documents; rows without words all stay."""
-    noded, labels = classes(documents, text, "__node", "__label")
-    own = documents.columns
-    placed = noded.filter(F.col("__node").isNotNull()).join(labels, "__node", "left").withColumn("__class", F.coalesce("__label", "__node"))
-    row = F.struct(*[F.col(c) for c in own])
-    kept = placed.groupBy("__class").agg(F.min_by(row, F.struct(F.col(key), F.xxhash64(text))).alias("__row")).select("__row.*")
-    return kept.unionByName(noded.filter(F.col("__node").isNull()).select(*own))
+    placed, labels = classes(documents, key, text)
+    placed = placed.join(labels, "node", "left").select("rid", "key", F.coalesce("label", "node").alias("class"))
+    firsts = placed.groupBy("class").agg(F.min(F.struct("key", "rid")).alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high"))
+    # The rows that go: found within each class, whose rows are dealt to many places.
+    salt = F.pmod("rid", F.lit(SALTS)).alias("salt")
+    told = placed.select("class", salt).distinct().join(firsts.filter("low < high").select("class", F.col("first.rid").alias("stays")), "class")
+    gone = placed.withColumn("salt", salt).join(told, ["class", "salt"]).filter("rid <> stays").select(F.col("rid").alias("__rid")).distinct()
+    own, (at_key, at_text) = numbered(documents, key, text)
+    words = F.coalesce(F.col(at_text).rlike(WORD_CHARACTERS), F.lit(False))
+    with_words = own.filter(words).withColumn("__rid", row_id(F.col(at_key), F.col(at_text)))
+    kept = with_words.dropDuplicates(["__rid"]).join(gone, "__rid", "left_anti").drop("__rid")
+    return kept.unionByName(own.filter(~words)).toDF(*documents.columns)
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, class_id (the least key of its class) and class_size, one row for each document; those without words are classes of their own."""
-    noded, labels = classes(pick(documents, key, text), text)
-    placed = noded.select(key, "node").join(labels, "node", "left")
-    alone = F.concat(F.lit("#"), F.col(key).cast("string"))
-    placed = placed.withColumn("class", F.coalesce("label", "node", alone)).select(key, "class")
-    sizes = placed.groupBy("class").agg(F.min(key).alias("class_id"), F.count("*").alias("class_size"))
-    return placed.join(sizes, "class", "left").select(key, F.coalesce("class_id", key).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    placed, labels = classes(documents, key, text)
+    named = placed.join(labels, "node", "left").select(F.coalesce("label", "node").alias("class"), "key", F.pmod("rid", F.lit(SALTS)).alias("salt"))
+    parts = named.groupBy("class", "salt").agg(F.min("key").alias("low"), F.count("*").alias("n"))
+    sizes = parts.groupBy("class").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
+    told = parts.select("class", "salt").join(sizes, "class")
+    with_words = named.join(told, ["class", "salt"]).select("key", F.coalesce("class_id", "key").alias("class_id"), "class_size")
+    own = pick(documents, key, text).toDF("key", "text")
+    without = own.filter(~F.coalesce(F.col("text").rlike(WORD_CHARACTERS), F.lit(False))).select("key", F.col("key").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return with_words.unionByName(without).withColumnRenamed("key", key)
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
