@@ -3,15 +3,18 @@
 The pages of a host are merged into one tree: an element is known by its path of block tags with their classes. Two
 entropies are kept over the host's distinct pages, each divided by the log of the number of its occurrences: for an element, that of
 its presentation (the sequences of children it appears with); for a node that holds text, that of its content (the
-texts). Such a node is as important as the more varied of its content and its parent's presentation. Below ``LEAST``, if it
-was seen ``MIN_SEEN`` times at least, it is noise and its texts are removed from each page; a branch goes if all its
-nodes go. All hosts together form one more tree, for what a single host is too small to tell. Names of tags, classes and
-roles that say what a branch is (a menu, an advert, reader comments, the article) outweigh the entropies, and where a page
-marks its article, text outside it is dropped.
+texts). All hosts together form one more tree: a host's entropies count as if ``DOUBT`` occurrences had been seen with those of all
+hosts, and those of all hosts as if ``DOUBT`` had been seen that never repeat. So a node that a host shows seldom leans on what
+the same node is elsewhere, and a node that was seen nowhere else is kept.
+
+A node's importance is ``CONTENT`` parts the entropy of its content and the rest that of its parent's presentation, more or less what
+the page says about it: ``MARKED`` more inside an article, ``CLASSED`` more in an element of an article with a class of its own,
+``NAMED`` less where tags, classes or roles name it noise (a menu, an advert, reader comments), and ``OUTSIDE`` less outside the
+article of a page that has one. Below ``LEAST`` its texts are removed from each page; a branch goes if all its nodes go.
 
 The trees are sums of counts that are aggregated before and after one shuffle, so a host with a third of all pages is
-no hot group. Copies of one page count once. Only the noisy paths are sent to the tasks: as one broadcast
-while they are at most ``BROADCAST_PATHS``, else by a join on the host.
+no hot group. Copies of one page count once. Only paths of low importance are sent to the tasks: as one broadcast
+while they are at most ``BROADCAST_PATHS``, else by a join on the host, whose pages are dealt to ``SALTS`` places.
 
 Null html and pages without text: empty text. Null or odd URLs share the nameless host. Repeated rows get equal texts.
 """
@@ -28,10 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, pick, session_of, ship
+from tessera.llm.common import Scratch, numbered, pick, session_of, ship
 
-LEAST, MIN_SEEN, BROADCAST_PATHS = 0.6, 12, 1 << 20
-EVERY_HOST = 0
+LEAST, CONTENT, DOUBT = 0.7, 0.8, 20
+MARKED, CLASSED, NAMED, OUTSIDE = 0.7, 0.3, 0.4, 0.4
+BROADCAST_PATHS, SALTS = 1 << 20, 16
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?""",
@@ -211,44 +215,57 @@ def parent(path: str) -> str:
 def statistics(url: str | None, source: str) -> list[tuple[int, int, int, int, int, int]]:
     """Host, path, its parent, kind (0 presentation, 1 content), value and page, as numbers."""
     host, page = number(host_of(url)), number(source)
-    hosts = host + (host == EVERY_HOST)
     tree = Page(source)
-    out = [(hosts, number(e.path), 0, 0, number(" ".join(e.kids)), page) for e in tree.elements]
     known: dict[str, tuple[int, int]] = {}
-    for text, element, _, _ in tree.blocks:
-        if element.path not in known:
-            known[element.path] = number(element.path), number(parent(element.path))
-        out.append((hosts, *known[element.path], 1, number(text), page))
-    return out
+
+    def place(path: str) -> tuple[int, int]:
+        if path not in known:
+            known[path] = number(path), number(parent(path))
+        return known[path]
+
+    out = [(host, *place(e.path), 0, number(" ".join(e.kids)), page) for e in tree.elements]
+    return out + [(host, *place(element.path), 1, number(text), page) for text, element, _, _ in tree.blocks]
 
 
-def extract_text(source: str | None, noisy) -> str:
-    """Text of the kept blocks. noisy: tells for a path's number whether the branch is noise."""
+def weight(path: str, inside: bool, dropped: bool, marked: bool) -> float:
+    """What the page itself says for or against a node's importance."""
+    if dropped:
+        return -NAMED
+    if not inside:
+        return -OUTSIDE if marked else 0.0
+    return CLASSED if "." in path.rpartition(">")[2] and below_article(path) else MARKED
+
+
+def extract_text(source: str | None, importance) -> str:
+    """Text of the kept blocks. importance: of a path's number, what the trees say of it."""
     if not source:
         return ""
     tree = Page(source)
     marked = any(inside and not dropped for _, _, inside, dropped in tree.blocks)
-    known: dict[str, bool] = {}
+    known: dict[tuple, bool] = {}
     kept = []
     for text, element, inside, dropped in tree.blocks:
-        if dropped or (marked and not inside):
-            continue
-        if (path := element.path) not in known:
-            # Bare paragraphs and headings of a marked article aren't judged by their entropy, for the mark outweighs it.
-            known[path] = noisy(number(path)) if not marked or below_article(path) else False
-        if not known[path]:
+        if (at := (element.path, inside, dropped)) not in known:
+            known[at] = importance(number(element.path)) + weight(*at, marked) >= LEAST
+        if known[at]:
             kept.append(text)
     return "\n".join(kept)
 
 
 def below_article(path: str) -> bool:
-    """Inside an article by path, in an element with a class of its own; bare paragraphs and headings of an article are its text."""
-    head, _, last = path.rpartition(">")
-    return bool(re.search(r">(article|main)\b", head)) and "." in last
+    return bool(re.search(r">(article|main)\b", parent(path)))
 
 
-def trees(pages: DataFrame, url: str, source: str) -> DataFrame:
-    """host, path of every noisy branch; host 0 stands for all hosts."""
+def entropies(counts: DataFrame, *keys: str) -> DataFrame:
+    """keys, seen, h: how often a node was seen, and the entropy of its values, 1 if none repeats."""
+    n = F.when(F.col("low") == F.col("high"), 1).otherwise(F.col("n"))
+    sums = counts.groupBy(*keys).agg(F.sum(n).alias("seen"), F.sum(n * F.log(n)).alias("s"))
+    h = F.when(F.col("seen") > 1, 1 - F.col("s") / (F.col("seen") * F.log("seen"))).otherwise(1.0)
+    return sums.select(*keys, "seen", h.alias("h"))
+
+
+def trees(pages: DataFrame, url: str, source: str, scratch: Scratch) -> DataFrame:
+    """host, path, importance of every text node below the threshold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = ["host", "path", "parent", "kind", "value", "page"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
@@ -260,67 +277,74 @@ def trees(pages: DataFrame, url: str, source: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     rows = pick(pages, url, source).mapInArrow(count, "host bigint, path bigint, parent bigint, kind int, value bigint, page bigint")
-    n = F.when(F.min("page") == F.max("page"), 1).otherwise(F.count("*")).alias("n")
-    by_host = rows.groupBy("host", "path", "parent", "kind", "value").agg(n)
-    everywhere = rows.groupBy("path", "parent", "kind", "value").agg(n).select(F.lit(EVERY_HOST).cast("long").alias("host"), "path", "parent", "kind", "value", "n")
-    counts = by_host.unionByName(everywhere)
-    entropy = counts.groupBy("host", "path", "parent", "kind").agg(F.sum("n").alias("seen"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    entropy = entropy.withColumn("h", F.when(F.col("seen") > 1, 1 - F.col("s") / (F.col("seen") * F.log("seen"))).otherwise(1.0))
-    presentation = entropy.filter("kind = 0").select("host", F.col("path").alias("parent"), F.col("h").alias("shown"))
-    content = entropy.filter((F.col("kind") == 1) & (F.col("seen") >= MIN_SEEN) & (F.col("h") < LEAST)).join(presentation, ["host", "parent"], "left")
-    return content.filter(F.coalesce("shown", F.lit(0.0)) < LEAST).select("host", "path").distinct()
+    node = ["path", "parent", "kind"]
+    counts = rows.groupBy("host", *node, "value").agg(F.count("*").alias("n"), F.min("page").alias("low"), F.max("page").alias("high"))
+    counts = scratch.keep(counts)  # so pages are read once for the trees
+    everywhere = counts.groupBy(*node, "value").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    doubt = F.lit(float(DOUBT))
+    everywhere = entropies(everywhere, *node).select(*node, ((F.col("seen") * F.col("h") + doubt) / (F.col("seen") + doubt)).alias("every"))
+    own = scratch.keep(entropies(counts, "host", *node).withColumn("salt", F.pmod("host", F.lit(SALTS))))
+    everywhere = own.select(*node, "salt").distinct().join(everywhere, node)
+    both = own.join(everywhere, [*node, "salt"])
+    both = scratch.keep(both.select("host", *node, ((F.col("seen") * F.col("h") + doubt * F.col("every")) / (F.col("seen") + doubt)).alias("h")))
+    shown = both.filter("kind = 0").select("host", F.col("path").alias("parent"), F.col("h").alias("shown"))
+    content = both.filter("kind = 1").join(shown, ["host", "parent"], "left")
+    importance = CONTENT * F.col("h") + (1 - CONTENT) * F.coalesce("shown", "h")
+    return content.select("host", "path", importance.alias("importance")).filter(F.col("importance") < LEAST)
 
 
 def extract(pages: DataFrame, url: str = "url", source: str = "html", into: str = "main_text", most_paths: int = BROADCAST_PATHS) -> DataFrame:
     """Pages with a string column ``into``: the text of what is left of each page."""
     spark = session_of(pages)
     ship(spark)
-    low = Scratch(spark).keep(trees(pages, url, source))
+    scratch = Scratch(spark)
+    low = scratch.keep(trees(pages, url, source, scratch))
     if low.count() > most_paths:
         return _joined(pages, low, url, source, into)
-    rows = low.toArrow()
-    hosts, paths = rows.column("host").to_numpy(), rows.column("path").to_numpy()
-    shared = spark.sparkContext.broadcast((hosts, paths))
+    rows = low.orderBy("host").toArrow()
+    shared = spark.sparkContext.broadcast([rows.column(c).to_numpy() for c in ("host", "path", "importance")])
 
     @F.arrow_udf("string")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        by_host: dict[int, set] = {}
-        for h, p in zip(*(x.tolist() for x in shared.value)):
-            by_host.setdefault(h, set()).add(p)
-        common = by_host.get(EVERY_HOST, set())
+        hosts, paths, values = shared.value
+        by_host: dict[int, dict] = {}
         for urls, sources in batches:
             out = []
             for u, s in zip(urls.to_pylist(), sources.to_pylist()):
-                h = number(host_of(u))
-                noisy = by_host.get(h + (h == EVERY_HOST), set()) | common
-                out.append(extract_text(s, noisy.__contains__))
+                if (h := number(host_of(u))) not in by_host:
+                    a, b = np.searchsorted(hosts, h, "left"), np.searchsorted(hosts, h, "right")
+                    by_host[h] = dict(zip(paths[a:b].tolist(), values[a:b].tolist()))
+                own = by_host[h]
+                out.append(extract_text(s, lambda path: own.get(path, 1.0)))
             yield pa.array(out, pa.string())
 
-    return pages.withColumn(into, run(F.col(url), F.col(source)))
+    own, (at_url, at_source) = numbered(pages, url, source)
+    return own.withColumn(into, run(F.col(at_url), F.col(at_source))).toDF(*pages.columns, into)
 
 
 def _joined(pages: DataFrame, low: DataFrame, url: str, source: str, into: str) -> DataFrame:
-    """The same where the noisy paths are too many for a broadcast: each page meets those of its host and of all hosts."""
+    """The same where the paths are too many for a broadcast: each page meets those of its host."""
 
     @F.arrow_udf("bigint")
     def host(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for urls in batches:
-            found = [number(host_of(u)) for u in urls.to_pylist()]
-            yield pa.array([h + (h == EVERY_HOST) for h in found], pa.int64())
+            yield pa.array([number(host_of(u)) for u in urls.to_pylist()], pa.int64())
 
     @F.arrow_udf("string")
-    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for sources, own, common in batches:
-            yield pa.array(
-                [extract_text(s, {*(a or ()), *(b or ())}.__contains__) for s, a, b in zip(sources.to_pylist(), own.to_pylist(), common.to_pylist())],
-                pa.string(),
-            )
-
-    own = low.filter(F.col("host") != EVERY_HOST).groupBy(F.col("host").alias("__host")).agg(F.collect_set("path").alias("__own"))
-    common = low.filter(F.col("host") == EVERY_HOST).agg(F.lit(0).alias("__all"), F.collect_set("path").alias("__common"))
-    found = pages.withColumn("__host", host(F.col(url))).withColumn("__all", F.lit(0))
-    found = found.join(own, "__host", "left").join(F.broadcast(common), "__all", "left")  # one row
-    return found.withColumn(into, run(F.col(source), F.col("__own"), F.col("__common"))).drop("__host", "__own", "__common", "__all")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for sources, lists in batches:
+            out = []
+            for s, found in zip(sources.to_pylist(), lists.to_pylist()):
+                own = {r["path"]: r["importance"] for r in found or ()}
+                out.append(extract_text(s, lambda path: own.get(path, 1.0)))
+            yield pa.array(out, pa.string())
+
+    lists = low.groupBy(F.col("host").alias("__host")).agg(F.collect_list(F.struct("path", "importance")).alias("__low"))
+    own, (at_url, at_source) = numbered(pages, url, source)
+    placed = own.withColumn("__host", host(F.col(at_url))).withColumn("__salt", F.pmod(F.xxhash64(at_url, at_source), F.lit(SALTS)))
+    lists = lists.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    found = placed.join(lists, ["__host", "__salt"], "left")
+    return found.select(*own.columns, run(F.col(at_source), F.col("__low")).alias(into)).toDF(*pages.columns, into)
 
 
 def op1_extract(spark, sf_dir: str) -> DataFrame:

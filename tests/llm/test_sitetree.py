@@ -1,6 +1,8 @@
+from pyspark.sql import functions as F
+
 from tessera.llm import sitetree as S
 
-KEEP = lambda path: False
+KEEP = lambda path: 1.0
 
 
 def text(html):
@@ -41,5 +43,28 @@ def test_copies_count_once(spark):
     assert [r.main_text for r in out] == ["the same story in every copy"]
 
 
+def test_trees_judge_pages_without_marks(spark):
+    """Pages as the driver makes them, with every tag and class that tells what a branch is taken away."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", F.lit("http://one.org/").alias("url"), "html")
+    want = {r.page_id: r.main_text for r in S.extract(pages).collect()}
+    # Footers go, for of one host their lines would vary with the hosts' names.
+    plain = F.regexp_replace(F.regexp_replace("html", "<footer>.*</footer>", ""), "<(/?)nav>", "<$1section>")
+    for tag, own in (("article", "k1"), ("div class=\"ad\"", "k2")):
+        plain = F.regexp_replace(plain, f"<{tag}>", f'<div class="{own}">')
+    plain = F.regexp_replace(plain, "</article>", "</div>")
+    bare = pages.withColumn("html", plain)
+    got = {r.page_id: r.main_text for r in S.extract(bare).collect()}
+    without = {r.page_id: text(r.html) for r in bare.collect()}
+    same = [i for i in want if got[i] == want[i]]
+    assert len(same) > 0.97 * len(want) and sum(without[i] != got[i] for i in want) > 0.97 * len(want)
+
+
+def test_repeated_notices_of_an_article_go(spark):
+    page = "<body><article><h1>Story {0}</h1><p>All about {0}, and {1} more</p><div class='z9'>The same line on every page</div>{2}</article></body>"
+    rows = [(i, "http://h.org/", page.format(i, i * 3, "<p>more</p>" * (i % 3))) for i in range(60)]
+    got = {r.page_id: r.main_text for r in S.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == "Story 7\nAll about 7, and 21 more\nmore"
+
+
 def test_no_pages(spark):
     assert S.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
