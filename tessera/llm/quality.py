@@ -23,7 +23,7 @@ from tessera.llm.common import numbered, pick, session_of, ship
 SAMPLE_ROWS, SAMPLE_BYTES = 5000, 32 << 20
 WORD_BITS, SHAPES, BINS, RANK = 16, 1 << 10, 12, 6
 STATS = ("words", "chars", "word_length", "distinct", "upper", "symbol", "digit", "other", "lines", "line_words", "repeats", "odd_ends")
-EPOCHS, STEPS, BATCH, RATE, DECAY = 6, 300, 64, 0.08, 1e-5  # at least so many epochs and so many steps
+EPOCHS, STEPS, BATCH, RATE, DECAY = 6, 700, 64, 0.08, 1e-5  # at least so many epochs and so many steps
 
 N_FEATURES = (1 << WORD_BITS) + SHAPES + len(STATS) * BINS
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -120,12 +120,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> dict | None:
-    """AdaGrad on the log loss, by the features of each batch, both labels weigh alike, so a rare one is learned too; where there is one label only, it starts from its log odds."""
+    """AdaGrad on the log loss, by the features of each batch, a rare label weighs more, by the root of how rare it is; where there is one label only, it starts from its log odds."""
     if not texts:
         return None
     ones = float(labels.sum())
     odds = (ones + 0.5) / (len(labels) - ones + 0.5)
-    weight = np.where(labels > 0.5, len(labels) / max(2 * ones, 1), len(labels) / max(2 * (len(labels) - ones), 1)).astype(np.float32)
+    weight = np.sqrt(np.where(labels > 0.5, len(labels) / max(2 * ones, 1), len(labels) / max(2 * (len(labels) - ones), 1))).astype(np.float32)
     if ones in (0, len(labels)):
         weight[:] = 1
     rng = np.random.default_rng(seed)
