@@ -8,9 +8,10 @@ start to the end of the last string is their segment.
 
 1. Keys of one anchor only hold nothing repeated. (Sums of two hashes for each key, aggregated before they are shuffled.)
 2. A segment that occurs twice is repeated throughout, and no further text of it is needed.
-3. Under a key of several different segments, each segment is a batch: its suffixes are sorted into a suffix array, which is
-   merge-scanned against the levels of the key's index for strings of ``LENGTH`` bytes in common, and then becomes a level
-   itself; two levels of like size merge into one of twice the size. So n suffixes are merged log n times.
+3. The texts come in ``BATCHES`` batches. Under a key of several different segments, the suffixes of a batch are sorted into a suffix
+   array, which is merge-scanned against the levels of the key's index for strings of ``LENGTH`` bytes in common, and then becomes a level
+   itself; two levels of like size merge into one of twice the size. So n suffixes are merged log n times. The index is dealt by
+   key, for equal strings share one.
 4. Keys of over ``HOT_SEGMENTS`` segments would be hot groups. Their starts are compared by the hash of their string, in
    counts that are aggregated before they are shuffled. This is exact as well.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, pick, session_of, ship
 
-LENGTH, SPREAD, GRAM, HOT_SEGMENTS = 400, 200, 16, 128
+LENGTH, SPREAD, GRAM, HOT_SEGMENTS, SALTS, BATCHES = 400, 200, 16, 128, 64, 16
 RESULT = "n_bytes bigint, spans array<struct<start:bigint,len:bigint>>, kept binary"
 
 
@@ -92,6 +93,8 @@ class IndexFamily:
                 self.repeated.add(y)
 
     def add(self, suffixes: list[tuple[bytes, object]]) -> None:
+        if not suffixes:
+            return
         batch = sorted(suffixes)
         self.scan(batch)
         for level in self.levels:
@@ -165,12 +168,12 @@ def _cut(length: int):
                 rows = []
                 for text, wanted in zip(batch.column(0)[i : i + 200].to_pylist(), batch.column(1)[i : i + 200].to_pylist()):
                     raw = text.encode("utf-8", "surrogatepass")
-                    rows += [(w["key"], w["seg"], w["hot"], w["anchor"] - w["first"], raw[w["first"] : w["last"] + length]) for w in wanted]
+                    rows += [(w["key"], w["seg"], w["hot"], w["batch"], raw[w["first"] : w["last"] + length]) for w in wanted]
                 if rows:
                     c = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.bool_()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.binary())],
-                        names=["key", "seg", "hot", "before", "data"],
+                        names=["key", "seg", "hot", "batch", "data"],
                     )
 
     return run
@@ -180,10 +183,10 @@ MARKS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
 
 def _index(length: int):
-    """Rows of a key stand together; gives the repeated starts of each segment, counted from its first byte."""
+    """Rows of a key stand together, batch by batch; gives the repeated starts of each segment, counted from its first byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, family, sizes = None, IndexFamily(), {}
+        now, family, suffixes = None, IndexFamily(), []
 
         def marks():
             found: dict[int, list[int]] = {}
@@ -196,12 +199,17 @@ def _index(length: int):
 
         for batch in batches:
             out = []
-            for key, seg, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if key != now:
-                    out += marks()
-                    now, family = key, IndexFamily()
-                family.add([(data[s : s + length], (seg, s)) for s in range(len(data) - length + 1)])
+            for key, part, seg, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if now != (key, part):
+                    family.add(suffixes)
+                    suffixes = []
+                    if now is None or key != now[0]:
+                        out += marks()
+                        family = IndexFamily()
+                    now = key, part
+                suffixes += [(data[s : s + length], (seg, s)) for s in range(len(data) - length + 1)]
             yield batch_of(out)
+        family.add(suffixes)
         yield batch_of(marks())
 
     return run
@@ -234,13 +242,13 @@ def repeated_starts(rows: DataFrame, scratch: Scratch, length: int = LENGTH, spr
     distinct = found.groupBy("key", "seg").agg(F.min(place).alias("home"), F.max(place).alias("other"))
     distinct = scratch.keep(distinct.withColumn("multi", F.col("home") != F.col("other")).drop("other"))
     width = distinct.groupBy("key").agg(F.count("*").alias("width"))
-    wanted = distinct.join(width.filter("width > 1"), "key").select("home.*", "key", "seg", (F.col("width") > hot_segments).alias("hot"))
-    wanted = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "seg", "hot", "anchor", "first", "last")).alias("wanted"))
+    wanted = distinct.join(width.filter("width > 1"), "key").select("home.*", "key", "seg", (F.col("width") > hot_segments).alias("hot"), F.pmod("home.t1", F.lit(BATCHES)).alias("batch"))
+    wanted = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "seg", "hot", "batch", "first", "last")).alias("wanted"))
     homes = rows.groupBy("t1", "t2").agg(F.min("rid").alias("rid")).join(wanted, ["t1", "t2"]).select("rid", "wanted")
-    data = rows.select("rid", "text").join(homes, "rid").select("text", "wanted").mapInArrow(_cut(length), "key bigint, seg bigint, hot boolean, before bigint, data binary")
+    data = rows.select("rid", "text").join(homes, "rid").select("text", "wanted").mapInArrow(_cut(length), "key bigint, seg bigint, hot boolean, batch bigint, data binary")
     data = scratch.keep(data.dropDuplicates(["key", "seg"]))
     scratch.release()
-    cold = data.filter(~F.col("hot")).select("key", "seg", "data").repartition("key").sortWithinPartitions("key")
+    cold = data.filter(~F.col("hot")).select("key", "batch", "seg", "data").repartition("key").sortWithinPartitions("key", "batch")
     cold = cold.mapInArrow(_index(length), "seg bigint, marks array<struct<lo:bigint,hi:bigint>>")
     windows = data.filter("hot").select("seg", "data").mapInArrow(_windows(length), "window bigint, seg bigint, start bigint")
     code = F.xxhash64("seg", "start")
@@ -249,7 +257,11 @@ def repeated_starts(rows: DataFrame, scratch: Scratch, length: int = LENGTH, spr
     marks = scratch.keep(cold.unionByName(hot).groupBy("seg").agg(F.flatten(F.collect_list("marks")).alias("marks")))
     scratch.release()
     multi = distinct.filter("multi").select("seg", F.lit(True).alias("multi")).distinct()
-    placed = found.join(multi, "seg", "left").join(marks, "seg", "left")
+    known = multi.join(marks, "seg", "full")
+    # A segment of very many texts is dealt to many places.
+    salt = F.pmod("t1", F.lit(SALTS)).alias("salt")
+    told = found.select("seg", salt).distinct().join(known, "seg")
+    placed = found.withColumn("salt", salt).join(told, ["seg", "salt"])
     shifted = F.transform("marks", lambda m: F.struct((m["lo"] + F.col("first")).alias("lo"), (m["hi"] + F.col("first")).alias("hi")))
     whole = F.array(F.struct(F.col("first").alias("lo"), F.col("last").alias("hi")))
     placed = placed.withColumn("marks", F.when(F.col("multi"), whole).otherwise(shifted)).filter(F.col("marks").isNotNull())
