@@ -41,7 +41,7 @@ def page_summaries(spark, d):
     f"""WITH w AS (SELECT doc_id, {WORDS.format(t='text')} ws FROM documents), t AS (SELECT doc_id, unnest(ws) token FROM w), s AS (SELECT doc_id, (('0x' || substr(md5(token), 1, 8))::BIGINT % 64)::INT slot, count(*) n FROM t GROUP BY ALL),
     l AS (SELECT doc_id, sqrt(sum(n * n)::DOUBLE) norm, sum(n)::BIGINT tokens FROM s GROUP BY 1),
     g AS (SELECT l.doc_id, i, norm, coalesce(n, 0)::DOUBLE / norm x FROM l CROSS JOIN range(0, 64) r(i) LEFT JOIN s ON s.doc_id = l.doc_id AND s.slot = i)
-    SELECT documents.doc_id, coalesce(list(x ORDER BY i) FILTER (i IS NOT NULL), list_transform(range(0, 64), lambda k: 0.0::DOUBLE)) embedding, any_value(tokens) tokens FROM documents LEFT JOIN g ON g.doc_id = documents.doc_id LEFT JOIN l ON l.doc_id = documents.doc_id GROUP BY 1""",
+    SELECT documents.doc_id, coalesce(list(x ORDER BY i) FILTER (i IS NOT NULL), list_transform(range(0, 64), lambda k: 0.0::DOUBLE)) embedding, coalesce(any_value(tokens), 0)::BIGINT tokens FROM documents LEFT JOIN g ON g.doc_id = documents.doc_id LEFT JOIN l ON l.doc_id = documents.doc_id GROUP BY 1""",
 )
 def hashed_embeddings(spark, d):
     """N6."""
