@@ -13,9 +13,10 @@ MOST_ROUNDS, SALTS, BROADCAST_ROWS = 60, 16, 300_000
 def components(links: DataFrame, a: str, b: str, scratch: Scratch, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """node, label for every node of a link; the label is the component's least node. Nodes may be of any ordered type.
 
-    A round gives each node the least label among its own and its neighbours', then its label's label. Minima are
-    aggregated before they are shuffled. Labels of up to ``broadcast_rows`` nodes are broadcast; more are joined, and the links of a
-    node are then dealt to ``SALTS`` places, so that a node with very many links is no hot group. Each round is written to the
+    In a round all nodes of one label get the least label among theirs and their neighbours', then that label's label, so a chain
+    takes about as many rounds as the logarithm of its length. Minima are
+    aggregated before they are shuffled. Labels of up to ``broadcast_rows`` nodes are broadcast; more are joined, and then the links of a
+    node and the nodes of a label are dealt to ``SALTS`` places, so that neither is a hot group. Each round is written to the
     shared folder, so that a lost executor costs no earlier round.
     """
     own = links.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
@@ -36,8 +37,17 @@ def components(links: DataFrame, a: str, b: str, scratch: Scratch, broadcast_row
         before = labels.select("node", "label")
         before = F.broadcast(before) if few else before
         better = near.join(before, F.col("node") == F.col("x")).select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
-        heads = before.select(F.col("node").alias("head"), F.col("label").alias("top"))
-        jumped = better.join(heads, F.col("label") == F.col("head")).select("node", "old", F.least("label", "top").alias("label"))
+        better = better.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        # What any node of a label has found holds for all of them, and so does the label of that label.
+        parts = better if few else better.groupBy("old", "salt").agg(F.min("label").alias("label"))
+        roots = parts.groupBy("old").agg(F.min("label").alias("best"))
+        heads = before.select(F.col("node").alias("best"), F.col("label").alias("top"))
+        roots = roots.join(heads, "best").select("old", F.least("best", "top").alias("to"))
+        if few:
+            jumped = better.join(F.broadcast(roots), "old")
+        else:
+            jumped = better.join(parts.select("old", "salt").join(roots, "old"), ["old", "salt"])
+        jumped = jumped.select("node", "old", F.least("label", "to").alias("label"))
         jumped = scratch.keep(jumped)
         scratch.drop(labels)
         labels = jumped
