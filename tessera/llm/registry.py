@@ -1,10 +1,11 @@
-"""The eleven queries of this subpackage, and SQL for those that SQL can express."""
+"""The queries of this subpackage, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 import corpus_pipeline
 from tessera.llm.ann import op6_nearest
 from tessera.llm.decontaminate import op5_decontaminate
+from tessera.llm.innertopk import OP13_SQL, op13_products
 from tessera.llm.langid import op2_langid
 from tessera.llm.orderminhash import op9_near_duplicates
 from tessera.llm.packing import op7_pack
@@ -28,8 +29,10 @@ def queries() -> dict:
         "op8_quality": op8_quality,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_repeats": op10_repeats,
+        "op13_products": op13_products,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    found = {"pipeline": corpus_pipeline.ORACLE_SQL, "op13_products": OP13_SQL}
+    return {name: sql for name, sql in found.items() if sql}
