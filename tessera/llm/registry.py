@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from tessera.llm.ann import op6_nearest
+from tessera.llm.collocations import OP12_SQL, op12_collocations
 from tessera.llm.decontaminate import op5_decontaminate
 from tessera.llm.erratatrie import OP11_SQL, op11_variants
 from tessera.llm.innertopk import OP13_SQL, op13_products
@@ -31,10 +32,11 @@ def queries() -> dict:
         "op9_near_duplicates": op9_near_duplicates,
         "op10_repeats": op10_repeats,
         "op11_variants": op11_variants,
+        "op12_collocations": op12_collocations,
         "op13_products": op13_products,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"pipeline": corpus_pipeline.ORACLE_SQL, "op11_variants": OP11_SQL, "op13_products": OP13_SQL}
+    found = {"pipeline": corpus_pipeline.ORACLE_SQL, "op11_variants": OP11_SQL, "op12_collocations": OP12_SQL, "op13_products": OP13_SQL}
     return {name: sql for name, sql in found.items() if sql}
