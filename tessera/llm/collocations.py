@@ -21,6 +21,7 @@ score, count, phrase. Columns of other names don't matter; an empty table gives
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch, pick, session_of, ship
 
 LONGEST, LEAST, SHARE, MOST, UNKNOWN = 3, 10, 50, 2000, "und"
-FILTER_BITS, CHUNK_BYTES, BUCKET_BYTES, MEMORY, TOP_ROWS = 1 << 26, 8 << 20, 256 << 20, "256MB", 200_000
+FILTER_BITS, CHUNK_BYTES, BUCKET_BYTES, MEMORY = 1 << 26, 8 << 20, 256 << 20, "256MB"
 #: Ends of pieces become a new line, tabs a space, A-Z a-z.
 PIECE_BYTES = bytes(10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c | 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -207,10 +208,10 @@ def uncovered(candidates: DataFrame, share: int = SHARE) -> DataFrame:
     return candidates.join(covers, ["lang", "phrase"], "left").filter(F.coalesce(100 * F.col("__most") < share * F.col("a"), F.lit(True))).drop("__most")
 
 
-def best(candidates: DataFrame, most: int = MOST, top_rows: int = TOP_ROWS) -> DataFrame:
-    """The first ``most`` of each language with their rank; of salted parts first, so that a language isn't one task's."""
+def best(candidates: DataFrame, most: int = MOST) -> DataFrame:
+    """The first ``most`` of each language with their rank; of salted parts first, as many as make either step's groups alike in size."""
     order = [F.desc("score"), F.desc("a"), "phrase"]
-    salts = max(1, -(-candidates.count() // top_rows))
+    salts = max(1, math.isqrt(candidates.count() // most))
     salt = F.pmod(F.xxhash64("phrase"), F.lit(salts))
     first = candidates.withColumn("__salt", salt).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "__salt").orderBy(*order))).filter(F.col("rank") <= most)
     last = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
