@@ -8,8 +8,9 @@ Components are turned into integers, floor(scale * x), and scores are their inte
 2. ``seeded``: every query meets the ``SEEDS`` longest vectors and takes the k-th best score there as its first threshold.
 3. ``Search``: each task reads its rows by descending length, in blocks. A block's rows that are too short for a query
    (length times length below its threshold) are left out; of the others the first rotated components are multiplied, and a
-   row stays only while its partial sum, plus the lengths of what is left of both vectors, reaches the threshold. What
-   stays is scored exactly, and the thresholds rise to the k-th best score that the task has found.
+   row stays only while its partial sum, plus the product of the lengths of what is left of both vectors, reaches the
+   threshold; further components follow until few rows stay. These are scored exactly, and the thresholds rise to the k-th
+   best score that the task has found.
 4. The best of all tasks are ranked.
 
 Queries are broadcast in chunks of ``CHUNK_BYTES``, one pass over the rows for each; rows are neither shuffled nor collected.
@@ -33,9 +34,9 @@ from tessera.llm.ann import chunks
 from tessera.llm.common import pick, session_of, ship
 
 SCALE, SAMPLE, SEEDS, CHUNK_BYTES = 64, 4096, 4096, 16 << 20
-BLOCK, TILE, PAIRS = 8192, 512, 1 << 18
-#: Partial sums take in these shares of the components, one after the other.
-HEADS = (0.125, 0.25, 0.5)
+BLOCK, ROWS, TILE, PAIRS = 8192, 2048, 128, 1 << 18
+#: Partial sums take in these shares of the components, one after the other, while more than FEW of a tile's pairs stay.
+HEADS, FEW = (0.125, 0.25, 0.5, 0.75), 0.02
 EXACT, HUGE = float(1 << 53), 1e60
 SCHEMA = "query_id bigint, vec_id bigint, score bigint"
 
@@ -76,48 +77,49 @@ class Search:
         order = np.argsort(-length, kind="stable")
         ids, vectors, length = ids[order], vectors[order], length[order]
         rotated = vectors @ self.turn if self.heads else vectors
-        left = lengths_from(rotated, self.heads) if self.heads else None
+        left = lengths_from(rotated, self.heads) if self.heads else np.zeros((len(ids), 0))
         new = []
-        for begin in range(0, len(self.ids), TILE):
-            tile = slice(begin, begin + TILE)
-            self.met += len(ids) * len(self.ids[tile])
-            slack = 1e-9 * (1 + self.length[tile] * (length[0] if len(length) else 0))
-            need = self.least[tile] - slack
-            most = length * self.length[tile].max(initial=0)
-            n = int(np.searchsorted(-most, -need.min(initial=np.inf), side="right"))  # longer rows stand first
-            if not n:
-                continue
-            keep = length[:n, None] * self.length[tile] >= need
-            if self.heads:
-                h = self.heads[0]
-                part = rotated[:n, :h] @ self.rotated[tile, :h].T
-                keep &= part + left[:n, :1] * self.left[tile, 0] >= need
-            keep &= ids[:n, None] != self.ids[tile]
-            row, query = np.nonzero(keep)
-            sums = part[row, query] if self.heads else np.zeros(len(row))
-            for i in range(0, len(row), PAIRS):
-                new.append(self.settle(row[i : i + PAIRS], query[i : i + PAIRS] + begin, sums[i : i + PAIRS], rotated, left, vectors, ids))
+        for top in range(0, len(ids), ROWS):
+            for begin in range(0, len(self.ids), TILE):
+                rows, tile = slice(top, top + ROWS), slice(begin, begin + TILE)
+                row, query = self.may_reach(length[rows], rotated[rows], left[rows], vectors[rows], tile)
+                own = ids[rows][row] != self.ids[query]
+                row, query = row[own], query[own]
+                for i in range(0, len(row), PAIRS):
+                    part = slice(i, i + PAIRS)
+                    score = products(vectors[rows][row[part]], self.vectors[query[part]])
+                    stay = score >= self.least[query[part]]
+                    new.append((query[part][stay], ids[rows][row[part]][stay], score[stay]))
+                self.scored += len(row)
         if new:
             self.keep_best(*(np.concatenate(x) for x in zip(*new)))
 
+    def may_reach(self, length, rotated, left, vectors, tile) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and queries of a tile whose products may reach the threshold, by bounds that tighten component by component until few are left."""
+        own = self.length[tile]
+        need = self.least[tile] - 1e-9 * (1 + own * length[0])
+        n = int(np.searchsorted(-length * own.max(), -need.min(), side="right"))  # longer rows stand first
+        self.met += len(length) * len(own)
+        part = bound = np.zeros((n, len(own)))
+        keep = length[:n, None] * own >= need
+        for j, (a, b) in enumerate(zip([0, *self.heads], self.heads)):
+            if np.count_nonzero(keep) <= FEW * keep.size:
+                break
+            part = part + rotated[:n, a:b] @ self.rotated[tile, a:b].T
+            bound = left[:n, j, None] * self.left[tile, j]
+            bound += part
+            keep &= bound >= need
+        if np.count_nonzero(keep) > FEW * keep.size:
+            keep &= vectors[:n] @ self.vectors[tile].T >= need
+        row, query = np.nonzero(keep)
+        return row, query + tile.start
+
     def add_all(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         for query in range(len(self.ids)):
             row = np.flatnonzero(ids != self.ids[query])
             score = products(vectors[row], np.broadcast_to(self.vectors[query], (len(row), vectors.shape[1])))
             self.keep_best(np.full(len(row), query), ids[row], score)
 
-    def settle(self, row, query, sums, rotated, left, vectors, ids):
-        """Pairs that stay through all partial sums, with their scores."""
-        for j, (a, b) in enumerate(zip(self.heads, self.heads[1:]), 1):
-            sums = sums + np.einsum("ij,ij->i", rotated[row, a:b], self.rotated[query, a:b])
-            slack = 1e-9 * (1 + self.length[query] * np.sqrt(np.square(vectors[row]).sum(1)))
-            stay = sums + left[row, j] * self.left[query, j] >= self.least[query] - slack
-            row, query, sums = row[stay], query[stay], sums[stay]
-        self.scored += len(row)
-        score = products(vectors[row], self.vectors[query])
-        stay = score >= self.least[query]
-        return query[stay], ids[row[stay]], score[stay]
-
     def keep_best(self, at: np.ndarray, found: np.ndarray, score: np.ndarray) -> None:
         at, found, score = np.concatenate([self.at, at]), np.concatenate([self.found, found]), np.concatenate([self.score, score])
         order = np.lexsort((found, -score, at))
@@ -163,6 +165,14 @@ def rotation(rows: DataFrame, sample: int, scale: float) -> dict[int, np.ndarray
     return out
 
 
+def doubling(first: int, end: int) -> Iterator[tuple[int, int]]:
+    """Ranges that double, so that thresholds rise while few rows have been met."""
+    a, b = 0, first
+    while a < end:
+        yield a, b
+        a, b = b, 2 * b
+
+
 def seeded(queries: DataFrame, longest: DataFrame, k: int, scale: float, turns: dict) -> DataFrame:
     """Queries with the k-th best score that they reach among the longest vectors, as a first threshold."""
     spark = session_of(queries)
@@ -182,7 +192,8 @@ def seeded(queries: DataFrame, longest: DataFrame, k: int, scale: float, turns:
                 if dim in shared.value:
                     for i in range(0, len(ids), TILE):
                         search = Search(ids[i : i + TILE], vectors[i : i + TILE], np.full(len(ids[i : i + TILE]), -np.inf), k, turns.get(dim))
-                        search.add(*shared.value[dim])
+                        for a, b in doubling(4 * k, len(shared.value[dim][0])):
+                            search.add(*(x[a:b] for x in shared.value[dim]))
                         least[np.flatnonzero(sizes == dim)[i : i + TILE]] = search.least
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least)], names=["vec_id", "embedding", "least"])
 
