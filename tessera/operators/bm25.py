@@ -62,15 +62,19 @@ class Model:
         self._need()
         return self._postings
 
+    def asked(self, queries: DataFrame, key: str, text: str) -> DataFrame:
+        """query, token: the different tokens of each query."""
+        return queries.select(F.col(key).alias("query"), F.explode(F.array_distinct(tokens(F.col(text), self.stop_words))).alias("token"))
+
     def query_vector(self, queries: DataFrame, key: str, text: str) -> DataFrame:
         """Distinct known tokens of each query, weight 1."""
         self._need()
-        own = queries.select(F.col(key).alias("query"), F.explode(F.array_distinct(tokens(F.col(text), self.stop_words))).alias("token"))
+        own = self.asked(queries, key, text)
         return own.join(self._vocabulary.select("token"), "token", "left_semi").select("query", "token", F.lit(1.0).alias("weight"))
 
     def scores(self, queries: DataFrame, key: str, text: str) -> DataFrame:
         """Dot products of query and document weights, rounded to six digits."""
-        own = queries.select(F.col(key).alias("query"), F.explode(F.array_distinct(tokens(F.col(text), self.stop_words))).alias("token"))
+        own = self.asked(queries, key, text)
         return self.postings.join(own, "token").groupBy("query", "doc").agg(F.round(F.sum("weight"), 6).alias("score"))
 
     def kept(self, spark, path: str) -> Model:

@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the one for checkpoints, else the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+from tessera.cluster import shared_folder  # noqa: F401
 
 
 def read_events(spark: SparkSession, folder: str, schema) -> DataFrame:
