@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.bm25 import top
 
-PER_BLOCK, FIRST, BROADCAST_ROWS, SALT_ROWS = 64, 16, 200_000, 200_000
+PER_BLOCK, FIRST, BROADCAST_ROWS, SALT_ROWS = 4, 16, 200_000, 200_000
 #: Scores are rounded to six digits; a bound this far below may still be rounded up to one.
 SLACK = 2e-6
 BLOCK = ["level", "block"]

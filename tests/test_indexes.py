@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.cluster import Workspace
-from tessera.operators import blockmax, bm25, quantised, retrieval
+from tessera.operators import blockmax, bm25, quantised
 
 DATA = "/root/testdata"
 
@@ -42,7 +42,7 @@ def test_codes_edges(spark):
     index = quantised.Codes(chunks, Workspace(spark).keep)
     got = sorted((r.query, r["rank"], r.doc) for r in index.search(queries, 2).collect())
     assert got == [(0, 1, 1), (0, 2, 8), (1, 1, 6)]
-    assert sorted((r.query, r.doc) for r in index.search(queries, 2, allowed=chunks.filter("doc > 2"), most_bytes=1).collect()) == [(0, 3), (0, 8), (1, 6)]
+    assert sorted((r.query, r.doc) for r in index.search(queries, 2, allowed=chunks.filter("doc > 2"), most_queries=1).collect()) == [(0, 3), (0, 8), (1, 6)]
     assert index.search(queries.limit(0), 2).count() == 0
     codes = quantised.packed_signs(np.array([[1.0, -1.0] + [0.0] * 62, [-1.0] * 63 + [1.0]]), 64)
     assert codes.tolist() == [[1], [-(1 << 63)]]
@@ -85,5 +85,4 @@ def test_share_of_postings_on_documents(spark, sf):
     model = bm25.Model().fit(docs, "doc_id", "text")
     index = blockmax.Index.build(model.postings, Workspace(spark).keep)
     read, all_ = index.read(model.asked(asked, "item_id", "text"), 10)
-    assert read < all_
-    assert retrieval.BROADCAST_BYTES  # queries are broadcast in blocks of this size
+    assert read < 0.7 * all_
