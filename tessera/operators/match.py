@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.cluster import Workspace, send_package
 
 SHORT, FUZZY_CHARS, FUZZY_RATIO, FUZZY_TOP = 3, 6, 85, 3
 # Names that are common English words and count in code context only.
 AMBIGUOUS = ("$options", "component", "components", "data", "h", "inject", "is", "key", "methods", "name", "props", "provide", "render", "slot", "template", "watch")
-GRAM = 4
+SHARD_BYTES = 512 << 10  # of phrases in an automaton, which takes about two hundred times that
 PRIORITY = {"exact": 0, "bigram": 1, "synonym": 2, "fuzzy": 3}
 
 
@@ -38,19 +44,101 @@ def _bounded(name: Column, text: Column) -> Column:
     return F.regexp_like(text, quoted)
 
 
-def grams(text: Column) -> Column:
-    """The distinct runs of 1 to ``GRAM`` characters of a text."""
-    at = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n))))
-    return F.array_distinct(F.flatten(F.array(*[F.coalesce(at(n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)])))
-
-
-def contained(queries: DataFrame, phrases: DataFrame, phrase: str) -> DataFrame:
-    """Pairs of queries and phrases that stand in them, in any case. Joined by the first characters of the phrase, so that
-    neither side has to be small; the rest is compared in the pairs."""
-    own = queries.withColumn("__q", normalise(F.col("text"))).select("*", F.explode(grams(F.col("__q"))).alias("__gram"))
+class Automaton:
+    """An Aho-Corasick automaton: a trie of phrases whose nodes know the longest other phrase's start that ends there too."""
+
+    def __init__(self, phrases: list[str]):
+        self.step: list[dict[str, int]] = [{}]
+        self.ends: list[int] = [-1]  # the phrase that ends at a node
+        self.phrases = phrases
+        for i, phrase in enumerate(phrases):
+            node = 0
+            for c in phrase:
+                if c not in self.step[node]:
+                    self.step[node][c] = len(self.step)
+                    self.step.append({})
+                    self.ends.append(-1)
+                node = self.step[node][c]
+            self.ends[node] = i
+        self.fall, self.next_end = [0] * len(self.step), [0] * len(self.step)
+        queue = list(self.step[0].values())
+        for node in queue:  # by depth, as children are put at the end
+            for c, child in self.step[node].items():
+                back = self.fall[node]
+                while back and c not in self.step[back]:
+                    back = self.fall[back]
+                self.fall[child] = self.step[back].get(c, 0)
+                queue.append(child)
+            back = self.fall[node]
+            self.next_end[node] = back if self.ends[back] >= 0 else self.next_end[back]
+
+    def found(self, text: str) -> set[int]:
+        """The phrases that stand in a text, in one pass over it."""
+        node, out, seen = 0, set(), set()
+        step, fall = self.step, self.fall
+        for c in text:
+            while node and c not in step[node]:
+                node = fall[node]
+            node = step[node].get(c, 0)
+            if node in seen:
+                continue
+            seen.add(node)
+            end = node
+            while end:
+                if self.ends[end] >= 0:
+                    out.add(self.ends[end])
+                end = self.next_end[end]
+        return out
+
+
+def shards(phrases: DataFrame, most_bytes: int) -> Iterator[list[str]]:
+    """Phrases in parts of bounded size; the driver holds one part at a time."""
+    held, size = [], 0
+    for (phrase,) in phrases.toLocalIterator():
+        held.append(phrase)
+        size += len(phrase) + 16
+        if size >= most_bytes:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _found(shared, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(shared.value)
+        for batch in batches:
+            rows, names = [], []
+            for i, text in enumerate(batch.column(at).to_pylist()):
+                for k in automaton.found(text or ""):
+                    rows.append(i)
+                    names.append(automaton.phrases[k])
+            for i in range(0, len(rows), 20_000):
+                part = batch.take(pa.array(rows[i : i + 20_000], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[i : i + 20_000], pa.string())], names=[*part.schema.names, "__low"])
+
+    return run
+
+
+def contained(queries: DataFrame, phrases: DataFrame, phrase: str, most_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Pairs of queries and phrases that stand in them, in any case. Phrases make automata of bounded size, each of which passes over the
+    queries once; with more than one, each one's pairs are written before the next is made. What a phrase stands for is joined to the pairs."""
+    spark = queries.sparkSession
+    send_package(spark)
+    own = queries.withColumn("__q", normalise(F.col("text")))
     low = F.lower(F.col(phrase))
-    known = phrases.filter(F.length(phrase) > 0).withColumn("__low", low).withColumn("__gram", F.substring(F.col("__low"), 1, GRAM))
-    return own.join(known, "__gram").filter(F.instr(F.col("__q"), F.col("__low")) > 0)
+    known = phrases.filter(F.length(phrase) > 0).withColumn("__low", low)
+    out, before, work = None, None, None
+    schema = T.StructType([*own.schema.fields, T.StructField("__low", T.StringType())])
+    for shard in shards(known.select("__low").distinct(), most_bytes):
+        if before is not None:
+            work = work or Workspace(spark)
+            kept = work.keep(before)
+            out = kept if out is None else out.unionByName(kept)
+        before = own.mapInArrow(_found(spark.sparkContext.broadcast(shard), own.columns.index("__q")), schema)
+    if before is None:
+        return own.limit(0).withColumn("__low", F.lit("")).join(known, "__low")
+    return (before if out is None else out.unionByName(before)).join(known, "__low")
 
 
 def exact(queries: DataFrame, names: DataFrame) -> DataFrame:

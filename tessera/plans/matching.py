@@ -116,3 +116,23 @@ def entity_dictionary(spark, d):
 def entity_classification(spark, d):
     kind = entities.by_pattern(F.col("p_type"), [("^PROMO", "directive"), ("STEEL$", "component"), ("^[A-M]", "function")])
     return table(spark, d, "part").select("p_partkey", kind.alias("entity_type"))
+
+
+GUARDED = """'size ' || p_size || ' of ' || p_size || '0, key ' || CASE WHEN p_size % 2 = 0 THEN '`data`' ELSE 'data' END || ' v-is <h' || (p_size % 3) || '>'"""
+
+
+@query(
+    "match_guarded",
+    f"""WITH q AS (SELECT p_partkey "query", {GUARDED} AS text FROM part),
+    n AS (SELECT DISTINCT p_size::VARCHAR AS name FROM part UNION SELECT unnest(['data', 'key', 'is', 'h', 'h1', 'of'])),
+    s AS (SELECT "query", name FROM q, n WHERE length(name) <= 3 AND regexp_matches(replace(lower(text), '`', ''), '(^|[^A-Za-z0-9_])' || name || '($|[^A-Za-z0-9_])') AND name NOT IN ('data', 'key', 'is', 'h'))
+    SELECT * FROM s UNION ALL SELECT "query", 'data' FROM q WHERE contains(text, '`data`') UNION ALL SELECT "query", 'is' FROM q""",
+)
+def match_guarded(spark, d):
+    """M4: short names only between non-word characters, common words only as code."""
+    part = table(spark, d, "part")
+    size = F.col("p_size").cast("string")
+    data = F.when(F.col("p_size") % 2 == 0, "`data`").otherwise("data")
+    asked = part.select(F.col("p_partkey").alias("query"), F.concat(F.lit("size "), size, F.lit(" of "), size, F.lit("0, key "), data, F.lit(" v-is <h"), (F.col("p_size") % 3).cast("string"), F.lit(">")).alias("text"))
+    known = part.select(size.alias("name")).distinct().unionByName(part.limit(1).select(F.explode(F.array(*map(F.lit, ("data", "key", "is", "h", "h1", "of")))).alias("name"))).distinct()
+    return match.exact(asked, known)
