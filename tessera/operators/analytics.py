@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.cluster import Workspace
+from tessera.operators import order
+
 DIMENSIONS = ("relevance", "completeness", "correctness", "api_coverage", "conciseness")
 THRESHOLDS = (5, 4, 3, 2)
 
@@ -40,10 +43,10 @@ def p95(values: Column) -> Column:
 
 
 def p95_by(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """A12 for groups of any size: by ranks, so that no group's values meet in one array."""
-    w = Window.partitionBy(*by)
-    ranked = rows.filter(F.col(value) > 0).withColumn("__n", F.row_number().over(w.orderBy(value)) - 1).withColumn("__all", F.count("*").over(w))
-    return ranked.filter(F.col("__n") == F.floor(F.col("__all") * F.lit(0.95))).select(*by, F.col(value).alias("p95"))
+    """A12 for groups of any size: the value at the rank, selected in two passes, so that no group's values meet in one task."""
+    keep = Workspace(rows.sparkSession).keep
+    found = order.at_ranks(rows.filter(F.col(value) > 0), by, value, {"p95": (0.95, F.floor(F.col("n") * F.lit(0.95)))}, keep)
+    return found.select(*by, "p95")
 
 
 def recall(expected: Column, text: Column) -> Column:
@@ -86,11 +89,11 @@ def judge_median(runs: DataFrame, by: list[str], dims: tuple[str, ...] = DIMENSI
     return runs.groupBy(*by).agg(*[F.median(F.when(F.col(d) > 0, F.col(d))).cast("int").alias(d) for d in dims])
 
 
-def packed(rows: DataFrame, order: list[str], size: Column, most: int, by: list[str] | None = None) -> DataFrame:
-    """Rows in order up to the first that would exceed ``most`` in all. Sizes are whole numbers from 1; without ``by``, no more than the first ``most`` rows can fit."""
+def packed(rows: DataFrame, by_order: list[str], size: Column, most: int, by: list[str] | None = None) -> DataFrame:
+    """Rows in order up to the first that would exceed ``most`` in all; ``running`` is the size up to and with each. Sizes are whole numbers from 1."""
     if not by:
-        rows = rows.orderBy(*order).limit(most)
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return order.running(rows, by_order, {"running": size}, Workspace(rows.sparkSession).keep).filter(F.col("running") <= most)
+    w = Window.partitionBy(*by).orderBy(*by_order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("running", F.sum(size).over(w)).filter(F.col("running") <= most)
 
 

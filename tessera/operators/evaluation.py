@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.cluster import Workspace
 from tessera.functions import text as T
-from tessera.operators import analytics
+from tessera.operators import analytics, order
 
 #: Figures of a group, with how they are rounded.
 FIGURES = {
@@ -37,19 +38,29 @@ def above_zero(name: str) -> Column:
     return F.when(F.col(name) > 0, F.col(name))
 
 
+def selected(rows: DataFrame, by: list[str], dims: tuple[str, ...], keep) -> DataFrame:
+    """by, median_* of the marks above 0, p95_latency: order statistics of all columns in the same two passes."""
+    columns = [*dims, "latency_s"]
+    long = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), above_zero(c).cast("double").alias("value")) for c in columns])).alias("__x")).select(*by, "__x.*")
+    found = order.at_ranks(long, [*by, "column"], "value", order.middle() | {"p95": (0.95, F.floor(F.col("n") * F.lit(0.95)))}, keep)
+    of = lambda c, value: F.max(F.when(F.col("column") == c, value))
+    medians = [F.round(of(d, (F.col("lower") + F.col("upper")) / 2), 2).alias(f"median_{d}") for d in dims]
+    return found.groupBy(*by).agg(*medians, of("latency_s", F.col("p95")).alias("p95_latency"))
+
+
 def group_figures(rows: DataFrame, by: list[str], dims: tuple[str, ...] = analytics.DIMENSIONS) -> DataFrame:
-    """All figures of each group. The 95th percentile is that of ``analytics.p95_by``; groups may be of any size."""
+    """All figures of each group. Rows are kept as a table, as three passes read them; groups may be of any size."""
+    keep = Workspace(rows.sparkSession).keep
+    rows = keep(rows)
     composite = F.when(F.greatest(*map(F.col, dims)) > 0, sum((F.col(d) for d in dims), F.lit(0)) / len(dims))
-    p95 = analytics.p95_by(rows, by, "latency_s").withColumnRenamed("p95", "p95_latency")
     out = rows.groupBy(*by).agg(
-        F.count("*").alias("count"),
-        *[F.round(F.avg(above_zero(d)), 2).alias(f"avg_{d}") for d in dims], *[F.round(F.median(above_zero(d)), 2).alias(f"median_{d}") for d in dims],
+        F.count("*").alias("count"), *[F.round(F.avg(above_zero(d)), 2).alias(f"avg_{d}") for d in dims],
         F.avg(composite).alias("avg_composite"), F.avg("path_recall").alias("avg_path_recall"), F.avg("api_recall").alias("avg_api_recall"), F.avg("f1").alias("avg_f1"),
         F.avg(above_zero("latency_s")).alias("avg_latency"), F.max(above_zero("latency_s")).alias("max_latency"),
         F.avg(above_zero("context_tokens")).alias("avg_context_tokens"), F.max(above_zero("context_tokens")).cast("double").alias("max_context_tokens"),
         F.avg("internal_cost").alias("avg_internal_cost"), F.sum("internal_cost").alias("total_internal_cost"),
         F.avg("external_cost").alias("avg_external_cost"), F.sum("external_cost").alias("total_external_cost"),
-    ).join(p95, by, "left")
+    ).join(selected(rows, by, dims, keep), by, "left")
     others = [c for c in out.columns if c not in FIGURES]
     return out.select(*others, *[F.round(F.col(n), d).alias(n) for n, d in FIGURES.items()])
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.cluster import Workspace
+from tessera.operators.order import running
+
 UNKNOWN = "99_"
 
 
@@ -18,14 +21,16 @@ def with_fallback(pages: DataFrame, keys: DataFrame, path: str = "path", key: st
 
 
 def by_category(items: DataFrame, category: str, name: str, section: int | None = None) -> DataFrame:
-    """A section for each category in alphabetical order from 1, its items from 0; with ``section``, categories are groups of that section."""
-    # A window over all rows would put them in one task: the categories alone are ranked, in one row that is as long as there are categories.
-    ranks = items.select(category).distinct().agg(F.array_sort(F.collect_list(category)).alias("all")).select(F.posexplode("all").alias("g", category))
-    within = Window.partitionBy(category).orderBy(name)
-    out = items.withColumn("i", F.row_number().over(within) - 1).join(ranks, category)
+    """A section for each category in alphabetical order from 1, its items from 0; with ``section``, categories are groups of that section.
+    Ranks run over ranges of all items, so that neither a category nor the list of them has to fit a task."""
+    keep = Workspace(items.sparkSession).keep
+    ranked = running(items.filter(F.col(category).isNotNull()), [category, name], {"__rank": F.lit(1)}, keep)
+    first = keep(ranked.groupBy(F.col(category).alias("__category")).agg(F.min("__rank").alias("__first")))
+    named = running(first, ["__category"], {"g": F.lit(1)}, keep)
+    out = ranked.join(named, F.col(category) == F.col("__category")).withColumn("i", F.col("__rank") - F.col("__first")).withColumn("g", F.col("g") - 1)
     group = F.col("g") + 1
     key = (padded(group), F.lit("00")) if section is None else (F.lit(f"{section:02d}"), padded(group))
-    return out.withColumn("sort_key", F.concat_ws("_", *key, padded(F.col("i")))).drop("g", "i")
+    return out.withColumn("sort_key", F.concat_ws("_", *key, padded(F.col("i")))).drop("g", "i", "__rank", "__first", "__category")
 
 
 # Guide pages in reading order, and pages at the root.

@@ -104,6 +104,13 @@ def prompt_packing(spark, d):
     return analytics.packed(rows, ["lang", "doc_id"], F.col("n_chars"), 20000, ["source"]).select("source", "doc_id", "running")
 
 
+@query("prompt_packing_whole", "SELECT source, doc_id, running::BIGINT running FROM (SELECT source, doc_id, sum(n_chars) OVER (ORDER BY source, lang, doc_id ROWS UNBOUNDED PRECEDING) running, sum(n_chars) OVER () total FROM documents) WHERE running <= 1000000")
+def prompt_packing_whole(spark, d):
+    """A17 without groups."""
+    rows = table(spark, d, "documents").select("source", "doc_id", "lang", "n_chars")
+    return analytics.packed(rows, ["source", "lang", "doc_id"], F.col("n_chars"), 1_000_000).select("source", "doc_id", "running")
+
+
 EXPECTED = "list_distinct(list_filter(string_split(lower(b.text), ' '), lambda x: len(x) > 4))"
 
 

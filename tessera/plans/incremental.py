@@ -60,3 +60,25 @@ def content_hashes(spark, d):
 @query("point_id", "SELECT doc_id, ('0x' || substr(sha256('c' || doc_id), 1, 15))::BIGINT point_id FROM documents")
 def point_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", point_id(F.concat(F.lit("c"), F.col("doc_id").cast("string"))).alias("point_id"))
+
+
+@query(
+    "collection_versions",
+    """SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 5 = 1 THEN o_totalprice + 1 ELSE o_totalprice END o_totalprice FROM orders WHERE o_orderkey % 7 <> 2
+    UNION ALL SELECT -o_orderkey, 'N', o_totalprice FROM orders WHERE o_orderkey % 5 = 2""",
+)
+def collection_versions(spark, d):
+    """K6-K8: a collection after a first load, an upsert of changed and new rows, and a deletion."""
+    import uuid
+
+    from tessera.cluster import shared_folder
+    from tessera.operators.collection import Collection
+
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    stored = Collection.create(spark, f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}", orders.schema, "o_orderkey", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stored.upsert(orders)
+    changed = orders.filter("o_orderkey % 5 = 1").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    new = orders.filter("o_orderkey % 5 = 2").withColumns({"o_orderkey": -F.col("o_orderkey"), "o_orderstatus": F.lit("N")})
+    stored.upsert(changed.unionByName(new))
+    stored.delete(orders.filter("o_orderkey % 7 = 2").select("o_orderkey"))
+    return stored.read()

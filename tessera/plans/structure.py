@@ -75,13 +75,13 @@ def section_styles(spark, d):
 
 CLEANED = {
     "core": (('<div class="options-api">\nkeep ', "\n</div>\n[Playground](u)\nend"), ("keep ", "\n\nend")),
-    "router": (('a <RouterLink to="x"/>', "<Promo>z</Promo> b\n<script setup>\nimport x\n</script>\nend"), ("a ", " b\nend")),
-    "store": (("<MasteringBanner/>", "\n\n\n\nend  "), ("", "\n\nend")),
-    "composables": (("```ts twoslash\nhidden\n// ---cut---\n", "\n```"), ("```ts\n", "\n```")),
-    "bundler": (('a <ScrimbaLink href="x">v</ScrimbaLink>', ' b <audio src="x"/>'), ("a ", " b")),
-    "testing": (("a <Version>1</Version>", '<Badge type="x"/> b'), ("a ", " b")),
-    "meta": ((':read-more{to="/x"}\n', "\n::read-more\nin\n::\nend"), ("", "\n\nend")),
-    "devtools": (("<Home />\n", "\n<UseModeList></UseModeList>"), ("", "")),
+    "router": (('a <RouterLink to="x">kept</RouterLink> ', '<VueSchoolLink href="x">z</VueSchoolLink> b\n<HomeSponsors />\n<script setup>\nimport x\n</script>\nend'), ('a <RouterLink to="x">kept</RouterLink> ', " b\n\nend")),
+    "store": (('<MasteringPiniaLink href="x" />\n', "\n\n\n\n<RuleKitLink>\nend  "), ("", "\n\nend")),
+    "composables": (('<CourseLink href="x">v</CourseLink>\n```ts twoslash\n// ---cut-start---\nhidden\n// ---cut-end---\n// @include: x\n', "\n```\n// ---cut-start---\nend"), ("```ts\n", "\n```\n// ---cut-start---\nend")),
+    "bundler": (('a <ScrimbaLink href="x">v</ScrimbaLink>', ' b<audio src="x"></audio>\n<!-- prettier-ignore -->\nend'), ("a ", " b\n\nend")),
+    "testing": (("a <Version>1</Version>", '<Badge type="x">new</Badge> b <CRoot /> c\n<img img-light src="x">\nend'), ("a ", " b  c\n\nend")),
+    "meta": (("::read-more{to='/x'}\nkept\n", "\n::tip\nin\n::\n :video-accordion{x}\n::link-example{to='y'}\nend"), ("kept\n", "\n::tip\nin\n::\n\nend")),
+    "devtools": (("<Home />\n", "\n<UseModeList />"), ("", "")),
 }
 
 
@@ -99,11 +99,11 @@ def clean_sources(spark, d):
     return rows
 
 
-FILES = ("guide/a.md", "zh/b.md", "blog/x.md", "index.md", ".vitepress/c.md", "guide/cli-generated.md", "guide/examples/d.md", "core/useX/index.md", "core/useX/other.md", "5.community/e.md", "team.md", "components/f.md", "api/g.md")
+FILES = ("guide/a.md", "zh/b.md", "blog/x.md", "index.md", ".vitepress/c.md", "guide/cli-generated.md", "guide/examples/d.md", "core/useX/index.md", "core/useX/other.md", "5.community/e.md", "team.md", "components/f.md", "api/g.md", "dist/useY/index.md", "nuxt/useZ/index.md", "other/useW/index.md", "public/p.md", "add-ons.md")
 LEFT_OUT = {
-    "core": (), "router": ("zh/b.md",), "store": ("zh/b.md",), "composables": ("zh/b.md", "blog/x.md", ".vitepress/c.md", "core/useX/other.md", "5.community/e.md", "team.md", "api/g.md"),
-    "bundler": ("blog/x.md", ".vitepress/c.md", "index.md", "team.md"), "testing": ("blog/x.md", ".vitepress/c.md", "index.md", "team.md", "guide/cli-generated.md", "guide/examples/d.md"),
-    "meta": ("5.community/e.md",), "devtools": (".vitepress/c.md", "index.md"),
+    "core": (), "router": ("zh/b.md",), "store": ("zh/b.md",), "composables": ("zh/b.md", "blog/x.md", ".vitepress/c.md", "core/useX/other.md", "5.community/e.md", "team.md", "api/g.md", "dist/useY/index.md", "other/useW/index.md", "public/p.md"),
+    "bundler": ("blog/x.md", ".vitepress/c.md", "index.md", "team.md", "public/p.md"), "testing": ("blog/x.md", ".vitepress/c.md", "index.md", "team.md", "guide/cli-generated.md", "guide/examples/d.md", "public/p.md"),
+    "meta": ("5.community/e.md",), "devtools": (".vitepress/c.md", "index.md", "public/p.md"),
 }
 
 

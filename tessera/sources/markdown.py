@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import squeeze, strip_tags
+from tessera.functions.text import squeeze
 from tessera.operators import ordering
 
 
@@ -68,12 +68,15 @@ def without(dirs: tuple = (), root_files: tuple = (), files: tuple = (), prefixe
     return rule
 
 
+# Folders of packages whose functions have a page each.
+PACKAGES = ("core", "shared", "router", "integrations", "math", "firebase", "rxjs", "electron", "nuxt")
+
+
 def composable_files(path: Column) -> Column:
-    """Two files at the root, guides, components, and the index file of each function of each package."""
-    skipped = top(path).isin(".vitepress", "node_modules", "public", "_templates")
-    root = at_root(path) & path.isin("index.md", "add-ons.md")
-    index = (F.size(parts(path)) == 3) & (F.element_at(parts(path), -1) == "index.md")
-    return ~skipped & (root | (top(path) == "guide") | (top(path) == "components") | index)
+    """Two files at the root, guides, components, and the index file of each function of each package; nothing else."""
+    deep, first = F.size(parts(path)), top(path)
+    index = first.isin(*PACKAGES) & (deep == 3) & (F.element_at(parts(path), -1) == "index.md")
+    return F.when(deep == 1, path.isin("index.md", "add-ons.md")).otherwise(first.isin("guide", "components") | index)
 
 
 def without_script(text: Column) -> Column:
@@ -110,24 +113,42 @@ def without_style_divs(text: Column) -> Column:
 
 
 def without_cuts(text: Column) -> Column:
-    """In fences, what stands above a cut mark goes; include lines go; the fence's tag for checked code goes."""
-    start = F.struct(F.lit(False).alias("fence"), F.array().cast("array<string>").alias("held"), F.array().cast("array<string>").alias("out"))
+    """In fences, lines between the marks of a cut go, the marks too, and include lines; the fence's tag for checked code goes."""
+    start = F.struct(F.lit(False).alias("fence"), F.lit(False).alias("cut"), F.array().cast("array<string>").alias("out"))
 
     def step(state: Column, line: Column) -> Column:
         mark = line.rlike(r"^\s*```")
-        bare = F.regexp_replace(line, r"\s*\btwoslash\b", "")
-        cut = state["fence"] & line.rlike(r"^\s*//\s*---cut(-before)?---\s*$")
-        skip = line.rlike(r"^\s*(//\s*)?@include:?\s")
-        held = F.when(mark, F.array().cast("array<string>")).when(cut, F.array().cast("array<string>")).when(state["fence"] & ~skip, F.concat(state["held"], F.array(line))).otherwise(state["held"])
-        out = (
-            F.when(mark & state["fence"], F.concat(state["out"], state["held"], F.array(line)))
-            .when(mark, F.concat(state["out"], F.array(bare)))
-            .when(state["fence"] | skip, state["out"])
-            .otherwise(F.concat(state["out"], F.array(line)))
-        )
-        return F.struct(F.when(mark, ~state["fence"]).otherwise(state["fence"]).alias("fence"), held.alias("held"), out.alias("out"))
+        begins, ends = line.rlike(r"^\s*//\s*---cut-start---\s*$"), line.rlike(r"^\s*//\s*---cut-end---\s*$")
+        gone = state["fence"] & ~mark & (state["cut"] | begins | ends | line.rlike(r"^\s*//\s*@include:\s*.+$"))
+        opening = F.regexp_replace(F.regexp_replace(line, r"\btwoslash\b", ""), r"\s+$", "")
+        shown = F.when(mark & ~state["fence"], opening).otherwise(line)
+        cut = state["fence"] & ~mark & ~ends & (state["cut"] | begins)
+        fence = F.when(mark, ~state["fence"]).otherwise(state["fence"])
+        return F.struct(fence.alias("fence"), cut.alias("cut"), F.when(gone, state["out"]).otherwise(F.concat(state["out"], F.array(shown))).alias("out"))
+
+    return F.aggregate(F.split(text, "\n"), start, step, lambda s: F.array_join(s["out"], "\n"))
+
+
+def without_blocks(*names: str) -> Callable[[Column], Column]:
+    """Components with what they hold, up to the next end of any of them."""
+    any_of = "|".join(names)
+    return lambda text: F.regexp_replace(text, rf"(?s)<(?:{any_of})\b[^>]*>.*?</(?:{any_of})>", "")
+
 
-    return F.aggregate(F.split(text, "\n"), start, step, lambda s: F.array_join(F.concat(s["out"], s["held"]), "\n"))
+def without_lines(*patterns: str) -> Callable[[Column], Column]:
+    """Lines that hold nothing but one of some marks, with the white space around them."""
+    any_of = "|".join(patterns)
+    return lambda text: F.regexp_replace(text, rf"(?dm)^\s*(?:{any_of})\s*$", "")
+
+
+def alone(*names: str) -> str:
+    """A pattern of a component's single tag."""
+    return rf"<(?:{'|'.join(names)})(?:\s[^>]*)?\s*/?\s*>"
+
+
+def components(*names: str) -> tuple[Callable[[Column], Column], ...]:
+    """Components with what they hold, then single tags on lines of their own."""
+    return without_blocks(*names), without_lines(alone(*names))
 
 
 def without_playgrounds(text: Column) -> Column:
@@ -135,9 +156,9 @@ def without_playgrounds(text: Column) -> Column:
 
 
 def without_directives(text: Column) -> Column:
-    """Read-more marks, accordions and example links."""
-    out = F.regexp_replace(text, r"(?m)^\s*:(read-more|link-example)\{[^}]*\}\s*$", "")
-    return F.regexp_replace(out, r"(?ms)^\s*::(read-more|video-accordion|link-example)\b.*?^\s*::\s*$", "")
+    """Lines that point to more or to an example, and videos; blocks of text stay."""
+    out = F.regexp_replace(text, r"(?dm)^::(?:read-more|link-example)\{[^}]*\}\s*$", "")
+    return F.regexp_replace(out, r"(?dm)^\s*:video-accordion\{[^}]*\}\s*$", "")
 
 
 @dataclass(frozen=True)
@@ -187,18 +208,29 @@ class Adapter:
 
 CORE = "core"
 
-# Folders and files that hold no documentation, by kind of source.
+# Components that hold no documentation, by kind of source.
+ROUTER_TAGS = ("VueSchoolLink", "RuleKitLink", "HomeSponsors", "VueMasteryLogoLink", "VueMasteryBanner", "VuejsdeConfBanner", "MadVueBanner", "AsideSponsors")
+STORE_TAGS = ("RuleKitLink", "MasteringPiniaLink", "VueSchoolLink", "VueMasteryLogoLink", "HomeSponsors")
+TESTING_TAGS = ("Version", "Deprecated", "Experimental", "CRoot", "CourseLink")
+
+
+def without_inline_tags(text: Column) -> Column:
+    """P20: closed single tags inside lines, and badges."""
+    return without_blocks("Badge")(F.regexp_replace(text, rf"<(?:{'|'.join(TESTING_TAGS)})\b[^>]*/\s*>", ""))
+
+
+# Folders and files that hold no documentation, and pairs of folders whose links count most, by kind of source.
 ADAPTERS = {
     a.name: a
     for a in (
-        Adapter("core", clean=(without_style_divs, without_playgrounds), pairs=(("guide", "api"), ("tutorial", "guide"))),
-        Adapter("router", keep=without(dirs=("zh",)), clean=(lambda t: strip_tags(t, ["RouterLink", "Promo", "VueSchoolLink"]), without_script), pairs=(("guide", "api"),)),
-        Adapter("store", keep=without(dirs=("zh",)), clean=(lambda t: strip_tags(t, ["MasteringBanner", "VueSchoolLink"]), without_script), pairs=(("core-concepts", "api"),)),
-        Adapter("composables", keep=composable_files, clean=(without_cuts, without_script), sorting="category", pairs=(("guide", "core"), ("guide", "shared"))),
-        Adapter("bundler", keep=without((".vitepress", "node_modules", "blog", "public", "_data"), ("team.md", "releases.md", "acknowledgements.md", "live.md", "blog.md", "index.md")), clean=(lambda t: strip_tags(t, ["ScrimbaLink", "audio"]), without_script), pairs=(("guide", "config"),)),
-        Adapter("testing", keep=without((".vitepress", "node_modules", "blog", "public"), ("team.md", "todo.md", "blog.md", "index.md"), ("guide/cli-generated.md",), ("guide/examples/",)), clean=(lambda t: strip_tags(t, ["Version", "Deprecated", "Experimental", "CRoot", "CourseLink", "Badge"]), without_script), pairs=(("guide", "api"), ("config", "guide"))),
-        Adapter("meta", sorting="prefix", keep=without(("5.community", "node_modules")), clean=(without_directives,), pairs=(("2.guide", "3.api"),)),
-        Adapter("devtools", sorting="appearance", keep=without((".vitepress", "node_modules", "public"), ("index.md",)), clean=(lambda t: strip_tags(t, ["Home", "UseModeList"]),), pairs=(("getting-started", "guide"),)),
+        Adapter("core", clean=(without_style_divs, without_playgrounds), pairs=(("guide", "api"),)),
+        Adapter("router", keep=without(dirs=("zh",)), clean=(*components(*ROUTER_TAGS), without_script), pairs=(("guide", "api"), ("guide", "data-loaders"), ("guide", "file-based-routing"))),
+        Adapter("store", keep=without(dirs=("zh",)), clean=(*components(*STORE_TAGS), without_script), pairs=(("core-concepts", "cookbook"), ("core-concepts", "api"))),
+        Adapter("composables", keep=composable_files, clean=(*components("CourseLink"), without_script, without_cuts), sorting="category", pairs=(("guide", "core"), ("guide", "shared"))),
+        Adapter("bundler", keep=without((".vitepress", "node_modules", "blog", "public", "_data"), ("team.md", "releases.md", "acknowledgements.md", "live.md", "blog.md", "index.md")), clean=(without_blocks("ScrimbaLink"), without_blocks("audio"), without_lines(r"<(?:ScrimbaLink|audio)\b[^>]*/>", r"<!--\s*prettier-ignore\s*-->"), without_script), pairs=(("guide", "config"),)),
+        Adapter("testing", keep=without((".vitepress", "node_modules", "blog", "public"), ("team.md", "todo.md", "blog.md", "index.md"), ("guide/cli-generated.md",), ("guide/examples/",)), clean=(*components(*TESTING_TAGS), without_inline_tags, without_lines(r"<img\s+img-(?:light|dark)\b[^>]*/?\s*>"), without_script), pairs=(("guide", "api"), ("guide", "config"), ("api", "config"))),
+        Adapter("meta", sorting="prefix", keep=without(("5.community", "node_modules")), clean=(without_directives,), pairs=(("getting-started", "api"), ("guide", "api"), ("directory-structure", "api"))),
+        Adapter("devtools", sorting="appearance", keep=without((".vitepress", "node_modules", "public"), ("index.md",)), clean=(without_lines(alone("Home", "UseModeList")),), pairs=(("getting-started", "plugins"), ("guide", "plugins"))),
     )
 }
 

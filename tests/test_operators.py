@@ -53,7 +53,13 @@ def test_cleaning(spark):
     text = '<div class="options-api">\nkeep\n<div>\nin\n</div>\n</div>\nend'
     assert one(spark, text, core.cleaned) == "keep\n<div>\nin\n</div>\nend"
     assert one(spark, "<script setup>\nx\n</script>\n```\n<script setup>\n```\n", sources.without_script) == "```\n<script setup>\n```\n"
-    assert one(spark, "```ts twoslash\na\n// ---cut---\nb\n```", sources.without_cuts) == "```ts\nb\n```"
+    assert one(spark, "```ts twoslash\na\n// ---cut-start---\nb\n// ---cut-end---\nc\n// @include: d\n```\n// ---cut-start---\ne", sources.without_cuts) == "```ts\na\nc\n```\n// ---cut-start---\ne"
+    assert one(spark, "```ts\n// ---cut-start---\na\n```\nb", sources.without_cuts) == "```ts\n```\nb"
+    assert one(spark, "::read-more{to='/x'}\nkept text\n::tip\nin\n::\nend\n:link-example{y}\n", sources.without_directives) == "\nkept text\n::tip\nin\n::\nend\n:link-example{y}\n"
+    router, testing, bundler = (sources.adapter(n).cleaned for n in ("router", "testing", "bundler"))
+    assert one(spark, "a <RouterLink to='x'>b</RouterLink>\n<MadVueBanner>\nc", router) == "a <RouterLink to='x'>b</RouterLink>\n\nc"
+    assert one(spark, "use <CRoot /> here <Badge>x</Badge>\n  <img img-dark src='y' />\nd", testing) == "use  here \n\nd"
+    assert one(spark, "a\n<!-- prettier-ignore -->\n<audio src='z' />\nb", bundler) == "a\n\nb"
 
 
 def test_sources():
