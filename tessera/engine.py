@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import analytics, bm25, graph, match, reconstruct, resources, retrieval
+from tessera.operators import analytics, bm25, graph, match, reconstruct, reranking, resources, retrieval
 
 RETRIEVED, LEAST_SCORE, MOST_QUERY_CHARS, MOST_RESULTS = 50, -0.5, 2000, 20
 
@@ -36,9 +36,9 @@ class Engine:
         found = fused(scoped, inside)
         return found if scope is None else retrieval.with_fallback(found, fused(scores, self.chunks))
 
-    def search(self, queries: DataFrame, most: int = 3, score: Callable[[DataFrame], Column] | None = None, scope: str | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, most: int = 3, score: Callable[[DataFrame], Column] | None = reranking.cover_score, scope: str | None = None) -> DataFrame:
         """V1: query, answer. queries: query, text and, for dense retrieval, qvec. ``score`` makes the reranker's column of hits with their chunks
-        and the query's ``text``; without it, the order of retrieval stays (K21). R6: a query of over 2000 characters is an error."""
+        and the query's columns; where it gives null, or is None, the order of retrieval stays (K21). R6: a query of over 2000 characters is an error."""
         if not 1 <= most <= MOST_RESULTS:
             raise ValueError(f"results must be from 1 to {MOST_RESULTS}")
         too_long = F.raise_error(F.lit(f"a query has over {MOST_QUERY_CHARS} characters"))
@@ -51,9 +51,9 @@ class Engine:
             named = hits.select("query", F.col("doc").alias("chunk_id"), "score", "rank")
             more = graph.expand(named, self.edges, self.chunks).select("query", F.col("chunk_id").alias("doc"), "score")
             hits = bm25.top(more, 10 * RETRIEVED)
-        full = hits.join(self.chunks.withColumnRenamed("chunk_id", "doc"), "doc").join(asked.select("query", "text"), "query")
+        full = hits.join(self.chunks.withColumnRenamed("chunk_id", "doc"), "doc").join(asked.select("query", "text", *[c for c in ("qvec",) if c in asked.columns]), "query")
         if score is not None:
-            full = retrieval.rerank(full.drop("rank"), score(full), LEAST_SCORE)
+            full = retrieval.rerank(full.drop("rank"), F.coalesce(score(full), F.col("score")), LEAST_SCORE)
         ordered = reconstruct.reading_order(full.withColumnRenamed("doc", "chunk_id"), most)
         nothing = F.concat(F.lit("No documentation found for: "), "text")
         return reconstruct.assemble(reconstruct.islands(ordered), asked, nothing).select("query", resources.capped(F.col("answer")).alias("answer"))

@@ -55,32 +55,62 @@ ENTITIES = """nat AS (SELECT * REPLACE (replace(n_name, 'NATION_', 'Nat') AS n_n
 
 
 def asked(spark, d):
-    words = F.slice(F.split("text", " "), 1, 8)
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.array_join(words, " ").alias("text"))
-
-
-SEARCH_SQL = f"""b AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS text FROM benchmark),
-w AS (SELECT doc_id doc, {WORDS.format(t='text')} ws FROM documents),
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
+
+
+COVER_SQL = f"""places AS (SELECT doc, unnest(ws) token, unnest(range(len(ws))) pos FROM w),
+own AS (SELECT "query", doc FROM hits WHERE rank <= 50),
+met AS (SELECT "query", doc, token, pos FROM own JOIN places USING (doc) JOIN qt USING ("query", token)),
+words AS (SELECT "query", count(*) t FROM qt GROUP BY 1),
+matched AS (SELECT "query", doc, count(DISTINCT token) m FROM met GROUP BY ALL),
+ahead AS (SELECT a."query", a.doc, a.pos s, b.token, min(b.pos) p FROM met a JOIN met b ON a."query" = b."query" AND a.doc = b.doc AND b.pos >= a.pos GROUP BY ALL),
+runs AS (SELECT "query", doc, s, max(p) AS last, count(*) c FROM ahead GROUP BY "query", doc, s),
+cover AS (SELECT "query", doc, m, min(last - s + 1) len FROM runs JOIN matched USING ("query", doc) WHERE c = m GROUP BY "query", doc, m)"""
+ANSWERS_SQL = """s AS (SELECT "query", doc, '## Page ' || doc || chr(10) || '<sup>[source](https://docs.example.org/p' || doc || ')</sup>' || chr(10) || chr(10) || '---' || chr(10) || 'source: https://docs.example.org/p' || doc || chr(10) || '---' || chr(10) || chr(10)
+      || CASE WHEN lang IS NULL THEN '' ELSE '### ' || lang || chr(10) || chr(10) END || text || chr(10) t FROM best JOIN documents ON doc = doc_id WHERE n <= 3)
+    SELECT item_id "query", coalesce(string_agg(t, chr(10) || '---' || chr(10) || chr(10) ORDER BY doc), 'No documentation found for: ' || any_value(b.text)) answer FROM benchmark b LEFT JOIN s ON "query" = item_id GROUP BY item_id"""
+SEARCH_SQL = f"""w AS (SELECT doc_id doc, {WORDS.format(t='text')} ws FROM documents),
 size AS (SELECT count(*) n, avg(len(ws)) avgdl FROM w),
 tf AS (SELECT doc, dl, token, count(*) tf FROM (SELECT doc, len(ws) dl, unnest(ws) token FROM w) GROUP BY ALL),
 df AS (SELECT token, count(*) df FROM tf GROUP BY token),
 postings AS (SELECT doc, token, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) weight FROM tf JOIN df USING (token), size),
-qt AS (SELECT DISTINCT item_id "query", unnest({WORDS.format(t='text')}) token FROM b),
+qt AS (SELECT DISTINCT item_id "query", unnest({WORDS.format(t='text')}) token FROM benchmark),
 scores AS (SELECT "query", doc, round(sum(weight), 6) score FROM postings JOIN qt USING (token) GROUP BY ALL),
-hits AS (SELECT *, row_number() OVER (PARTITION BY "query" ORDER BY score DESC, 'd' || doc) rank FROM scores)"""
+sparse AS (SELECT *, row_number() OVER (PARTITION BY "query" ORDER BY score DESC, 'd' || doc) rank FROM scores)"""
 
 
 @query(
     "search",
-    f"""WITH {SEARCH_SQL}, s AS (SELECT "query", doc, '## Page ' || doc || chr(10) || '<sup>[source](https://docs.example.org/p' || doc || ')</sup>' || chr(10) || chr(10) || '---' || chr(10) || 'source: https://docs.example.org/p' || doc || chr(10) || '---' || chr(10) || chr(10)
-      || CASE WHEN lang IS NULL THEN '' ELSE '### ' || lang || chr(10) || chr(10) END || text || chr(10) t FROM hits JOIN documents ON doc = doc_id WHERE rank <= 3)
-    SELECT item_id "query", coalesce(string_agg(t, chr(10) || '---' || chr(10) || chr(10) ORDER BY doc), 'No documentation found for: ' || any_value(b.text)) answer FROM b LEFT JOIN s ON "query" = item_id GROUP BY item_id""",
+    f"""WITH {SEARCH_SQL}, hits AS (SELECT * FROM sparse), {COVER_SQL},
+    scored AS (SELECT "query", doc, round(2 * (0.5::DOUBLE * m / t + 0.2::DOUBLE * m / len) / 0.7::DOUBLE - 1, 6) score FROM cover JOIN words USING ("query")),
+    best AS (SELECT *, row_number() OVER (PARTITION BY "query" ORDER BY score DESC, 'd' || doc) n FROM scored WHERE score >= -0.5), {ANSWERS_SQL}""",
 )
 def search(spark, d):
-    """V1: the sparse leg, in reading order, rendered."""
+    """V1: the sparse leg, reranked by covers, in reading order, rendered."""
     return engine(spark, d).search(asked(spark, d))
 
 
+@query(
+    "search_hybrid",
+    f"""WITH {SEARCH_SQL}, qv AS (SELECT item_id "query", embedding::DOUBLE[] qvec FROM benchmark JOIN embeddings ON vec_id = item_id),
+    cv AS (SELECT doc_id doc, embedding::DOUBLE[] vec FROM documents JOIN embeddings ON vec_id = doc_id),
+    near AS (SELECT "query", doc, list_dot_product(qvec, vec) / (sqrt(list_dot_product(vec, vec)) * sqrt(list_dot_product(qvec, qvec))) cosine FROM qv, cv),
+    dense AS (SELECT "query", doc, row_number() OVER (PARTITION BY "query" ORDER BY round(cosine, 6) DESC, 'd' || doc) rank FROM near),
+    legs AS (SELECT "query", doc, rank FROM sparse WHERE rank <= 50 UNION ALL SELECT "query", doc, rank FROM dense WHERE rank <= 50),
+    parts AS (SELECT "query", doc, round(sum(1.0::DOUBLE / (2 + rank - 1)), 6) score FROM legs GROUP BY ALL),
+    hits AS (SELECT *, row_number() OVER (PARTITION BY "query" ORDER BY score DESC, 'd' || doc) rank FROM parts), {COVER_SQL},
+    scored AS (SELECT own."query", own.doc, round(2 * (0.5::DOUBLE * coalesce(m, 0) / t + 0.2::DOUBLE * coalesce(m / len, 0) + 0.3::DOUBLE * coalesce(cosine, 0)) / 1.0::DOUBLE - 1, 6) score
+      FROM own JOIN words USING ("query") LEFT JOIN cover ON cover."query" = own."query" AND cover.doc = own.doc LEFT JOIN near ON near."query" = own."query" AND near.doc = own.doc),
+    best AS (SELECT *, row_number() OVER (PARTITION BY "query" ORDER BY score DESC, 'd' || doc) n FROM scored WHERE score >= -0.5), {ANSWERS_SQL}""",
+)
+def search_hybrid(spark, d):
+    """V1: both legs fused, reranked by covers and vectors, in reading order, rendered."""
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    own = chunks(spark, d).join(vectors.withColumn("chunk_id", text("d", F.col("vec_id"))).drop("vec_id"), "chunk_id", "left")
+    queries = asked(spark, d).join(vectors.select(F.col("vec_id").alias("query"), F.col("vec").alias("qvec")), "query", "left")
+    return Engine(own, entities(spark, d), synonyms(spark), mentions=mentions(spark, d)).search(queries)
+
+
 def lookups(spark, d):
     low = F.lower(short_name())
     name = F.when(F.col("n_nationkey") % 6 == 5, "zq").when(F.col("n_nationkey") % 6 == 4, F.concat(F.lit("about "), low)).otherwise(low)
