@@ -1,7 +1,8 @@
 """The default reranker (K20): how much of a query a hit covers, how close together, and how near their vectors are.
 
 The cover of a text is its shortest run of words that holds every query word the text has. A hit's score is a mean, weighed by ``WEIGHTS``, of the share
-of query words it has, of how dense they stand in the cover, and of the cosine of the vectors where there are any, from -1 to 1.
+of query words it has, of how dense they stand in the cover, and of the cosine of the vectors where there are any. It goes up from -0.5, as what has no
+word of the query may still have been found through a question or a link, and isn't dropped for it.
 """
 
 from __future__ import annotations
@@ -50,4 +51,4 @@ def cover_score(hits: DataFrame, content: str = "content", text: str = "text") -
         length = norm(F.col("vec")) * norm(F.col("qvec"))
         parts.append(F.coalesce(F.when(length > 0, dot(F.col("qvec"), F.col("vec")) / length), F.lit(0.0)) * WEIGHTS["cosine"])
         weights += WEIGHTS["cosine"]
-    return F.round(2 * sum(parts[1:], parts[0]) / F.lit(weights) - 1, 6)
+    return F.round(F.greatest(F.lit(0.0), sum(parts[1:], parts[0]) / F.lit(weights)) * 1.5 - 0.5, 6)

@@ -82,7 +82,7 @@ sparse AS (SELECT *, row_number() OVER (PARTITION BY "query" ORDER BY score DESC
 @query(
     "search",
     f"""WITH {SEARCH_SQL}, hits AS (SELECT * FROM sparse), {COVER_SQL},
-    scored AS (SELECT "query", doc, round(2 * (0.5::DOUBLE * m / t + 0.2::DOUBLE * m / len) / 0.7::DOUBLE - 1, 6) score FROM cover JOIN words USING ("query")),
+    scored AS (SELECT "query", doc, round(greatest(0, (0.5::DOUBLE * m / t + 0.2::DOUBLE * m / len) / 0.7::DOUBLE) * 1.5::DOUBLE - 0.5, 6) score FROM cover JOIN words USING ("query")),
     best AS (SELECT *, row_number() OVER (PARTITION BY "query" ORDER BY score DESC, 'd' || doc) n FROM scored WHERE score >= -0.5), {ANSWERS_SQL}""",
 )
 def search(spark, d):
@@ -99,7 +99,7 @@ def search(spark, d):
     legs AS (SELECT "query", doc, rank FROM sparse WHERE rank <= 50 UNION ALL SELECT "query", doc, rank FROM dense WHERE rank <= 50),
     parts AS (SELECT "query", doc, round(sum(1.0::DOUBLE / (2 + rank - 1)), 6) score FROM legs GROUP BY ALL),
     hits AS (SELECT *, row_number() OVER (PARTITION BY "query" ORDER BY score DESC, 'd' || doc) rank FROM parts), {COVER_SQL},
-    scored AS (SELECT own."query", own.doc, round(2 * (0.5::DOUBLE * coalesce(m, 0) / t + 0.2::DOUBLE * coalesce(m / len, 0) + 0.3::DOUBLE * coalesce(cosine, 0)) / 1.0::DOUBLE - 1, 6) score
+    scored AS (SELECT own."query", own.doc, round(greatest(0, 0.5::DOUBLE * coalesce(m, 0) / t + 0.2::DOUBLE * coalesce(m / len, 0) + 0.3::DOUBLE * coalesce(cosine, 0)) * 1.5::DOUBLE - 0.5, 6) score
       FROM own JOIN words USING ("query") LEFT JOIN cover ON cover."query" = own."query" AND cover.doc = own.doc LEFT JOIN near ON near."query" = own."query" AND near.doc = own.doc),
     best AS (SELECT *, row_number() OVER (PARTITION BY "query" ORDER BY score DESC, 'd' || doc) n FROM scored WHERE score >= -0.5), {ANSWERS_SQL}""",
 )

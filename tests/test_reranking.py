@@ -20,7 +20,7 @@ def test_least_cover_against_all_runs():
 def test_scores(spark):
     rows = [(1, "red apple pie", "apple pie", [1.0, 0.0], [1.0, 0.0]), (2, "apple of some other pie", "apple pie", [0.0, 1.0], [1.0, 0.0]), (3, "nothing", "apple pie", None, [1.0, 0.0]), (4, None, "", None, None), (5, "apple", "apple pie", [0.0, 0.0], [1.0, 0.0])]
     hits = spark.createDataFrame(rows, "k int, content string, text string, vec array<double>, qvec array<double>")
-    got = {r.k: round((r.s + 1) / 2, 4) for r in hits.withColumn("s", reranking.cover_score(hits)).collect()}
+    got = {r.k: round((r.s + 0.5) / 1.5, 4) for r in hits.withColumn("s", reranking.cover_score(hits)).collect()}
     assert got == {1: 1.0, 2: 0.6, 3: 0.0, 4: 0.0, 5: 0.45}
     bare = hits.drop("vec").filter("k = 1")
     assert bare.select(reranking.cover_score(bare).alias("s")).first().s == 1.0
