@@ -3,7 +3,8 @@
 Each block of rows keeps, for every one of ``PROJECTIONS`` random directions, its rows sorted by projection. A query
 looks at windows around its own projections, half as wide as ``HALF_WIDTH`` times a radius; a row collides where it
 lies in the window. Virtual rehashing widens the windows as the radius grows, adding only the two new strips to the
-counts. Rows whose count reaches the threshold are verified by their true distance. The radius doubles, but stops at
+counts. Rows whose count reaches the threshold are verified by their true distance. The radius grows by ``GROWTH``, so
+that it doesn't pass far beyond the k-th row, where in many dimensions most rows lie, and stops at
 the distance of the k-th best row verified so far: a row at the radius reaches the threshold with probability
 ``CATCH``, nearer ones more often. Later blocks of a task start at the radius already reached.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import pick, session_of, ship
 
-PROJECTIONS, HALF_WIDTH, CATCH = 128, 1.1, 0.95
+PROJECTIONS, HALF_WIDTH, CATCH, GROWTH = 128, 1.1, 0.9, 1.15
 BLOCK, CHUNK_BYTES, FIRST_RADIUS = 8192, 16 << 20, 0.05
 SLACK = 1e-5
 
@@ -110,7 +111,7 @@ class Search:
                         kept.pop(q, None)
                     continue
                 counts[q], done[q], before[q] = count, hit, (a, b)
-                radius[q] = min(2 * radius[q], max(self.radius(q), FIRST_RADIUS))
+                radius[q] = min(GROWTH * radius[q], max(self.radius(q), FIRST_RADIUS))
                 still.append(q)
             open_ = np.array(still, int)
 

@@ -40,3 +40,25 @@ def test_ties_at_the_last_rank(spark):
     rows = [(0, query.tolist())] + [(i, (query + 0.1 * near).tolist()) for i in range(40, 10, -1)] + [(i, (query + far).tolist()) for i in range(41, 300) if i % 100]
     got = A.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
     assert [(r.rank, r.vec_id) for r in got] == [(i + 1, 11 + i) for i in range(10)]
+
+
+def share_and_recall(x, ids, k=10):
+    """Verified of all pairs of queries and rows, and recall."""
+    q = np.flatnonzero(ids % 100 == 0)
+    search = A.Search(ids[q], x[q], k)
+    for i in range(0, len(ids), A.BLOCK):
+        search.add(A.Index(ids[i : i + A.BLOCK], x[i : i + A.BLOCK], search.directions))
+    hits = [len({i for i, _ in exact(ids, x, n, k)} & set(search.best[j][1].tolist())) / k for j, n in enumerate(q)]
+    return search.verified / (len(q) * len(ids)), np.mean(hits)
+
+
+def test_counting_leaves_rows_out(spark, sf):
+    rng = np.random.default_rng(0)
+    clustered = np.repeat(rng.normal(size=(200, 64)), 20, 0) + 0.1 * rng.normal(size=(4000, 64))
+    share, recall = share_and_recall(clustered, np.arange(4000))
+    print("clustered", share, recall)
+    assert share < 0.1 and recall >= 0.9
+    rows = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/embeddings.parquet").filter("embedding is not null").collect()
+    share, recall = share_and_recall(np.array([r.embedding for r in rows], np.float64), np.array([r.vec_id for r in rows]))
+    print("even", share, recall)
+    assert share < 0.5 and recall >= 0.9
