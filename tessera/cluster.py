@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -34,6 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
     return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what is no longer referred to, now and not when the driver's memory fills."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Workspace:
     """Tables under the shared folder that cut lineage; ``close`` deletes them all, so results are read before it."""
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.cluster import release
 from tessera.operators.bm25 import top
 
 PER_BLOCK, FIRST, BROADCAST_ROWS, SALT_ROWS = 4, 16, 200_000, 200_000
@@ -33,11 +34,16 @@ class Index:
 
     @classmethod
     def build(cls, postings: DataFrame, keep, per_block: int = PER_BLOCK) -> Index:
-        """postings: doc, token, weight. Kept as a table, sorted by token."""
-        docs = postings.groupBy("doc").agg(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(8 * F.log2(1 + F.max("weight"))))).cast("int").alias("level"))
+        """postings: doc, token, weight. Kept as a table, sorted by token; before that as a table of documents with their postings, so that the
+        postings are made once and dealt to blocks in the row of their document."""
+        postings = keep(postings)
+        release(postings.sparkSession)
+        level = F.greatest(F.lit(0), F.least(F.lit(255), F.floor(8 * F.log2(1 + F.max("weight"))))).cast("int")
+        docs = keep(postings.groupBy("doc").agg(level.alias("level"), F.collect_list(F.struct("token", "weight")).alias("own")))
+        release(postings.sparkSession)
         sizes = docs.groupBy("level").agg(F.ceil(F.count("*") / per_block).alias("blocks"))  # 256 rows at most
-        dealt = keep(docs.join(F.broadcast(sizes), "level").select("doc", "level", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block")))
-        own = postings.join(dealt, "doc").groupBy("token", *BLOCK)
+        dealt = docs.join(F.broadcast(sizes), "level").select("doc", "level", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"), F.inline("own"))
+        own = dealt.groupBy("token", *BLOCK)
         rows = own.agg(F.max("weight").alias("bound"), F.count("*").alias("n"), F.collect_list(F.struct("doc", "weight")).alias("postings"))
         return cls(keep(rows.sortWithinPartitions("token")))
 

@@ -6,9 +6,13 @@ are in most documents have long postings; the join is on the token, and AQE spli
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.cluster import release
+
 K1, B = 1.5, 0.75
 WORD = r"[\p{L}\p{N}_]{2,}"
 # English stop words of the public tokenizer defaults.
@@ -39,12 +43,15 @@ class Model:
         if not self.is_fitted:
             raise RuntimeError("the model is not fitted")
 
-    def fit(self, corpus: DataFrame, key: str, text: str) -> Model:
-        """tf, df, N and the mean length; one shuffle by (doc, token), one by token."""
+    def fit(self, corpus: DataFrame, key: str, text: str, keep: Callable[[DataFrame], DataFrame] | None = None) -> Model:
+        """tf, df, N and the mean length; one shuffle by (doc, token), one by token. ``keep`` makes a table of the counts, so that texts are split once."""
         words = corpus.select(F.col(key).alias("doc"), tokens(F.col(text), self.stop_words).alias("words"))
         size = words.select("doc", F.size("words").alias("dl"))
         totals = size.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         tf = words.select("doc", F.size("words").alias("dl"), F.explode("words").alias("token")).groupBy("doc", "dl", "token").agg(F.count("*").alias("tf"))
+        if keep is not None:
+            tf = keep(tf)
+            release(corpus.sparkSession)
         self._vocabulary = tf.groupBy("token").agg(F.count("*").alias("df"))
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = idf * F.col("tf") / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from tessera.cluster import Workspace
-from tessera.operators import blockmax, quantised
-from tessera.plans.search import BM25_SQL, model, vectors
+from tessera.operators import blockmax, bm25, quantised
+from tessera.plans.search import BM25_SQL, vectors
 from tessera.plans.tables import table
 from tessera.registry import query
 
@@ -42,11 +42,16 @@ def dense_quantised(spark, d):
     return index.search(own, 10)
 
 
+def kept_model(spark, d):
+    keep = Workspace(spark).keep
+    return bm25.Model().fit(table(spark, d, "documents"), "doc_id", "text", keep), keep
+
+
 @query("bm25_blocks", f'WITH {BM25_SQL} SELECT "query", doc, score, rank::INT rank FROM sparse WHERE rank <= 10')
 def bm25_blocks(spark, d):
-    fitted = model(spark, d)
+    fitted, keep = kept_model(spark, d)
     asked = fitted.asked(table(spark, d, "benchmark"), "item_id", "text")
-    return blockmax.Index.build(fitted.postings, Workspace(spark).keep).search(asked, 10)
+    return blockmax.Index.build(fitted.postings, keep).search(asked, 10)
 
 
 @query(
@@ -57,5 +62,6 @@ def bm25_blocks(spark, d):
 )
 def bm25_bounds(spark, d):
     """Postings and greatest weights by token and level, from the blocks of the index."""
-    rows = blockmax.Index.build(model(spark, d).postings, Workspace(spark).keep).rows
+    fitted, keep = kept_model(spark, d)
+    rows = blockmax.Index.build(fitted.postings, keep).rows
     return rows.groupBy("token", "level").agg(F.sum("n").alias("n"), F.round(F.max("bound"), 6).alias("bound"))
