@@ -215,8 +215,8 @@ TESTING_TAGS = ("Version", "Deprecated", "Experimental", "CRoot", "CourseLink")
 
 
 def without_inline_tags(text: Column) -> Column:
-    """P20: closed single tags inside lines, and badges."""
-    return without_blocks("Badge")(F.regexp_replace(text, rf"<(?:{'|'.join(TESTING_TAGS)})\b[^>]*/\s*>", ""))
+    """P20: closed single tags inside lines, and badges of either kind."""
+    return without_blocks("Badge")(F.regexp_replace(text, rf"<(?:{'|'.join((*TESTING_TAGS, 'Badge'))})\b[^>]*/\s*>", ""))
 
 
 # Folders and files that hold no documentation, and pairs of folders whose links count most, by kind of source.
