@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.cluster import release
 
-K1, B = 1.5, 0.75
+K1, B, BROADCAST_TOKENS = 1.5, 0.75, 200_000
 WORD = r"[\p{L}\p{N}_]{2,}"
 # English stop words of the public tokenizer defaults.
 STOP_WORDS = (
@@ -33,7 +33,7 @@ class Model:
     """Term weights of a corpus."""
 
     def __init__(self, k1: float = K1, b: float = B, stop_words: list[str] | None = None):
-        self.k1, self.b, self.stop_words, self._postings, self._vocabulary = k1, b, stop_words, None, None
+        self.k1, self.b, self.stop_words, self._postings, self._vocabulary, self._source = k1, b, stop_words, None, None, None
 
     @property
     def is_fitted(self) -> bool:
@@ -48,16 +48,33 @@ class Model:
         words = corpus.select(F.col(key).alias("doc"), tokens(F.col(text), self.stop_words).alias("words"))
         size = words.select("doc", F.size("words").alias("dl"))
         totals = size.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        tf = words.select("doc", F.size("words").alias("dl"), F.explode("words").alias("token")).groupBy("doc", "dl", "token").agg(F.count("*").alias("tf"))
+        tf = self._counts(words.select("doc", F.size("words").alias("dl"), F.explode("words").alias("token")))
         if keep is not None:
             tf = keep(tf)
             release(corpus.sparkSession)
         self._vocabulary = tf.groupBy("token").agg(F.count("*").alias("df"))
+        self._postings, self._source = self._weighed(tf, self._vocabulary, totals), (words, totals)
+        return self
+
+    @staticmethod
+    def _counts(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("doc", "dl", "token").agg(F.count("*").alias("tf"))
+
+    def _weighed(self, tf: DataFrame, vocabulary: DataFrame, totals: DataFrame) -> DataFrame:
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = idf * F.col("tf") / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
-        joined = tf.join(self._vocabulary, "token").join(F.broadcast(totals.withColumn("one", F.lit(1))), F.lit(1) == F.col("one"))  # a single row
-        self._postings = joined.select("doc", "token", weight.alias("weight"))
-        return self
+        joined = tf.join(vocabulary, "token").join(F.broadcast(totals.withColumn("one", F.lit(1))), F.lit(1) == F.col("one"))  # a single row
+        return joined.select("doc", "token", weight.alias("weight"))
+
+    def _postings_of(self, asked: DataFrame) -> DataFrame:
+        """Postings of asked tokens. Where these are few, other tokens of the texts are left out before any shuffle."""
+        wanted = asked.select("token").distinct()
+        if self._source is None or wanted.limit(BROADCAST_TOKENS + 1).count() > BROADCAST_TOKENS:
+            return self.postings
+        words, totals = self._source
+        rows = words.select("doc", F.size("words").alias("dl"), F.explode("words").alias("token")).join(F.broadcast(wanted), "token", "left_semi")
+        tf = self._counts(rows)
+        return self._weighed(tf, tf.groupBy("token").agg(F.count("*").alias("df")), totals)
 
     @property
     def vocabulary(self) -> DataFrame:
@@ -81,8 +98,9 @@ class Model:
 
     def scores(self, queries: DataFrame, key: str, text: str) -> DataFrame:
         """Dot products of query and document weights, rounded to six digits."""
+        self._need()
         own = self.asked(queries, key, text)
-        return self.postings.join(own, "token").groupBy("query", "doc").agg(F.round(F.sum("weight"), 6).alias("score"))
+        return self._postings_of(own).join(own, "token").groupBy("query", "doc").agg(F.round(F.sum("weight"), 6).alias("score"))
 
     def kept(self, spark, path: str) -> Model:
         """The same model read from its tables, so that the corpus is tokenised once, however often it is asked."""
