@@ -1,28 +1,29 @@
 """Extracts in place of written summaries and prefixes (N1, N3): the sentences nearest to their text's centroid.
 
-A token weighs as many bits as ``documents // documents that hold it`` has, so weights, and the products made of them, are
-whole numbers that don't depend on the order of sums. The centroid of a text holds, for each token, its occurrences in the text times its weight; a
-sentence scores the square of its product with the centroid over its own squared length. The best sentences are joined in the order of the text.
+A token's slot is its hash modulo ``SLOTS``. A slot weighs as many bits as ``documents // documents with the slot`` has, so weights, and the
+products made of them, are whole numbers that don't depend on the order of sums. The centroid of a text holds, for each slot, its occurrences in the text
+times its weight; a sentence scores the square of its product with the centroid over its own squared length. The best sentences are
+joined in the order of the text.
 
-Tokens are counted for each text before anything is shuffled by token. Tokens in more than one of ``HOT`` texts are few (at most
-``HOT`` times the mean of distinct tokens in a text) and their weights are broadcast where fewer than ``BROADCAST_TOKENS``; every other token
-has less than one of ``HOT`` of the rows, so no task of the join gets more. A text's sentences meet in one task, as the text itself does.
+Two passes over the texts and no shuffle of them: the first counts documents by slot, which tasks sum up before they are shuffled; the weights, one byte for
+each slot (1 MB, whatever the corpus), go to all tasks; the second scores each text where it stands. In a corpus with many more words than slots,
+rare words share slots and weigh a few bits less.
 
 Defined results: a null text has a null extract, a text without sentences an empty one. Sentences end at ``.``, ``!``, ``?`` and line ends; of equal
-ones the first counts. Those without tokens score 0. Ties go to the earlier sentence. A null key is a key like others; repeated rows get an extract each, and rows of one
-key with different texts share their scores by position.
+ones the first counts. Those without tokens score 0. Ties go to the earlier sentence. Keys aren't looked at; repeated rows get an extract each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.cluster import send_package
 from tessera.operators.bm25 import tokens
 
-HOT, BROADCAST_TOKENS = 128, 200_000
+SLOTS = 1 << 20
 
 
 def sentences(text: Column) -> Column:
@@ -31,54 +32,55 @@ def sentences(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda s: s != ""))
 
 
-def token_counts(texts: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
-    """key, token, total, own: occurrences of a token in a text, and (sentence, n) of each sentence that holds it."""
-    rows = texts.select("key", F.posexplode(sentences(F.col("text"))).alias("sentence", "content"))
-    words = rows.select("key", "sentence", F.explode(tokens(F.col("content"), stop_words)).alias("token"))
-    counts = words.groupBy("key", "token", "sentence").agg(F.count("*").alias("n"))
-    return counts.groupBy("key", "token").agg(F.sum("n").alias("total"), F.collect_list(F.struct("sentence", "n")).alias("own"))
-
-
-def weighed(counts: DataFrame, documents: int) -> DataFrame:
-    """``counts`` with weight: the bits of documents // those with the token."""
-    weight = F.length(F.bin(F.floor(F.lit(documents) / F.col("df"))))
-    weights = counts.groupBy("token").agg(F.count("*").alias("df")).withColumn("weight", weight)
-    hot = weights.filter(F.col("df") * HOT > documents).select("token", F.col("weight").alias("hot"))
-    rare = weights.filter(F.col("df") * HOT <= documents).select("token", "weight")
-    told = F.broadcast(hot) if len(hot.take(BROADCAST_TOKENS + 1)) <= BROADCAST_TOKENS else hot
-    both = counts.join(told, "token", "left")
-    known = both.filter(F.col("hot").isNotNull()).withColumnRenamed("hot", "weight")
-    return known.unionByName(both.filter(F.col("hot").isNull()).drop("hot").join(rare, "token"))
-
-
-def picks(weights: DataFrame, count: int) -> DataFrame:
-    """key, picked: places of the best sentences, in text order."""
-    each = weights.select("key", "total", "weight", F.inline("own"))
-    n, total, w = F.col("n"), F.col("total"), F.col("weight").cast("long")
-    sums = each.groupBy("key", "sentence").agg(F.sum(n * total * w * w).cast("double").alias("product"), F.sum(n * n * w * w).cast("double").alias("size"))
-    order = Window.partitionBy("key").orderBy((F.col("product") * F.col("product") / F.col("size")).desc(), "sentence")
-    best = sums.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count)
-    return best.groupBy("key").agg(F.array_sort(F.collect_list("sentence")).alias("picked"))
-
-
-def extracts(rows: DataFrame, key: str, text: str, count: int = 2, into: str = "extract", stop_words: list[str] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
-    """``rows`` with the ``count`` best sentences of each text. ``keep`` makes a table of the counts, so that texts are split into tokens once."""
-    texts = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    found = picks(weighed(keep(token_counts(texts, stop_words)), texts.count()), count)
+def slots_of(text: Column, slots: int, stop_words: list[str] | None = None) -> Column:
+    """The slots of a text's tokens."""
+    return F.transform(tokens(text, stop_words), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(slots)).cast("int"))
+
+
+def slot_weights(texts: DataFrame, text: str, slots: int, stop_words: list[str] | None = None) -> np.ndarray:
+    """Bits of documents // those with a slot; 0 where there are none."""
+    found = texts.select(F.explode(F.array_distinct(F.flatten(F.transform(sentences(F.col(text)), lambda s: slots_of(s, slots, stop_words))))).alias("slot"))
+    counted = found.groupBy("slot").agg(F.count("*").alias("df")).toPandas()  # at most ``slots`` rows
+    out = np.zeros(slots, np.uint8)
+    share = texts.count() // counted["df"].to_numpy(np.int64)
+    out[counted["slot"].to_numpy(np.int64)] = [int(x).bit_length() for x in share]
+    return out
+
+
+def best(own: list[np.ndarray], weights: np.ndarray, count: int) -> list[int]:
+    """Places of the ``count`` best sentences, given the slots of each, in order."""
+    scores = np.zeros(len(own))
+    lengths = [len(s) for s in own]
+    if sum(lengths):
+        pairs, n = np.unique(np.repeat(np.arange(len(own)), lengths) * len(weights) + np.concatenate(own).astype(np.int64), return_counts=True)
+        sentence, slot = np.divmod(pairs, len(weights))
+        _, place = np.unique(slot, return_inverse=True)
+        total = np.zeros(place.max() + 1, np.int64)
+        np.add.at(total, place, n)
+        square = weights[slot].astype(np.int64) ** 2
+        begins = np.flatnonzero(np.diff(sentence, prepend=-1))
+        product, size = np.add.reduceat(n * total[place] * square, begins).astype(float), np.add.reduceat(n * n * square, begins).astype(float)
+        scores[sentence[begins]] = np.divide(product * product, size, out=np.zeros_like(product), where=size > 0)
+    return sorted(np.argsort(-scores, kind="stable")[:count].tolist())
+
+
+def extracts(rows: DataFrame, text: str, count: int = 2, into: str = "extract", stop_words: list[str] | None = None, slots: int = SLOTS) -> DataFrame:
+    """``rows`` with the ``count`` best sentences of each text, joined by spaces."""
+    send_package(rows.sparkSession)
+    told = rows.sparkSession.sparkContext.broadcast(slot_weights(rows, text, slots, stop_words))
+
+    @F.pandas_udf("array<int>")
+    def picked(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if own is None else best(list(own), told.value, count) for own in texts])
+
     own = sentences(F.col(text))
-    # A text whose sentences hold no tokens, and what is missing from a text of few, is taken from its start.
-    chosen = F.coalesce(F.col("__picked.picked"), F.array().cast("array<int>"))
-    places = F.sequence(F.lit(0), F.size(own) - 1)
-    rest = F.slice(F.filter(places, lambda i: ~F.array_contains(chosen, i)), 1, F.greatest(F.lit(count) - F.size(chosen), F.lit(0)))
-    valid = F.filter(F.array_sort(F.concat(chosen, rest)), lambda i: i < F.size(own))
-    made = F.when(F.col(text).isNull(), None).when(F.size(own) == 0, "").otherwise(F.array_join(F.transform(valid, lambda i: F.get(own, i)), " "))
-    joined = rows.join(found.select(F.struct("key", "picked").alias("__picked")), F.col(key).eqNullSafe(F.col("__picked.key")), "left")
-    return joined.withColumn(into, made).drop("__picked")
+    places = picked(F.transform(own, lambda s: slots_of(s, slots, stop_words)))
+    return rows.withColumn(into, F.array_join(F.transform(places, lambda i: F.get(own, i)), " "))
 
 
-def prefixes(chunks: DataFrame, key: str = "chunk_id", text: str = "content", column: str = "contextual_prefix", **how) -> DataFrame:
+def prefixes(chunks: DataFrame, text: str = "content", column: str = "contextual_prefix", **how) -> DataFrame:
     """A prefix from the best sentence for chunks that have none and whose type, if told, is one of those enriched."""
     from tessera.operators.summaries import prefixed
 
-    made = extracts(chunks, key, text, 1, "__extract", **how)
+    made = extracts(chunks, text, 1, "__extract", **how)
     return prefixed(made, lambda _: F.col("__extract"), column).drop("__extract")

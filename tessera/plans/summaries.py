@@ -37,12 +37,13 @@ def page_summaries(spark, d):
     return rows.select("doc_id", summaries.first_sentences(F.col("text")).alias("summary"))
 
 
-# Sentences of each text with their first places, weights in whole bits, scores by the centroid; the best two in text order.
+# Sentences of each text with their first places, weights of slots in whole bits, scores by the centroid; the best two in text order.
 EXTRACTS_SQL = rf"""WITH cut AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]?'), lambda s: trim(s)), lambda s: s <> '') ss FROM documents),
     every AS (SELECT doc_id, unnest(ss) s, unnest(range(len(ss))) i FROM cut), own AS (SELECT doc_id, s, min(i) i FROM every GROUP BY ALL),
-    w AS (SELECT doc_id, i, unnest({WORDS.format(t='s')}) token FROM own), c AS (SELECT doc_id, i, token, count(*) n FROM w GROUP BY ALL), t AS (SELECT doc_id, token, sum(n)::BIGINT total FROM c GROUP BY ALL),
-    df AS (SELECT token, length(bin((SELECT count(*) FROM documents) // count(*))) b FROM t GROUP BY 1),
-    z AS (SELECT doc_id, i, sum(n * total * b * b)::BIGINT::DOUBLE product, sum(n * n * b * b)::BIGINT::DOUBLE size FROM c JOIN t USING (doc_id, token) JOIN df USING (token) GROUP BY ALL),
+    w AS (SELECT doc_id, i, unnest({WORDS.format(t='s')}) token FROM own), k AS (SELECT token, ('0x' || substr(md5(token), 1, 8))::BIGINT % 1048576 slot FROM (SELECT DISTINCT token FROM w)),
+    c AS (SELECT doc_id, i, slot, count(*) n FROM w JOIN k USING (token) GROUP BY ALL), t AS (SELECT doc_id, slot, sum(n)::BIGINT total FROM c GROUP BY ALL),
+    df AS (SELECT slot, length(bin((SELECT count(*) FROM documents) // count(*))) b FROM t GROUP BY 1),
+    z AS (SELECT doc_id, i, sum(n * total * b * b)::BIGINT::DOUBLE product, sum(n * n * b * b)::BIGINT::DOUBLE size FROM c JOIN t USING (doc_id, slot) JOIN df USING (slot) GROUP BY ALL),
     ranked AS (SELECT doc_id, i, s, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(product * product / size, 0) DESC, i) r FROM own LEFT JOIN z USING (doc_id, i))
     SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(s, ' ' ORDER BY i), '') END "extract" FROM documents d LEFT JOIN ranked ON ranked.doc_id = d.doc_id AND r <= 2 GROUP BY d.doc_id, d.text"""
 
@@ -51,7 +52,7 @@ EXTRACTS_SQL = rf"""WITH cut AS (SELECT doc_id, list_filter(list_transform(regex
 def page_extracts(spark, d):
     """N3."""
     rows = table(spark, d, "documents").select("doc_id", "text")
-    return extracts.extracts(rows, "doc_id", "text", keep=Workspace(spark).keep).select("doc_id", "extract")
+    return extracts.extracts(rows, "text").select("doc_id", "extract")
 
 
 @query("latent_embeddings")
@@ -65,7 +66,7 @@ def latent_embeddings(spark, d):
 def latent_questions(spark, d):
     """The best sentences of every text as its questions, with vectors by the directions of the texts."""
     rows, keep = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text"), Workspace(spark).keep
-    made = extracts.extracts(rows, "chunk_id", "text", keep=keep, into="q").select("chunk_id", summaries.questions(F.split("q", r"(?<=[.!?]) ")).alias("hype_questions"))
+    made = extracts.extracts(rows, "text", into="q").select("chunk_id", summaries.questions(F.split("q", r"(?<=[.!?]) ")).alias("hype_questions"))
     asked = keep(summaries.question_rows(made))
     return latent.learn(rows, "text", keep=keep).embed(asked, "chunk_id", "content")
 

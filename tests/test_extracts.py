@@ -1,5 +1,6 @@
 """Extracts by centroids against a plain computation, and odd rows."""
 
+import hashlib
 import re
 
 from tessera.operators import extracts
@@ -11,11 +12,14 @@ def split(text):
     return list(dict.fromkeys(s for s in found if s))
 
 
-def words(s):
+def tokens(s):
     return [w for w in re.findall(r"\w{2,}", s.lower()) if w not in STOP_WORDS]
 
 
-def plain(docs, count):
+def plain(docs, count, slots=1 << 20):
+    def words(s):
+        return [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % slots for w in tokens(s)]
+
     held = [{w for s in split(t or "") for w in words(s)} for t in docs]
     df = {w: sum(w in h for h in held) for h in held for w in h}
     out = []
@@ -39,18 +43,9 @@ def plain(docs, count):
 def test_against_plain_computation(spark, sf):
     docs = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60).collect()]
     rows = spark.createDataFrame(list(enumerate(docs)), "k int, text string")
-    for count in (1, 2, 3):
-        got = {r.k: r.extract for r in extracts.extracts(rows, "k", "text", count).collect()}
-        assert got == dict(enumerate(plain(docs, count)))
-
-
-def test_hot_tokens_in_any_plan(spark, monkeypatch):
-    docs = [f"common words here. word{i} stands alone! common common word{i % 3}." for i in range(40)]
-    rows = spark.createDataFrame(list(enumerate(docs)), "k int, text string")
-    for hot, most in ((128, 200_000), (4, 0), (1, 200_000)):
-        monkeypatch.setattr(extracts, "HOT", hot)
-        monkeypatch.setattr(extracts, "BROADCAST_TOKENS", most)
-        assert {r.k: r.extract for r in extracts.extracts(rows, "k", "text", 1).collect()} == dict(enumerate(plain(docs, 1)))
+    for count, slots in ((1, 1 << 20), (2, 1 << 20), (3, 64)):
+        got = {r.k: r.extract for r in extracts.extracts(rows, "text", count, slots=slots).collect()}
+        assert got == dict(enumerate(plain(docs, count, slots)))
 
 
 def test_odd_rows(spark):
@@ -58,12 +53,12 @@ def test_odd_rows(spark):
         [(1, None, 0), (2, "", 0), (3, " . \n", 0), (4, "?? !! ..", 0), (5, "Same line.\nSame line.\nOther words.", 0), (None, "No key at all. None.", 0), (6, "one two. three four.", 0), (6, "one two. three four.", 0), (7, "x" * 300_000 + ". end", 0)],
         "k int, text string, TEXT_2 int",
     ).withColumnRenamed("TEXT_2", "key")
-    found = extracts.extracts(rows, "k", "text", 2)
+    found = extracts.extracts(rows, "text", 2)
     assert found.columns == ["k", "text", "key", "extract"]
     got = {r.k: r.extract for r in found.collect()}
     assert got[1] is None and got[2] == "" and got[3] == "." and got[4] == " ".join(split("?? !! ..")) == "! ."
     assert got[5] == "Same line. Other words." and got[None] == "No key at all. None." and got[6] == "one two. three four." and len(got[7]) == 300_005
-    assert found.count() == 9 and extracts.extracts(rows.limit(0), "k", "text").count() == 0
+    assert found.count() == 9 and extracts.extracts(rows.limit(0), "text").count() == 0
 
 
 def test_prefixes(spark):
