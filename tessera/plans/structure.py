@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera.functions import subwords
 from tessera.functions import text as T
 from tessera.operators import entities, markdown, match, ordering
 from tessera.plans.tables import table
@@ -149,6 +150,12 @@ def token_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", T.token_count(F.col("text")).alias("tokens"))
 
 
+@query("subword_counts")
+def subword_counts(spark, d):
+    """P32 by a byte-pair vocabulary; no SQL: held against the vocabulary's own library in the tests."""
+    return table(spark, d, "documents").select("doc_id", subwords.counter(spark)(F.col("text")).alias("tokens"))
+
+
 @query("source_paths", "SELECT p_partkey, ['guide/p' || p_partkey, 'api/x', 'other/' || p_size] paths FROM part")
 def source_paths(spark, d):
     """P33."""
