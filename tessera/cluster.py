@@ -9,6 +9,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _sent: set[str] = set()
 
@@ -41,6 +42,20 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def few(rows: DataFrame, most: int) -> DataFrame:
+    """The rows, to be broadcast if they are counted to be at most ``most``, else to be joined by shuffle: sizes that Spark projects from files
+    don't tell how many rows come of them."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows.hint("merge")
+
+
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows of a small file dealt to tasks by a key, for work that takes long for each row; a table that comes in many tasks stays as it is."""
+    spark = rows.sparkSession
+    if rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return rows
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+
+
 class Workspace:
     """Tables under the shared folder that cut lineage; ``close`` deletes them all, so results are read before it."""
 

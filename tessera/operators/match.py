@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.cluster import Workspace, send_package
+from tessera.cluster import Workspace, few, send_package
 
 SHORT, FUZZY_CHARS, FUZZY_RATIO, FUZZY_TOP = 3, 6, 85, 3
 # Names that are common English words and count in code context only.
 AMBIGUOUS = ("$options", "component", "components", "data", "h", "inject", "is", "key", "methods", "name", "props", "provide", "render", "slot", "template", "watch")
+BROADCAST_NAMES, BROADCAST_SETS = 100_000, 10_000
 SHARD_BYTES = 512 << 10  # of phrases in an automaton, which takes about two hundred times that
 PRIORITY = {"exact": 0, "bigram": 1, "synonym": 2, "fuzzy": 3}
 
@@ -122,12 +123,14 @@ def _found(shared, at: int):
 
 def contained(queries: DataFrame, phrases: DataFrame, phrase: str, most_bytes: int = SHARD_BYTES) -> DataFrame:
     """Pairs of queries and phrases that stand in them, in any case. Phrases make automata of bounded size, each of which passes over the
-    queries once; with more than one, each one's pairs are written before the next is made. What a phrase stands for is joined to the pairs."""
+    queries once; with more than one, each one's pairs are written before the next is made. What a phrase stands for is joined to the pairs,
+    which are never the side that is broadcast."""
     spark = queries.sparkSession
     send_package(spark)
     own = queries.withColumn("__q", normalise(F.col("text")))
     low = F.lower(F.col(phrase))
     known = phrases.filter(F.length(phrase) > 0).withColumn("__low", low)
+    side = few(known, BROADCAST_NAMES)
     out, before, work = None, None, None
     schema = T.StructType([*own.schema.fields, T.StructField("__low", T.StringType())])
     for shard in shards(known.select("__low").distinct(), most_bytes):
@@ -138,7 +141,7 @@ def contained(queries: DataFrame, phrases: DataFrame, phrase: str, most_bytes: i
         before = own.mapInArrow(_found(spark.sparkContext.broadcast(shard), own.columns.index("__q")), schema)
     if before is None:
         return own.limit(0).withColumn("__low", F.lit("")).join(known, "__low")
-    return (before if out is None else out.unionByName(before)).join(known, "__low")
+    return (before if out is None else out.unionByName(before)).join(side, "__low")
 
 
 def exact(queries: DataFrame, names: DataFrame) -> DataFrame:
@@ -150,15 +153,28 @@ def exact(queries: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def bigram(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """M5: two tokens in a row make a name."""
+    """M5: two tokens in a row make a name. Pairs that are no name go before any shuffle where names are few."""
     words = queries.select("query", query_tokens(F.col("text")).alias("w")).filter(F.size("w") > 1)
     pairs = words.select("query", F.explode(F.zip_with(F.expr("slice(w, 1, size(w) - 1)"), F.expr("slice(w, 2, size(w) - 1)"), lambda a, b: F.concat(a, b))).alias("low"))
-    return pairs.distinct().join(names.select("name", F.lower("name").alias("low")), "low").select("query", "name")
+    known = few(names.select("name", F.lower("name").alias("low")).filter("low is not null"), BROADCAST_NAMES)
+    return pairs.join(known.select("low").distinct(), "low", "left_semi").distinct().join(known, "low").select("query", "name")
+
+
+def alias_sets(queries: DataFrame, synonyms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """query, lows: the phrases that stand in each query, kept as a table; lows, names: the different names of each different set of phrases,
+    which are few where queries are many."""
+    known = synonyms.filter(F.length("alias") > 0).select(F.lower("alias").alias("low"), "names")
+    pairs = contained(queries, known.select(F.col("low").alias("alias")).distinct(), "alias")
+    sets = Workspace(queries.sparkSession).keep(pairs.groupBy("query").agg(F.array_sort(F.collect_set("__low")).alias("lows")))
+    each = sets.select("lows").distinct().select("lows", F.explode("lows").alias("low")).join(few(known, BROADCAST_NAMES), "low")
+    told = each.groupBy("lows").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+    return sets, few(told, BROADCAST_SETS)
 
 
 def synonym(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """M6: phrases that stand in the query, with all names they stand for."""
-    return contained(queries, synonyms, "alias").select("query", F.explode("names").alias("name")).distinct()
+    """M6: phrases that stand in the query, with all names they stand for; only queries and phrases are shuffled, no names."""
+    sets, told = alias_sets(queries, synonyms)
+    return sets.join(told, "lows").select("query", F.explode("names").alias("name"))
 
 
 def common_length(a: Column, b: Column) -> Column:
@@ -186,8 +202,8 @@ def pairs_of(text: str) -> Column:
     return F.posexplode(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substr(F.col(text), i, F.lit(2)))).alias("__at", "__two")
 
 
-def fuzzy(queries: DataFrame, names: DataFrame, taken: DataFrame) -> DataFrame:
-    """M7: long tokens that nearly are a name.
+def near(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """query, token, name, ratio: long tokens that nearly are a name.
 
     Strings of a and b characters that are alike enough differ by at most 15 % of a + b characters, so they share two characters in a row at
     nearly the same place: those pairs are joined. Length and edit distance rule most of them out before they are compared.
@@ -197,23 +213,36 @@ def fuzzy(queries: DataFrame, names: DataFrame, taken: DataFrame) -> DataFrame:
     most = F.floor((F.length("token") + F.length("low")) * (100 - FUZZY_RATIO) / 100).cast("int")
     left = words.select("token").distinct().select("token", pairs_of("token"))
     right = known.select("name", "low", pairs_of("low")).withColumnRenamed("__at", "__there")
-    near = left.join(right, "__two").filter((F.abs(F.length("token") - F.length("low")) <= most) & (F.abs(F.col("__at") - F.col("__there")) <= most) & (F.col("token") != F.col("low")))
-    near = near.select("token", "name", "low").distinct().filter(F.levenshtein("token", "low") <= most)
-    near = near.withColumn("ratio", ratio(F.col("token"), F.col("low"))).filter(F.col("ratio") >= FUZZY_RATIO)
+    met = left.join(right, "__two").filter((F.abs(F.length("token") - F.length("low")) <= most) & (F.abs(F.col("__at") - F.col("__there")) <= most) & (F.col("token") != F.col("low")))
+    met = met.select("token", "name", "low").distinct().filter(F.levenshtein("token", "low") <= most)
+    met = met.withColumn("ratio", ratio(F.col("token"), F.col("low"))).filter(F.col("ratio") >= FUZZY_RATIO)
+    return words.join(few(met, BROADCAST_NAMES), "token").select("query", "token", "name", "ratio")
+
+
+def best(rows: DataFrame) -> DataFrame:
+    """The nearest names of each token."""
     order = Window.partitionBy("query", "token").orderBy(F.desc("ratio"), "name")
-    best = words.join(near, "token").join(taken, ["query", "name"], "left_anti").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= FUZZY_TOP)
-    return best.select("query", "name").distinct()
+    return rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= FUZZY_TOP).select("query", "name").distinct()
+
+
+def fuzzy(queries: DataFrame, names: DataFrame, taken: DataFrame) -> DataFrame:
+    """M7: the nearest names of long tokens, without those taken."""
+    return best(near(queries, names).join(taken, ["query", "name"], "left_anti"))
 
 
 def match(queries: DataFrame, names: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """M8: (query, name, source); the first method to claim a name has it. queries: query, text; synonyms: alias, names."""
-    found = {"exact": exact(queries, names), "bigram": bigram(queries, names), "synonym": synonym(queries, synonyms)}
-    union = None
-    for source, rows in found.items():
-        own = rows.select("query", "name", F.lit(PRIORITY[source]).alias("prio"))
-        union = own if union is None else union.unionByName(own)
-    near = fuzzy(queries, names, union.select("query", "name").distinct()).select("query", "name", F.lit(PRIORITY["fuzzy"]).alias("prio"))
-    first = union.unionByName(near).groupBy("query", "name").agg(F.min("prio").alias("prio"))
+    """M8: (query, name, source); the first method to claim a name has it. queries: query, text; synonyms: alias, names. What a query has found is
+    one row until the end, so that names of synonyms are neither sorted nor shuffled one by one."""
+    own = lambda rows, source: rows.select("query", F.lit(None).cast("array<string>").alias("lows"), F.struct("name", F.lit(PRIORITY[source]).alias("prio")).alias("f"))
+    said = own(exact(queries, names), "exact").unionByName(own(bigram(queries, names), "bigram"))
+    sets, told = alias_sets(queries, synonyms)
+    both = said.unionByName(sets.select("query", "lows", F.lit(None).cast(said.schema["f"].dataType).alias("f")))
+    held = both.groupBy("query").agg(F.flatten(F.collect_set("lows")).alias("lows"), F.array_sort(F.collect_set("f")).alias("f")).join(told, "lows", "left")
+    # structs of one name stand in the order of their methods
+    held = held.select("query", F.filter("f", lambda x, i: (i == 0) | (F.get(F.col("f"), i - 1)["name"] != x["name"])).alias("f"), F.coalesce("names", F.array().cast("array<string>")).alias("names"))
+    held = held.select("query", F.concat("f", F.transform(F.array_except("names", F.transform("f", lambda x: x["name"])), lambda x: F.struct(x.alias("name"), F.lit(PRIORITY["synonym"]).alias("prio")))).alias("f"))
+    free = near(queries, names).join(held.hint("merge"), "query", "left").filter(~F.coalesce(F.exists("f", lambda x: x["name"] == F.col("name")), F.lit(False)))
+    first = held.select("query", F.inline("f")).unionByName(best(free).select("query", "name", F.lit(PRIORITY["fuzzy"]).alias("prio")))
     return first.select("query", "name", F.element_at(F.array(*map(F.lit, PRIORITY)), F.col("prio") + 1).alias("source"))
 
 

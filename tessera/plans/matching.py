@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera.cluster import dealt
 from tessera.operators import entities, match
 from tessera.plans.tables import table
 from tessera.registry import query
@@ -15,7 +16,8 @@ def names(spark, d):
 
 
 def queries(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("query"), F.concat(F.lit("how to use "), "p_name", F.lit(" with "), "p_brand").alias("text"))
+    part = dealt(table(spark, d, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey")
+    return part.select(F.col("p_partkey").alias("query"), F.concat(F.lit("how to use "), "p_name", F.lit(" with "), "p_brand").alias("text"))
 
 
 @query("match_exact", f"""WITH {NAMES}, {QUERIES} SELECT "query", name FROM queries, names WHERE contains(lower(text), lower(name))""")
@@ -130,7 +132,7 @@ GUARDED = """'size ' || p_size || ' of ' || p_size || '0, key ' || CASE WHEN p_s
 )
 def match_guarded(spark, d):
     """M4: short names only between non-word characters, common words only as code."""
-    part = table(spark, d, "part")
+    part = dealt(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
     size = F.col("p_size").cast("string")
     data = F.when(F.col("p_size") % 2 == 0, "`data`").otherwise("data")
     asked = part.select(F.col("p_partkey").alias("query"), F.concat(F.lit("size "), size, F.lit(" of "), size, F.lit("0, key "), data, F.lit(" v-is <h"), (F.col("p_size") % 3).cast("string"), F.lit(">")).alias("text"))
