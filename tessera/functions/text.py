@@ -100,15 +100,22 @@ def cost(embed_tokens: Column, rerank_tokens: Column, per_million: float = 0.02)
 
 
 def token_count(text: Column) -> Column:
-    """Words and punctuation marks; stands in for a model's own tokens."""
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"), F.lit(0)))
+    """Words and punctuation marks; stands in for a model's own tokens. Each word becomes one character, white space none, and the rest is counted."""
+    words = F.regexp_replace(F.coalesce(text, F.lit("")), r"[A-Za-z0-9_\p{L}\p{N}]{2,}", "a")
+    return F.length(F.translate(words, " \t\n\x0b\f\r", ""))
 
 
 def paths_in(text: Column, host: str) -> Column:
     """Paths of addresses of a host, and of any host on ``source:`` lines; lower case, each once."""
     direct = F.regexp_extract_all(text, F.lit(rf"https?://(?:[A-Za-z0-9-]+\.)*{host}/([A-Za-z0-9/_.-]+)"), F.lit(1))
-    named = F.regexp_extract_all(text, F.lit(r"(?im)^source:\s*https?://[^/\s]+/([A-Za-z0-9/_.-]+)"), F.lit(1))
-    return F.array_distinct(F.transform(F.concat(direct, named), lambda x: F.rtrim(F.lower(F.regexp_replace(x, r"\.(html|md)$", "")), F.lit("/"))))
+    lines = F.regexp_extract_all(text, F.lit(r"(?im)^source:\s*https?://[^/\s]+/([A-Za-z0-9/_.-]+)"), F.lit(1))
+    named = F.when(F.contains(F.lower(text), F.lit("source:")), lines).when(text.isNotNull(), F.array().cast("array<string>"))
+
+    def bare(x: Column) -> Column:
+        ends = F.when(x.endswith(".md"), F.left(x, F.length(x) - 3)).when(x.endswith(".html"), F.left(x, F.length(x) - 5))
+        return F.rtrim(F.lower(ends.otherwise(x)), F.lit("/"))
+
+    return F.array_distinct(F.transform(F.concat(direct, named), bare))
 
 
 def size_warning(content: Column, most: int = 8000, least: int = 50) -> Column:
