@@ -1,7 +1,8 @@
 """Markdown structure: headings, sections, chunks, images.
 
 Lines are walked by one higher-order aggregate for each file, so a file's structure costs no shuffle; sections are then
-rows. Fences are honoured; underlined headings and indented code are not.
+rows. Fences are honoured; underlined headings and indented code are not. Arrays are exploded with their empty ones, which go
+afterwards: else Spark infers a filter on the array, makes it twice, and makes it in the few tasks of a small file before its rows are dealt.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def chunks(files: DataFrame, path: str = "path", text: str = "text") -> DataFram
     second = F.filter("heads", lambda h: h["level"] == 2)
     whole = F.array(F.struct(F.lit(2).alias("level"), F.col("title").alias("title"), slug(F.col("title")).alias("slug"), F.lit(0).alias("line")))
     rows = rows.withColumn("twos", F.when(F.size(second) > 0, second).otherwise(whole)).withColumn("none", F.size(second) == 0)
-    rows = rows.select("*", F.posexplode("twos").alias("at", "head"))
+    rows = rows.select("*", F.posexplode_outer("twos").alias("at", "head"))
     end = F.coalesce(F.try_element_at("twos", F.col("at") + 2)["line"], F.col("n"))
     rows = rows.withColumn("end", end).withColumn("content", stripped(lines_between(F.col("lines"), F.col("head.line"), F.col("end"))))
     threes = F.filter("heads", lambda h: (h["level"] == 3) & (h["line"] > F.col("head.line")) & (h["line"] < F.col("end")))
@@ -76,7 +77,7 @@ def chunks(files: DataFrame, path: str = "path", text: str = "text") -> DataFram
         *base, F.lit("").alias("subsection_title"), F.lit("section").alias("chunk_type"), F.col("parent").alias("chunk_id"), F.lit("").alias("parent_chunk_id"),
         siblings.alias("sibling_chunk_ids"), kids.alias("child_chunk_ids"), F.when(F.size("threes") > 0, F.col("intro")).otherwise(F.col("content")).alias("content"), F.lit(-1).alias("sub"),
     )
-    parts = rows.withColumn("kids", kids).select("*", F.posexplode("threes").alias("sub", "three"))
+    parts = rows.withColumn("kids", kids).select("*", F.posexplode_outer("threes").alias("sub", "three")).filter("sub is not null")
     stop = F.coalesce(F.try_element_at("threes", F.col("sub") + 2)["line"], F.col("end"))
     own_id = F.concat(stem(F.col("file_path")), F.lit("#"), F.col("three.slug"))
     body = stripped(lines_between(F.col("lines"), F.col("three.line"), stop))
@@ -112,9 +113,9 @@ def image_chunks(files: DataFrame, path: str = "path", text: str = "text") -> Da
     """A chunk for each image of a section of level 2: its mark, with up to two lines before and after as prose, hashed by its source."""
     rows = files.select(F.col(path).alias("file_path"), F.split(text, "\n").alias("lines"), headings(F.col(text)).alias("heads"), images(F.col(text)).alias("images"))
     rows = rows.withColumn("title", page_title(F.col("file_path"), F.col("heads"))).withColumn("twos", F.filter("heads", lambda h: h["level"] == 2))
-    rows = rows.select("*", F.posexplode("twos").alias("at", "head")).withColumn("end", F.coalesce(F.try_element_at("twos", F.col("at") + 2)["line"], F.size("lines")))
+    rows = rows.select("*", F.posexplode_outer("twos").alias("at", "head")).filter("at is not null").withColumn("end", F.coalesce(F.try_element_at("twos", F.col("at") + 2)["line"], F.size("lines")))
     inside = F.filter("images", lambda i: (i["line"] >= F.col("head.line")) & (i["line"] < F.col("end")))
-    rows = rows.withColumn("section", F.concat(stem(F.col("file_path")), F.lit("#"), F.col("head.slug"))).select("*", F.posexplode(inside).alias("n", "image"))
+    rows = rows.withColumn("section", F.concat(stem(F.col("file_path")), F.lit("#"), F.col("head.slug"))).select("*", F.posexplode_outer(inside).alias("n", "image")).filter("n is not null")
     context = lines_between(F.col("lines"), F.greatest(F.col("head.line"), F.col("image.line") - 2), F.least("end", F.col("image.line") + 3))
     return rows.select(
         "file_path", F.concat("section", F.lit("-img-"), F.col("n").cast("string")).alias("chunk_id"), F.lit("image").alias("chunk_type"), F.col("section").alias("parent_chunk_id"),
@@ -154,6 +155,6 @@ def api_style(text: Column) -> Column:
 def section_styles(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """P10: the style of each section of level 2."""
     rows = files.select(F.col(path).alias("file_path"), style_lines(F.col(text)).alias("styles"), F.filter(headings(F.col(text)), lambda h: h["level"] == 2).alias("twos"))
-    rows = rows.select("*", F.posexplode("twos").alias("at", "head")).withColumn("end", F.coalesce(F.try_element_at("twos", F.col("at") + 2)["line"], F.size("styles")))
+    rows = rows.select("*", F.posexplode_outer("twos").alias("at", "head")).filter("at is not null").withColumn("end", F.coalesce(F.try_element_at("twos", F.col("at") + 2)["line"], F.size("styles")))
     own = F.slice("styles", F.col("head.line") + 1, F.col("end") - F.col("head.line"))
     return rows.select("file_path", F.concat(stem(F.col("file_path")), F.lit("#"), F.col("head.slug")).alias("chunk_id"), style_of(own).alias("api_style"))

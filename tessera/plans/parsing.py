@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera.cluster import dealt
 from tessera.functions import text as T
 from tessera.operators import markdown
 from tessera.plans.tables import table
@@ -17,7 +18,7 @@ def files(spark, d):
         F.concat(F.lit("## Second {#second-"), F.col("p_size").cast("string"), F.lit("}")), F.lit("text two"), F.lit(""),
     ]
     path = F.concat(F.lit("guide/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey").cast("string"), F.lit(".md"))
-    return table(spark, d, "part").select("p_partkey", path.alias("path"), F.concat_ws("\n", *lines).alias("text"))
+    return dealt(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey").select("p_partkey", path.alias("path"), F.concat_ws("\n", *lines).alias("text"))
 
 
 @query(
@@ -25,7 +26,7 @@ def files(spark, d):
     """SELECT p_partkey, unnest([1, 2, 2])::INT AS level, unnest([p_name, 'First ' || p_brand, 'Second']) title, unnest([replace(p_name, ' ', '-'), 'first-' || lower(replace(p_brand, '#', '')), 'second-' || p_size]) slug, unnest([0, 5, 7])::INT line FROM part""",
 )
 def markdown_headings(spark, d):
-    return files(spark, d).select("p_partkey", F.explode(markdown.headings(F.col("text"))).alias("h")).select("p_partkey", "h.level", "h.title", "h.slug", "h.line")
+    return files(spark, d).select("p_partkey", F.explode_outer(markdown.headings(F.col("text"))).alias("h")).filter("h is not null").select("p_partkey", "h.level", "h.title", "h.slug", "h.line")
 
 
 @query(

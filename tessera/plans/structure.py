@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera.cluster import dealt
 from tessera.functions import subwords
 from tessera.functions import text as T
 from tessera.operators import entities, markdown, match, ordering
@@ -15,7 +16,7 @@ def text_of(column):
 
 
 def key_text(spark, d):
-    return table(spark, d, "part").select("p_partkey", text_of(F.col("p_partkey")).alias("k"), "p_name", "p_brand", "p_type", "p_size")
+    return dealt(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey").select("p_partkey", text_of(F.col("p_partkey")).alias("k"), "p_name", "p_brand", "p_type", "p_size")
 
 
 def lines(*parts):
