@@ -44,11 +44,12 @@ class Model:
             raise RuntimeError("the model is not fitted")
 
     def fit(self, corpus: DataFrame, key: str, text: str, keep: Callable[[DataFrame], DataFrame] | None = None) -> Model:
-        """tf, df, N and the mean length; one shuffle by (doc, token), one by token. ``keep`` makes a table of the counts, so that texts are split once."""
+        """tf, df, N and the mean length; one shuffle by (doc, token), one by token. ``keep`` makes a table of the counts, so that texts are split once.
+        Texts without words go after they are exploded: Spark's own filter on the words would split every text a second time."""
         words = corpus.select(F.col(key).alias("doc"), tokens(F.col(text), self.stop_words).alias("words"))
         size = words.select("doc", F.size("words").alias("dl"))
         totals = size.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        tf = self._counts(words.select("doc", F.size("words").alias("dl"), F.explode("words").alias("token")))
+        tf = self._counts(words.select("doc", F.size("words").alias("dl"), F.explode_outer("words").alias("token")).filter("token is not null"))
         if keep is not None:
             tf = keep(tf)
             release(corpus.sparkSession)
@@ -72,7 +73,7 @@ class Model:
         if self._source is None or wanted.limit(BROADCAST_TOKENS + 1).count() > BROADCAST_TOKENS:
             return self.postings
         words, totals = self._source
-        rows = words.select("doc", F.size("words").alias("dl"), F.explode("words").alias("token")).join(F.broadcast(wanted), "token", "left_semi")
+        rows = words.select("doc", F.size("words").alias("dl"), F.explode_outer("words").alias("token")).join(F.broadcast(wanted), "token", "left_semi")
         tf = self._counts(rows)
         return self._weighed(tf, tf.groupBy("token").agg(F.count("*").alias("df")), totals)
 

@@ -38,8 +38,8 @@ def slots_of(text: Column, slots: int, stop_words: list[str] | None = None) -> C
 
 
 def slot_weights(texts: DataFrame, text: str, slots: int, stop_words: list[str] | None = None) -> np.ndarray:
-    """Bits of documents // those with a slot; 0 where there are none."""
-    found = texts.select(F.explode(F.array_distinct(F.flatten(F.transform(sentences(F.col(text)), lambda s: slots_of(s, slots, stop_words))))).alias("slot"))
+    """Bits of documents // those with a slot; 0 where there are none. Empty arrays go after they are exploded, as a filter that Spark infers makes them twice."""
+    found = texts.select(F.explode_outer(F.array_distinct(F.flatten(F.transform(sentences(F.col(text)), lambda s: slots_of(s, slots, stop_words))))).alias("slot")).filter("slot is not null")
     counted = found.groupBy("slot").agg(F.count("*").alias("df")).toPandas()  # at most ``slots`` rows
     out = np.zeros(slots, np.uint8)
     share = texts.count() // counted["df"].to_numpy(np.int64)
@@ -73,9 +73,9 @@ def extracts(rows: DataFrame, text: str, count: int = 2, into: str = "extract",
     def picked(texts: pd.Series) -> pd.Series:
         return pd.Series([None if own is None else best(list(own), told.value, count) for own in texts])
 
-    own = sentences(F.col(text))
-    places = picked(F.transform(own, lambda s: slots_of(s, slots, stop_words)))
-    return rows.withColumn(into, F.array_join(F.transform(places, lambda i: F.get(own, i)), " "))
+    # sentences are a column before they are picked from, as inside a lambda they would be made anew for each one picked
+    own = rows.withColumn("__own", sentences(F.col(text))).withColumn("__places", picked(F.transform("__own", lambda s: slots_of(s, slots, stop_words))))
+    return own.withColumn(into, F.array_join(F.transform("__places", lambda i: F.get(F.col("__own"), i)), " ")).drop("__own", "__places")
 
 
 def prefixes(chunks: DataFrame, text: str = "content", column: str = "contextual_prefix", **how) -> DataFrame:
