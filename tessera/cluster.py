@@ -56,6 +56,10 @@ def dealt(rows: DataFrame, *by: str) -> DataFrame:
     return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
 
 
+def dealt_to(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 class Workspace:
     """Tables under the shared folder that cut lineage; ``close`` deletes them all, so results are read before it."""
 
@@ -67,6 +71,13 @@ class Workspace:
         rows.write.option("compression", "zstd").parquet(f"{self.path}/{self.n}")
         return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{self.n}")
 
+    def bucketed(self, rows: DataFrame, tasks: int, by: list[str], sort: str) -> DataFrame:
+        """A table dealt by columns, sorted by one: grouping by more columns than these needs no shuffle. ``rows`` come dealt by them to so many tasks."""
+        self.n += 1
+        name = f"table_{uuid.uuid4().hex}"
+        rows.write.format("parquet").option("compression", "zstd").bucketBy(tasks, *by).sortBy(sort).option("path", f"{self.path}/{self.n}").saveAsTable(name)
+        return self.spark.table(name)
+
     def close(self) -> None:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.cluster import release
+from tessera.cluster import release, send_package
 
 K1, B, BROADCAST_TOKENS = 1.5, 0.75, 200_000
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -29,6 +31,45 @@ def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
     return F.filter(found, lambda x: ~x.isin(*words)) if words else found
 
 
+def counted(corpus: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
+    """doc, dl, own (token, tf): the different tokens of each text, counted in its row: words are sorted, and a run of equal ones ends where the next begins.
+    Each step's column is used twice in the next one, so that Spark doesn't make it anew for every element."""
+    words = corpus.select(F.col(key).alias("doc"), tokens(F.col(text), stop_words).alias("words"))
+    rows = words.select("doc", F.size("words").alias("dl"), F.sort_array(F.coalesce("words", F.array().cast("array<string>"))).alias("words"))
+    begins = F.transform("words", lambda w, i: F.when(~w.eqNullSafe(F.get("words", i - 1)), i))
+    rows = rows.withColumn("begins", F.filter(begins, lambda i: i.isNotNull()))
+    tf = lambda b, i: F.coalesce(F.get("begins", i + 1), F.size("words")) - b
+    return rows.select("doc", "dl", F.transform("begins", lambda b, i: F.struct(F.get("words", b).alias("token"), tf(b, i).alias("tf"))).alias("own"))
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """doc, own (token, tf, dl): one row for each doc; of texts of one doc and length, counts are added up. Only docs with several rows are shuffled with their tokens."""
+    alone = rows.select("doc", F.transform("own", lambda x: F.struct(x["token"].alias("token"), x["tf"].alias("tf"), F.col("dl").alias("dl"))).alias("own"))
+    several = rows.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc").alias("__doc"))
+    if several.isEmpty():
+        return alone
+    same = F.col("doc").eqNullSafe(F.col("__doc"))
+    each = rows.join(several, same, "left_semi").select("doc", "dl", F.inline_outer("own")).groupBy("doc", "dl", "token").agg(F.sum("tf").cast("int").alias("tf"))
+    together = each.filter("token is not null").groupBy("doc").agg(F.collect_list(F.struct("token", "tf", "dl")).alias("own"))
+    return alone.join(several, same, "left_anti").unionByName(together)
+
+
+def known(frequent: DataFrame) -> Callable[[Column], Column]:
+    """Tokens of a row with their numbers of documents, null where they aren't frequent: at most ``BROADCAST_TOKENS`` are sent to the tasks."""
+    spark = frequent.sparkSession
+    send_package(spark)
+    own = frequent.select("token", "df").toPandas()
+    told = spark.sparkContext.broadcast((pa.array(own["token"], pa.string()), pa.array(own["df"], pa.int64())))
+
+    @F.arrow_udf("array<bigint>")
+    def run(found: pa.Array) -> pa.Array:
+        names, df = told.value
+        places = pc.index_in(found.flatten(), value_set=names)
+        return pa.ListArray.from_arrays(pc.subtract(found.offsets, found.offsets[0]), df.take(places))
+
+    return run
+
+
 class Model:
     """Term weights of a corpus."""
 
@@ -61,9 +102,40 @@ class Model:
     def _counts(rows: DataFrame) -> DataFrame:
         return rows.groupBy("doc", "dl", "token").agg(F.count("*").alias("tf"))
 
+    def _weight(self, tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column:
+        return F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + self.k1 * (1 - self.b + self.b * dl / avgdl))
+
+    def documents(self, corpus: DataFrame, key: str, text: str, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, Column]:
+        """doc, tokens, tf, dl, df, most, a row for each document with words, and the column (token, weight) of its postings; most is the greatest weight. Tokens are
+        counted and weighed in their document's row: numbers of documents with a token are sent to the tasks for the most frequent tokens, and only
+        postings of the others are shuffled. Rows are shuffled as one string of tokens and arrays of whole numbers. ``keep`` makes tables."""
+        rows = keep(counted(corpus, key, text, self.stop_words))
+        totals = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+        rows = merged(rows).filter(F.size("own") > 0)
+        vocabulary = keep(rows.select(F.explode("own.token").alias("token")).groupBy("token").agg(F.count("*").alias("df")))
+        power = F.floor(F.log2("df")).cast("int")
+        least, left = 0, BROADCAST_TOKENS
+        for r in vocabulary.groupBy(power.alias("power")).count().orderBy(F.desc("power")).collect():  # 63 rows at most
+            left -= r["count"]
+            if left < 0:
+                least = r["power"] + 1
+                break
+        rows = rows.withColumn("df", known(vocabulary.filter(power >= least))(F.col("own.token")))
+        rows = rows.select("doc", F.concat_ws(" ", "own.token").alias("tokens"), F.col("own.tf").alias("tf"), F.col("own.dl").alias("dl"), "df")
+        # Zipped and not looked up by place: Spark would make an array of a struct's field anew for every place.
+        each = F.arrays_zip(F.split("tokens", " "), "tf", "dl", "df").cast("array<struct<token:string,tf:int,dl:int,df:bigint>>")
+        if least:
+            lone = rows.select("doc", F.inline(F.filter(each, lambda x: x["df"].isNull()))).drop("df").join(vocabulary.filter(power < least).hint("merge"), "token")
+            lone = lone.groupBy("doc").agg(F.collect_list(F.struct("token", "tf", "dl", "df")).alias("rare")).withColumnRenamed("doc", "__doc")
+            rows = rows.join(lone, F.col("doc").eqNullSafe(F.col("__doc")), "left")
+            rows = rows.withColumn("own", F.concat(F.filter(each, lambda x: x["df"].isNotNull()), F.coalesce("rare", F.filter(each, lambda x: F.lit(False)))))
+            rows = rows.select("doc", F.concat_ws(" ", "own.token").alias("tokens"), *[F.col(f"own.{c}").alias(c) for c in ("tf", "dl", "df")])
+        weight = lambda x: self._weight(*[x[c] for c in ("tf", "dl", "df")], F.lit(totals["n"]), F.lit(totals["avgdl"]))
+        rows = keep(rows.withColumn("most", F.array_max(F.transform(each, weight))))
+        return rows, F.transform(each, lambda x: F.struct(x["token"], weight(x).alias("weight")))
+
     def _weighed(self, tf: DataFrame, vocabulary: DataFrame, totals: DataFrame) -> DataFrame:
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = idf * F.col("tf") / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
+        weight = self._weight(*map(F.col, ("tf", "dl", "df", "n", "avgdl")))
         joined = tf.join(vocabulary, "token").join(F.broadcast(totals.withColumn("one", F.lit(1))), F.lit(1) == F.col("one"))  # a single row
         return joined.select("doc", "token", weight.alias("weight"))
 

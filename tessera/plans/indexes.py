@@ -42,16 +42,15 @@ def dense_quantised(spark, d):
     return index.search(own, 10)
 
 
-def kept_model(spark, d):
-    keep = Workspace(spark).keep
-    return bm25.Model().fit(table(spark, d, "documents"), "doc_id", "text", keep), keep
+def blocks(spark, d):
+    work = Workspace(spark)
+    docs, own = bm25.Model().documents(table(spark, d, "documents"), "doc_id", "text", work.keep)
+    return blockmax.Index.of(docs, own, lambda rows, tasks: work.bucketed(rows, tasks, blockmax.BLOCK, "token"))
 
 
 @query("bm25_blocks", f'WITH {BM25_SQL} SELECT "query", doc, score, rank::INT rank FROM sparse WHERE rank <= 10')
 def bm25_blocks(spark, d):
-    fitted, keep = kept_model(spark, d)
-    asked = fitted.asked(table(spark, d, "benchmark"), "item_id", "text")
-    return blockmax.Index.build(fitted.postings, keep).search(asked, 10)
+    return blocks(spark, d).search(bm25.Model().asked(table(spark, d, "benchmark"), "item_id", "text"), 10)
 
 
 @query(
@@ -62,6 +61,4 @@ def bm25_blocks(spark, d):
 )
 def bm25_bounds(spark, d):
     """Postings and greatest weights by token and level, from the blocks of the index."""
-    fitted, keep = kept_model(spark, d)
-    rows = blockmax.Index.build(fitted.postings, keep).rows
-    return rows.groupBy("token", "level").agg(F.sum("n").alias("n"), F.round(F.max("bound"), 6).alias("bound"))
+    return blocks(spark, d).rows.groupBy("token", "level").agg(F.sum("n").alias("n"), F.round(F.max("bound"), 6).alias("bound"))
