@@ -25,7 +25,8 @@ from tessera.cluster import send_package
 from tessera.operators.bm25 import tokens
 
 SLOTS, DIM, EXTRA, PASSES = 16384, 32, 8, 3
-TOKENS = 1 << 15  # tokens multiplied at once: 10 MB for each product
+TOKENS = 1 << 15  # tokens multiplied at once
+ROWS = 64  # rows of a dense matrix, which has no more columns than these have tokens or ``slots``: 16 MB for TOKENS
 
 
 def slotted(rows: DataFrame, key: str, text: str, slots: int, stop_words: list[str] | None) -> DataFrame:
@@ -35,32 +36,33 @@ def slotted(rows: DataFrame, key: str, text: str, slots: int, stop_words: list[s
 
 
 class Part:
-    """Some rows of the matrix, as (row, slot, value) in the order of rows."""
+    """Some rows of the matrix, ``ROWS`` at a time as (first row, slots that these rows have, dense matrix of both)."""
 
     def __init__(self, lists: list[np.ndarray], weights: np.ndarray):
         size = len(weights)
         self.height = len(lists)
         places = np.repeat(np.arange(len(lists)) * size, [len(x) for x in lists]) + np.concatenate(lists)
         places, counts = np.unique(places, return_counts=True)
-        self.row, self.slot = np.divmod(places, size)
-        self.value = (1 + np.log(counts)) * weights[self.slot]
-        norms = np.sqrt(np.bincount(self.row, self.value * self.value, len(lists)))[self.row]
-        self.value = np.divide(self.value, norms, out=np.zeros_like(self.value), where=norms > 0)
+        row, slot = np.divmod(places, size)
+        value = (1 + np.log(counts)) * weights[slot]
+        norms = np.sqrt(np.bincount(row, value * value, len(lists)))[row]
+        value = np.divide(value, norms, out=np.zeros_like(value), where=norms > 0)
+        self.blocks = []
+        firsts = np.arange(0, self.height, ROWS)
+        for first, a, b in zip(firsts, np.searchsorted(row, firsts), np.searchsorted(row, firsts + ROWS)):
+            slots, at = np.unique(slot[a:b], return_inverse=True)
+            matrix = np.zeros((min(ROWS, self.height - first), len(slots)))
+            matrix[row[a:b] - first, at] = value[a:b]
+            self.blocks.append((first, slots, matrix))
 
     def times(self, q: np.ndarray) -> np.ndarray:
         """A q of these rows."""
-        out = np.zeros((self.height, q.shape[1]))
-        if len(self.row):
-            begins = np.flatnonzero(np.diff(self.row, prepend=-1))
-            out[self.row[begins]] = np.add.reduceat(self.value[:, None] * q[self.slot], begins)
-        return out
+        return np.concatenate([matrix @ q[slots] for _, slots, matrix in self.blocks])
 
     def add_back(self, y: np.ndarray, total: np.ndarray) -> None:
         """A' y of these rows, added to ``total``."""
-        if len(self.row):
-            order = np.argsort(self.slot, kind="stable")
-            begins = np.flatnonzero(np.diff(self.slot[order], prepend=-1))
-            total[self.slot[order[begins]]] += np.add.reduceat(self.value[order, None] * y[self.row[order]], begins)
+        for first, slots, matrix in self.blocks:
+            total[slots] += matrix.T @ y[first : first + len(matrix)]
 
 
 def parts(frames: Iterator[pd.DataFrame], weights: np.ndarray) -> Iterator[tuple[pd.DataFrame, Part]]:
@@ -82,8 +84,12 @@ class Directions:
 
     def embed(self, rows: DataFrame, key: str, text: str) -> DataFrame:
         """Key, embedding. No shuffle."""
-        send_package(rows.sparkSession)
-        told = rows.sparkSession.sparkContext.broadcast((self.weights, self.basis))
+        return self.project(slotted(rows, key, text, len(self.weights), self.stop_words), key)
+
+    def project(self, found: DataFrame, key: str) -> DataFrame:
+        """key, embedding of rows as ``slotted`` tells them."""
+        send_package(found.sparkSession)
+        told = found.sparkSession.sparkContext.broadcast((self.weights, self.basis))
 
         def project(frames):
             weights, basis = told.value
@@ -93,7 +99,6 @@ class Directions:
                 vectors = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 1e-12)
                 yield pd.DataFrame({"key": frame["key"], "embedding": list(vectors)})
 
-        found = slotted(rows, key, text, len(self.weights), self.stop_words)
         out = found.mapInPandas(project, found.select("key", F.array(F.lit(0.0)).alias("embedding")).schema)
         return out.withColumnRenamed("key", key)
 
@@ -129,8 +134,18 @@ def product(found: DataFrame, weights: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def learn(rows: DataFrame, text: str, slots: int = SLOTS, dim: int = DIM, passes: int = PASSES, seed: int = 7, stop_words: list[str] | None = None, keep=lambda x: x) -> Directions:
     """Directions of all rows' texts. ``keep`` makes a table of the slots, so that texts are split into tokens once."""
-    send_package(rows.sparkSession)
-    found = keep(slotted(rows, text, text, slots, stop_words).select("slots"))
+    return learned(keep(slotted(rows, text, text, slots, stop_words).select("slots")), slots, dim, passes, seed, stop_words)
+
+
+def embedded(rows: DataFrame, key: str, text: str, keep, slots: int = SLOTS, dim: int = DIM, passes: int = PASSES, seed: int = 7, stop_words: list[str] | None = None) -> DataFrame:
+    """Key, embedding of the rows by directions learned from them; texts are split into tokens once for both."""
+    found = keep(slotted(rows, key, text, slots, stop_words))
+    return learned(found, slots, dim, passes, seed, stop_words).project(found, key)
+
+
+def learned(found: DataFrame, slots: int, dim: int, passes: int, seed: int, stop_words: list[str] | None) -> Directions:
+    """Directions of rows as ``slotted`` tells them."""
+    send_package(found.sparkSession)
     weights = slot_weights(found, slots)
     start = np.random.default_rng(seed).standard_normal((slots, min(dim + EXTRA, slots))) * (weights > 0)[:, None]
     q = np.linalg.qr(start)[0]

@@ -58,8 +58,7 @@ def page_extracts(spark, d):
 @query("latent_embeddings")
 def latent_embeddings(spark, d):
     """N6; no SQL: held against an exact SVD in the tests."""
-    rows = table(spark, d, "documents")
-    return latent.learn(rows, "text", keep=Workspace(spark).keep).embed(rows, "doc_id", "text")
+    return latent.embedded(table(spark, d, "documents"), "doc_id", "text", Workspace(spark).keep)
 
 
 @query("latent_questions")
