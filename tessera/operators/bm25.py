@@ -120,14 +120,15 @@ class Model:
             if left < 0:
                 least = r["power"] + 1
                 break
-        rows = rows.withColumn("df", known(vocabulary.filter(power >= least))(F.col("own.token")))
-        rows = rows.select("doc", F.concat_ws(" ", "own.token").alias("tokens"), F.col("own.tf").alias("tf"), F.col("own.dl").alias("dl"), "df")
+        frequent = known(vocabulary.filter(power >= least))
+        plain = rows.select("doc", F.concat_ws(" ", "own.token").alias("tokens"), F.col("own.tf").alias("tf"), F.col("own.dl").alias("dl"))
+        rows = plain.withColumn("df", frequent(F.split("tokens", " ")))
         # Zipped and not looked up by place: Spark would make an array of a struct's field anew for every place.
         each = F.arrays_zip(F.split("tokens", " "), "tf", "dl", "df").cast("array<struct<token:string,tf:int,dl:int,df:bigint>>")
         if least:
             lone = rows.select("doc", F.inline(F.filter(each, lambda x: x["df"].isNull()))).drop("df").join(vocabulary.filter(power < least).hint("merge"), "token")
             lone = lone.groupBy("doc").agg(F.collect_list(F.struct("token", "tf", "dl", "df")).alias("rare")).withColumnRenamed("doc", "__doc")
-            rows = rows.join(lone, F.col("doc").eqNullSafe(F.col("__doc")), "left")
+            rows = plain.join(lone, F.col("doc").eqNullSafe(F.col("__doc")), "left").withColumn("df", frequent(F.split("tokens", " ")))
             rows = rows.withColumn("own", F.concat(F.filter(each, lambda x: x["df"].isNotNull()), F.coalesce("rare", F.filter(each, lambda x: F.lit(False)))))
             rows = rows.select("doc", F.concat_ws(" ", "own.token").alias("tokens"), *[F.col(f"own.{c}").alias(c) for c in ("tf", "dl", "df")])
         weight = lambda x: self._weight(*[x[c] for c in ("tf", "dl", "df")], F.lit(totals["n"]), F.lit(totals["avgdl"]))
