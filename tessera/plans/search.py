@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import bm25, reconstruct, retrieval
+from tessera.cluster import Workspace
+from tessera.operators import bm25, firsts, reconstruct, retrieval
 from tessera.plans.tables import table
 from tessera.registry import query
 
@@ -85,10 +86,11 @@ def hybrid_search(spark, d):
     SELECT "query", doc, score, rank::INT rank FROM near UNION ALL SELECT "query", doc, score, rank::INT FROM whole WHERE "query" NOT IN (SELECT "query" FROM near)""",
 )
 def search_scope_fallback(spark, d):
-    scores = model(spark, d).scores(table(spark, d, "benchmark"), "item_id", "text")
-    sources = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source")
-    scoped = scores.join(sources, "doc").filter((F.col("source") == F.concat(F.lit("src"), (F.col("query") % 20).cast("string"))) & (F.col("score") > 12))
-    return retrieval.with_fallback(bm25.top(scoped.drop("source"), 5).select("query", "doc", "score", "rank"), bm25.top(scores, 5).select("query", "doc", "score", "rank"))
+    bm = bm25.Model()
+    asked = bm.asked(table(spark, d, "benchmark"), "item_id", "text")
+    wanted = F.concat(F.lit("src"), (F.col("query") % 20).cast("string"))
+    whole, scoped = firsts.firsts(bm, table(spark, d, "documents"), "doc_id", "text", asked, 5, Workspace(spark).keep, F.col("source"), wanted, 12)
+    return retrieval.with_fallback(scoped, whole)
 
 
 @query(
